@@ -181,7 +181,7 @@ def build_releases(parsed: DataFrame, policy: C.SizePolicy | None = None, segmen
     tot = segment_totals(segs)
     j = rel.join(tot, "norm_title", "left")
     out = j.select(
-        F.xxhash64("norm_title", "category_id").alias("id"),
+        release_id(F.col("norm_title"), F.col("category_id")).alias("id"),
         "norm_title",
         F.col("f.category").alias("category"),
         "category_id",
@@ -199,6 +199,12 @@ def build_releases(parsed: DataFrame, policy: C.SizePolicy | None = None, segmen
     return out.where(keep)
 
 
+def release_id(title, category_id):
+    """Stable 60-bit id from ``md5(norm_title, category_id)`` (no sequence needed)."""
+    h = F.md5(F.concat(F.coalesce(title, F.lit("")), F.lit("\u001f"), category_id.cast("string")))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
 def with_storage_columns(releases: DataFrame) -> DataFrame:
     """Partition columns and the derived search token column."""
     return releases.withColumns({

@@ -59,3 +59,135 @@ REGISTRY = {
     "A5_build_releases": sql_build_releases,
     "J1_search_newest": sql_search_newest,
 }
+
+
+# ---------------------------------------------------------------- search variants
+from .. import config as C  # noqa: E402
+from ..operators.search import query_tokens  # noqa: E402
+from .oracle_sql import min_size_sql, q  # noqa: E402
+from .queries import PRUNE_POLICY  # noqa: E402
+
+
+def _tokens_where(text: str) -> str:
+    toks = list(dict.fromkeys(query_tokens(text)))
+    return " AND ".join(f"list_contains(search_tokens, {q(t)})" for t in toks) or "false"
+
+
+def _cats(ids) -> str:
+    return "category IN (" + ", ".join(q(i) for i in ids) + ")"
+
+
+def _ids(parent):
+    return [i for i, n in C.DEFAULT_CATEGORIES if n.split("/", 1)[0] == parent]
+
+
+REGISTRY.update({
+    "C5_search_text": lambda: _page_sql(_tokens_where("Widget, small!"), sort="size_bytes"),
+    "C6_title_contains": lambda: _page_sql("norm_title ILIKE '%gear%'", sort="norm_title"),
+    "C8_tag_prefix_page2": lambda: _page_sql("tags LIKE 's%'", limit=50, offset=50),
+    "J2_tvsearch": lambda: _page_sql(_cats(_ids("TV"))),
+    "J3_movie": lambda: _page_sql(_cats(_ids("Movies"))),
+    "J4_music": lambda: _page_sql(_cats(_ids("Audio"))),
+    "J5_book": lambda: _page_sql(_cats(_ids("EBook"))),
+})
+
+
+def _items_cte(where: str, limit: int = 100) -> str:
+    return releases_ctes() + f""",
+page AS (
+  SELECT * FROM releases WHERE has_parts AND size_bytes > 0 AND {where}
+  ORDER BY posted_at DESC NULLS FIRST, norm_title, category_id LIMIT {limit}
+),
+items AS (
+  SELECT coalesce(norm_title, '') AS title, CAST(id AS VARCHAR) AS guid, {_pub_date('posted_at')} AS "pubDate",
+    coalesce(category, '') AS category,
+    '/api?t=getnzb&id=' || url_encode(CAST(id AS VARCHAR)) || '&apikey=' || url_encode('k y') AS link,
+    CAST(size_bytes AS VARCHAR) AS size
+  FROM page WHERE size_bytes > 0
+)"""
+
+
+def sql_movie_placeholder() -> str:
+    body = f"""
+SELECT title, guid, "pubDate", category, link, size FROM items
+UNION ALL
+SELECT 'Indexer Test Item', '0', {_pub_date('CAST(NULL AS TIMESTAMP)')}, '2060', '/api?t=getnzb&id=0', '1'
+WHERE (SELECT count(*) FROM items) = 0"""
+    return with_ctes(_items_cte("category IN ('2060')"), body)
+
+
+def sql_feed_items() -> str:
+    return with_ctes(_items_cte("true"), 'SELECT title, guid, "pubDate", category, link, size FROM items')
+
+
+def sql_caps() -> str:
+    vals = ", ".join(f"({q(i)}, {q(n)})" for i, n in C.DEFAULT_CATEGORIES)
+    return with_ctes(releases_ctes() + f""",
+cats AS (SELECT * FROM (VALUES {vals}) t(id, name))""", """
+SELECT id, name, split_part(name, '/', 1) AS parent FROM cats WHERE id IN (SELECT category FROM releases)""")
+
+
+def _rel_cols_sql(where: str) -> str:
+    return with_ctes(releases_ctes(), f"""
+SELECT norm_title, category_id, size_bytes, extension, source_group, {ts_text('posted_at')} AS posted_at
+FROM releases WHERE coalesce({where}, false)""")
+
+
+def sql_prune_sizes() -> str:
+    ms = min_size_sql("norm_title", "category_id", PRUNE_POLICY)
+    return _rel_cols_sql(f"(({ms}) > 0 AND coalesce(size_bytes, 0) < ({ms})) OR coalesce(size_bytes, 0) > {PRUNE_POLICY.max_size}")
+
+
+def sql_prune_partitions() -> str:
+    drop = f"bucket <> {q(C.OTHER_BUCKET)} AND posted_year IS NOT NULL AND posted_year < 1998"
+    trim = f"bucket <> {q(C.OTHER_BUCKET)} AND NOT ({drop}) AND posted_at IS NOT NULL AND posted_at < TIMESTAMP '1998-05-15'"
+    return with_ctes(releases_ctes(), f"""
+SELECT bucket, CAST(posted_year AS INTEGER) AS posted_year, CASE WHEN coalesce({drop}, false) THEN 'drop' ELSE 'trim' END AS action,
+  count(*) AS rows_deleted
+FROM releases WHERE coalesce({drop}, false) OR coalesce({trim}, false) GROUP BY ALL""")
+
+
+def sql_drop_empty() -> str:
+    buckets = ", ".join(f"({q(b)})" for b, _, _ in C.CATEGORY_BUCKETS)
+    return with_ctes(releases_ctes(), f"""
+SELECT b.bucket, CAST(y.posted_year AS INTEGER) AS posted_year
+FROM (VALUES {buckets}) b(bucket) CROSS JOIN (SELECT range AS posted_year FROM range(1990, 2006)) y
+WHERE NOT EXISTS (SELECT 1 FROM releases r WHERE r.bucket = b.bucket AND r.posted_year = y.posted_year)
+  AND NOT (b.bucket = 'movies' AND y.posted_year = 1990)""")
+
+
+def sql_category_audit() -> str:
+    from .oracle_sql import category_sql
+    pseudo = ("trim(concat_ws(' ', coalesce(norm_title, ''), array_to_string(list_transform(list_filter("
+              "string_split(coalesce(tags, ''), ','), lambda t: t <> ''), lambda t: '[' || t || ']'), ' ')))")
+    expected = category_sql(pseudo, "coalesce(source_group, 'None')").replace(f"END, {q(C.CATEGORY_KEYS['other'])})", "END, NULL)")
+    return with_ctes(releases_ctes() + f""",
+aud AS (SELECT category_id, {expected} AS expected FROM releases)""", """
+SELECT category_id, count(*) AS checked,
+  CAST(sum(CASE WHEN category_id IS NOT DISTINCT FROM CAST(expected AS INTEGER) THEN 0 ELSE 1 END) AS BIGINT) AS mismatches
+FROM aud WHERE expected IS NOT NULL GROUP BY category_id""")
+
+
+REGISTRY.update({
+    "H5_movie_placeholder": sql_movie_placeholder,
+    "A13_feed_items": sql_feed_items,
+    "J7_caps": sql_caps,
+    "I1_prune_filetypes": lambda: _rel_cols_sql(
+        "extension IS NOT NULL AND lower(extension) NOT IN (" + ", ".join(q(e) for e in C.allowed_prune_extensions()) + ")"),
+    "I2_prune_sizes": sql_prune_sizes,
+    "I3_prune_old": lambda: _rel_cols_sql(f"posted_at < TIMESTAMP '{AS_OF}' - INTERVAL 1500 DAY"),
+    "I4_prune_partitions": sql_prune_partitions,
+    "I5_prune_group": lambda: _rel_cols_sql("source_group = 'alt.binaries.misc'"),
+    "I6_prune_non_curated": lambda: _rel_cols_sql(
+        "source_group IS NULL OR source_group = '' OR source_group NOT IN ('alt.binaries.movies', 'alt.binaries.tv')"),
+    "A6_partition_counts": lambda: with_ctes(releases_ctes(), """
+SELECT bucket, CAST(posted_year AS INTEGER) AS posted_year, count(*) AS n FROM releases GROUP BY ALL"""),
+    "E10_partition_years": lambda: with_ctes(releases_ctes(), """
+SELECT DISTINCT bucket, CAST(posted_year AS INTEGER) AS posted_year FROM releases WHERE posted_year IS NOT NULL"""),
+    "A8_drop_empty_partitions": sql_drop_empty,
+    "E8_category_audit": sql_category_audit,
+    "E9_segment_summary": lambda: with_ctes(releases_ctes(), """
+SELECT norm_title, count(*) AS segments, arg_min(message_id, (s.number, message_id)) AS first_message_id,
+  arg_max(message_id, (s.number, message_id)) AS last_message_id
+FROM segments GROUP BY norm_title"""),
+})

@@ -294,7 +294,8 @@ rel0 AS (
   FROM candidates GROUP BY dedupe_key, category_id
 ),
 rel1 AS (
-  SELECT r.norm_title, f.category AS category, r.category_id, f.language AS language,
+  SELECT CAST(('0x' || substr(md5(coalesce(r.norm_title, '') || chr(31) || CAST(r.category_id AS VARCHAR)), 1, 15)) AS BIGINT) AS id,
+    r.norm_title, f.category AS category, r.category_id, f.language AS language,
     array_to_string(f.tags, ',') AS tags, f.extension AS extension, f.source_group AS source_group,
     coalesce(t.seg_total, CASE WHEN f.size_sum > 0 THEN f.size_sum END) AS size_bytes,
     r.posted_at, coalesce(t.seg_count, 0) > 0 AS has_parts, CAST(coalesce(t.seg_count, 0) AS INTEGER) AS part_count

@@ -72,3 +72,165 @@ REGISTRY = {
     "A5_build_releases": q_build_releases,
     "J1_search_newest": q_search_newest,
 }
+
+
+# ---------------------------------------------------------------- search variants
+from .. import config as C  # noqa: E402
+from ..operators import maintenance as M  # noqa: E402
+
+PRUNE_POLICY = C.SizePolicy(exact={}, patterns=[("^small ", 150_000_000)],
+                            category_floor={**C.DEFAULT_CATEGORY_MIN_SIZES, 3000: 50_000_000, 7000: 20_000_000},
+                            max_size=400_000_000)
+
+
+def q_search_text(spark, sf_dir):
+    """C5 + G1(size): all query words present, biggest first."""
+    return _page(K.releases(spark, sf_dir), S.SearchQuery(q="Widget, small!", sort="size", limit=100))
+
+
+def q_title_contains(spark, sf_dir):
+    """Substring fallback when the token column is unavailable."""
+    return _page(K.releases(spark, sf_dir), S.SearchQuery(q="gear", has_vector=False, sort="title", limit=100))
+
+
+def q_tag_prefix(spark, sf_dir):
+    """First-tag prefix filter, newest first, second page (G2 offset)."""
+    return _page(K.releases(spark, sf_dir), S.SearchQuery(tag="s", limit=50, offset=50))
+
+
+def q_tvsearch(spark, sf_dir):
+    """TV ids by default (H4 expansion of 5000)."""
+    return _page(K.releases(spark, sf_dir), _typed("tv"))
+
+
+def q_movie(spark, sf_dir):
+    """Movie ids, no query -> placeholder only when empty (H5)."""
+    return _page(K.releases(spark, sf_dir), _typed("movie"))
+
+
+def q_music(spark, sf_dir):
+    """Audio ids, unknown sort falls back to date."""
+    return _page(K.releases(spark, sf_dir), _typed("music", sort="bogus"))
+
+
+def q_book(spark, sf_dir):
+    """EBook ids (7020 only)."""
+    return _page(K.releases(spark, sf_dir), _typed("book"))
+
+
+def _typed(kind, **kw):
+    defaults = {"tv": S.tv_ids, "movie": S.movie_ids, "music": S.audio_ids, "book": S.book_ids}[kind]()
+    return S.SearchQuery(cat=",".join(defaults), limit=100, **kw)
+
+
+def q_movie_placeholder(spark, sf_dir):
+    """H5: movie search that finds nothing (no q) -> one test item; the
+    empty check is an aggregate over the real search, not a constant."""
+    page = S.search(K.releases(spark, sf_dir), S.SearchQuery(cat="2060", limit=100))
+    it = S.items(page, K.AS_OF)
+    return S.placeholder_row(it, K.AS_OF, first_cat="2060")
+
+
+def q_feed_items(spark, sf_dir):
+    """A13 + B23 + B24: item records for the newest 100 releases."""
+    page = S.search(K.releases(spark, sf_dir), S.SearchQuery(limit=100))
+    return S.items(page, K.AS_OF, api_key="k y")
+
+
+def q_caps(spark, sf_dir):
+    """Category dimension with parents, restricted to ids in use
+    (so the result follows the release table)."""
+    cats = S.category_dimension(spark)
+    used = K.releases(spark, sf_dir).select(F.col("category").alias("id")).distinct()
+    return cats.join(used, "id", "left_semi").select("id", "name", "parent")
+
+
+# ---------------------------------------------------------------- maintenance
+
+def _rel_cols(df):
+    return df.select("norm_title", "category_id", "size_bytes", "extension", "source_group",
+                     K.ts_text(F.col("posted_at")).alias("posted_at"))
+
+
+def q_prune_filetypes(spark, sf_dir):
+    """Rows removed by the file type allow-list."""
+    return _rel_cols(M.prune_filetypes(K.releases(spark, sf_dir))[1])
+
+
+def q_prune_sizes(spark, sf_dir):
+    """Rows removed by a stricter size policy (regex override, floors, max)."""
+    return _rel_cols(M.prune_sizes(K.releases(spark, sf_dir), PRUNE_POLICY)[1])
+
+
+def q_prune_old(spark, sf_dir):
+    """Rows older than 1500 days before AS_OF."""
+    return _rel_cols(M.prune_old(K.releases(spark, sf_dir), 1500, K.AS_OF)[1])
+
+
+def q_prune_partitions(spark, sf_dir):
+    """I4: partition drop/trim report for cutoff 1998-05-15."""
+    return M.prune_partitions(K.releases(spark, sf_dir), "1998-05-15")[2]
+
+
+def q_prune_group(spark, sf_dir):
+    """Everything from one group."""
+    return _rel_cols(M.prune_group(K.releases(spark, sf_dir), "alt.binaries.misc")[1])
+
+
+def q_prune_non_curated(spark, sf_dir):
+    """I6 + D7: rows outside the curated list."""
+    return _rel_cols(M.prune_non_curated(K.releases(spark, sf_dir), ["alt.binaries.movies", "alt.binaries.tv", ""])[1])
+
+
+def q_partition_counts(spark, sf_dir):
+    """Write partitioned by (bucket, posted_year), read back, count per partition."""
+    from ..sources import store
+    path = store.write_releases(K.releases(spark, sf_dir))
+    return M.partition_counts(store.read_releases(spark, path))
+
+
+def q_partition_years(spark, sf_dir):
+    """Distinct years per bucket."""
+    return M.partition_years(K.releases(spark, sf_dir))
+
+
+def q_drop_empty_partitions(spark, sf_dir):
+    """Empty year partitions 1990-2005 to drop (1990 movies retained)."""
+    return M.drop_empty_partitions(spark, K.releases(spark, sf_dir), 1990, 2005, retain=[("movies", 1990)])
+
+
+def q_category_audit(spark, sf_dir):
+    """Per stored category, rows checked and mismatches."""
+    a = M.category_audit(K.releases(spark, sf_dir))
+    return a.groupBy("category_id").agg(F.count(F.lit(1)).alias("checked"),
+                                        F.sum(F.col("mismatch").cast("long")).alias("mismatches"))
+
+
+def q_segment_summary(spark, sf_dir):
+    """Per release title count / first / last segment id."""
+    return M.segment_summary(ingest.collect_segments(K.parsed(spark, sf_dir)))
+
+
+REGISTRY.update({
+    "C5_search_text": q_search_text,
+    "C6_title_contains": q_title_contains,
+    "C8_tag_prefix_page2": q_tag_prefix,
+    "J2_tvsearch": q_tvsearch,
+    "J3_movie": q_movie,
+    "J4_music": q_music,
+    "J5_book": q_book,
+    "H5_movie_placeholder": q_movie_placeholder,
+    "A13_feed_items": q_feed_items,
+    "J7_caps": q_caps,
+    "I1_prune_filetypes": q_prune_filetypes,
+    "I2_prune_sizes": q_prune_sizes,
+    "I3_prune_old": q_prune_old,
+    "I4_prune_partitions": q_prune_partitions,
+    "I5_prune_group": q_prune_group,
+    "I6_prune_non_curated": q_prune_non_curated,
+    "A6_partition_counts": q_partition_counts,
+    "E10_partition_years": q_partition_years,
+    "A8_drop_empty_partitions": q_drop_empty_partitions,
+    "E8_category_audit": q_category_audit,
+    "E9_segment_summary": q_segment_summary,
+})
