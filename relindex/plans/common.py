@@ -28,6 +28,11 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parsed_table(headers(spark, sf_dir))
 
 
+def parsed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ungated parsed headers (gate flags kept as columns), materialized."""
+    return ingest.materialize(ingest.parse_headers(headers(spark, sf_dir)), "parsed_all")
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The release table (with partition + token columns) built from the fixture."""
     return ingest.with_storage_columns(ingest.build_releases(parsed(spark, sf_dir)))

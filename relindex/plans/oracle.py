@@ -191,3 +191,41 @@ SELECT norm_title, count(*) AS segments, arg_min(message_id, (s.number, message_
   arg_max(message_id, (s.number, message_id)) AS last_message_id
 FROM segments GROUP BY norm_title"""),
 })
+
+
+# ---------------------------------------------------------------- backfill
+def _backfill_ctes(lookback: int = 0) -> str:
+    lb = "" if lookback <= 0 else f"AND article_number > (SELECT max(article_number) FROM parsed_all x WHERE x.grp = parsed_all.grp) - {lookback}"
+    return releases_ctes() + """,
+tg AS (
+  SELECT id, norm_title, source_group AS grp,
+    lower(CASE WHEN regexp_matches(norm_title, '^(.*):(\\d{4}-\\d{2}-\\d{2})$')
+      THEN regexp_extract(norm_title, '^(.*):(\\d{4}-\\d{2}-\\d{2})$', 1) ELSE norm_title END) AS title,
+    CASE WHEN regexp_matches(norm_title, '^(.*):(\\d{4}-\\d{2}-\\d{2})$')
+      THEN regexp_extract(norm_title, '^(.*):(\\d{4}-\\d{2}-\\d{2})$', 2) END AS day
+  FROM releases
+),
+parts AS (
+  SELECT grp, lower(norm_title) AS title, strftime(posted_at, '%Y-%m-%d') AS day, seg_number AS number,
+    arg_min(struct_pack(message_id := seg_id, size := size), (article_number, message_id, bytes)) AS p
+  FROM parsed_all WHERE size > 0 AND seg_id IS NOT NULL """ + lb + """ GROUP BY ALL
+),
+bsegs AS (
+  SELECT t.id, t.norm_title, p.number, p.p.message_id AS message_id, p.p.size AS size
+  FROM tg t JOIN parts p ON t.grp = p.grp AND t.title = p.title AND t.day IS NOT DISTINCT FROM p.day
+),
+filled AS (
+  SELECT id, norm_title, CAST(count(*) AS INTEGER) AS part_count, CAST(sum(size) AS BIGINT) AS size_bytes
+  FROM bsegs GROUP BY id, norm_title
+)"""
+
+
+REGISTRY.update({
+    "D3_backfill_match": lambda: with_ctes(_backfill_ctes(), "SELECT id, norm_title, part_count, size_bytes FROM filled"),
+    "D4_backfill_unresolved": lambda: with_ctes(_backfill_ctes(10_000), """
+SELECT id, norm_title FROM tg WHERE id NOT IN (SELECT id FROM filled)"""),
+    "G5_lookback": lambda: with_ctes(releases_ctes() + """,
+hi AS (SELECT grp, max(article_number) AS hi FROM parsed_all GROUP BY grp)""", """
+SELECT p.grp, count(*) AS headers, min(article_number) AS first_article
+FROM parsed_all p JOIN hi ON p.grp = hi.grp WHERE article_number > hi - 10000 GROUP BY p.grp"""),
+})

@@ -254,6 +254,7 @@ p2 AS (
   FROM p1
 ),
 p3 AS (SELECT *, {allowed_sql("category_id")} AS allowed FROM p2),
+parsed_all AS (SELECT * EXCLUDE (allowed) FROM p3),
 parsed AS (SELECT * EXCLUDE (allowed) FROM p3 {gate})"""
 
 

@@ -234,3 +234,51 @@ REGISTRY.update({
     "E8_category_audit": q_category_audit,
     "E9_segment_summary": q_segment_summary,
 })
+
+
+# ---------------------------------------------------------------- backfill / upsert
+from ..operators import backfill as BF  # noqa: E402
+from ..operators import upsert as UP  # noqa: E402
+
+
+def _backfill(spark, sf_dir, n_lookback=0):
+    rel = K.releases(spark, sf_dir)
+    # every release is treated as lacking segments: the job re-derives them all
+    return BF.backfill(rel.select("id", "norm_title", "source_group"), K.parsed_all(spark, sf_dir), n_lookback)
+
+
+def q_backfill_match(spark, sf_dir):
+    """D3 + E4 + I8: segments found per release (first header per number)."""
+    return _backfill(spark, sf_dir)[0]
+
+
+def q_backfill_unresolved(spark, sf_dir):
+    """Releases with no matching header inside the default 10 000-article lookback."""
+    return _backfill(spark, sf_dir, 10_000)[2]
+
+
+def q_lookback(spark, sf_dir):
+    """Headers inside the last 10 000 articles of each group."""
+    return (BF.lookback(K.parsed_all(spark, sf_dir), 10_000)
+            .groupBy("grp").agg(F.count(F.lit(1)).alias("headers"), F.min("article_number").alias("first_article")))
+
+
+def q_upsert_increment(spark, sf_dir):
+    """A5 + D1 + D2: table built from 90 % of the headers, then one batch
+    with the remaining 10 % upserted into it (every header is processed)."""
+    p = K.parsed(spark, sf_dir)
+    new = F.col("article_number") % 10 == 0
+    base_p, batch_p = p.where(~new), p.where(new)
+    segs = ingest.collect_segments(base_p)
+    rel = ingest.with_storage_columns(ingest.build_releases(base_p, segments=segs))
+    out, _, _ = UP.upsert(rel, segs, batch_p)
+    return out.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
+                      K.ts_text(F.col("posted_at")).alias("posted_at"), "bucket")
+
+
+REGISTRY.update({
+    "D3_backfill_match": q_backfill_match,
+    "D4_backfill_unresolved": q_backfill_unresolved,
+    "G5_lookback": q_lookback,
+    "A5_upsert_increment": q_upsert_increment,
+})
