@@ -19,39 +19,54 @@ STUDIO_RE = r"(?i)([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)\.(\d{4})\.(\d{3,4}p)"
 SITE_RE = r"(?i)([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)\.(\d{4}\.\d{2}\.\d{2})"
 
 
-def _grp(s: Column, pattern: str, idx: int, dots: bool = True) -> Column:
+def _grp(s: Column, pattern: str, idx: int, dots: bool = True, gate: Column | None = None) -> Column:
     v = F.regexp_extract(s, pattern, idx)
     if dots:
         v = F.translate(v, ".", " ")
-    return F.nullif(v, F.lit(""))
+    v = F.nullif(v, F.lit(""))
+    return v if gate is None else F.when(gate, v)
 
 
-def music_tags(subject: Column) -> Column:
-    """struct(artist, album, year, format, bitrate); NULL fields when absent."""
+def music_gate(subject: Column) -> Column:
+    return _any_contains(F.lower(subject), [e.lower() for e in C.AUDIO_EXTENSIONS])
+
+
+def book_gate(subject: Column) -> Column:
+    return _any_contains(F.lower(subject), [e.lower() for e in C.BOOK_EXTENSIONS])
+
+
+def studio_gate(subject: Column) -> Column:
+    return _any_contains(F.lower(subject), C.STUDIO_GATES)
+
+
+def music_tags(subject: Column, gate: Column | None = None) -> Column:
+    """struct(artist, album, year, format, bitrate); NULL fields when
+    absent. With ``gate`` the regex only runs where the cheap substring test passed."""
     return F.struct(
-        _grp(subject, MUSIC_RE, 1).alias("artist"),
-        _grp(subject, MUSIC_RE, 2).alias("album"),
-        _grp(subject, MUSIC_RE, 3).alias("year"),
-        F.upper(_grp(subject, MUSIC_RE, 4)).alias("format"),
-        _grp(subject, MUSIC_RE, 5).alias("bitrate"),
+        _grp(subject, MUSIC_RE, 1, gate=gate).alias("artist"),
+        _grp(subject, MUSIC_RE, 2, gate=gate).alias("album"),
+        _grp(subject, MUSIC_RE, 3, gate=gate).alias("year"),
+        F.upper(_grp(subject, MUSIC_RE, 4, gate=gate)).alias("format"),
+        _grp(subject, MUSIC_RE, 5, gate=gate).alias("bitrate"),
     )
 
 
-def book_tags(subject: Column) -> Column:
+def book_tags(subject: Column, gate: Column | None = None) -> Column:
     """struct(author, title, year, format, isbn)."""
     return F.struct(
-        _grp(subject, BOOK_RE, 1).alias("author"),
-        _grp(subject, BOOK_RE, 2).alias("title"),
-        _grp(subject, BOOK_RE, 3).alias("year"),
-        F.upper(_grp(subject, BOOK_RE, 4)).alias("format"),
-        _grp(subject, BOOK_RE, 5).alias("isbn"),
+        _grp(subject, BOOK_RE, 1, gate=gate).alias("author"),
+        _grp(subject, BOOK_RE, 2, gate=gate).alias("title"),
+        _grp(subject, BOOK_RE, 3, gate=gate).alias("year"),
+        F.upper(_grp(subject, BOOK_RE, 4, gate=gate)).alias("format"),
+        _grp(subject, BOOK_RE, 5, gate=gate).alias("isbn"),
     )
 
 
-def studio_site_tags(subject: Column) -> Column:
+def studio_site_tags(subject: Column, gate: Column | None = None) -> Column:
     """``Studio.Name.YYYY.1080p`` first, else ``Site.Name.YYYY.MM.DD``."""
-    studio = F.regexp_like(subject, F.lit(STUDIO_RE))
-    site = F.regexp_like(subject, F.lit(SITE_RE))
+    g = F.lit(True) if gate is None else gate
+    studio = g & F.regexp_like(subject, F.lit(STUDIO_RE))
+    site = g & ~studio & F.regexp_like(subject, F.lit(SITE_RE))
     return F.struct(
         F.when(studio, _grp(subject, STUDIO_RE, 1)).alias("studio"),
         F.when(~studio & site, _grp(subject, SITE_RE, 1)).alias("site"),
@@ -76,10 +91,9 @@ def combine_tags(subject: Column, generic: Column, m: Column, b: Column, x: Colu
     Slot order reproduces an insertion-ordered dict in which a later
     extractor overrides a shared key (``year``, ``format``) in place.
     """
-    low = F.lower(subject)
-    use_m = _any_contains(low, [e.lower() for e in C.AUDIO_EXTENSIONS]) & m["year"].isNotNull()
-    use_b = _any_contains(low, [e.lower() for e in C.BOOK_EXTENSIONS]) & b["year"].isNotNull()
-    use_x = _any_contains(low, C.STUDIO_GATES)
+    use_m = m["year"].isNotNull() & music_gate(subject)
+    use_b = b["year"].isNotNull() & book_gate(subject)
+    use_x = studio_gate(subject)
 
     def g(flag: Column, v: Column) -> Column:
         return F.when(flag, v)

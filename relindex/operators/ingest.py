@@ -68,9 +68,9 @@ def parse_headers(headers: DataFrame, sizes: DataFrame | None = None, hints: C.H
     p = p.select(
         "*",
         tx.extract_tags(F.col("subject")).alias("_gtags"),
-        tg.music_tags(F.col("subject")).alias("_m"),
-        tg.book_tags(F.col("subject")).alias("_b"),
-        tg.studio_site_tags(F.col("subject")).alias("_x"),
+        tg.music_tags(F.col("subject"), tg.music_gate(F.col("subject"))).alias("_m"),
+        tg.book_tags(F.col("subject"), tg.book_gate(F.col("subject"))).alias("_b"),
+        tg.studio_site_tags(F.col("subject"), tg.studio_gate(F.col("subject"))).alias("_x"),
         tx.clean_text(tx.normalize_subject(F.col("subject"))).alias("norm_title"),
         F.coalesce(tx.detect_language(F.col("subject"), detect_lang), F.lit("und")).alias("language"),
         tx.file_extension(F.col("subject")).alias("extension"),
@@ -96,12 +96,23 @@ def gate(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("keep"))
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a CPU-heavy narrow stage over the cluster when its input is
+    under-split (e.g. one large row group). Inputs that already have at least
+    ``defaultParallelism`` partitions — every real header feed — pass through
+    without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def parsed_table(headers: DataFrame, name: str = "parsed_headers", **kw) -> DataFrame:
     """Parse once, write the result as Parquet under the shared checkpoint
     folder, and read it back gated. The three consumers (fold, tag union,
     segments) then scan a compact columnar table with column pruning instead
     of re-running the regex parse three times."""
-    return gate(materialize(parse_headers(headers, **kw), name))
+    return gate(materialize(parse_headers(ensure_parallelism(headers), **kw), name))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

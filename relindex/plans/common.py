@@ -30,7 +30,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ungated parsed headers (gate flags kept as columns), materialized."""
-    return ingest.materialize(ingest.parse_headers(headers(spark, sf_dir)), "parsed_all")
+    return ingest.materialize(ingest.parse_headers(ingest.ensure_parallelism(headers(spark, sf_dir))), "parsed_all")
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,3 +229,46 @@ hi AS (SELECT grp, max(article_number) AS hi FROM parsed_all GROUP BY grp)""", "
 SELECT p.grp, count(*) AS headers, min(article_number) AS first_article
 FROM parsed_all p JOIN hi ON p.grp = hi.grp WHERE article_number > hi - 10000 GROUP BY p.grp"""),
 })
+
+
+# ---------------------------------------------------------------- outputs
+def _esc(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _status_ctes(cap: int) -> str:
+    return releases_ctes() + f""",
+st AS (
+  SELECT norm_title, count(*) AS n_segments,
+    sum(CASE WHEN s.number IS NULL OR s.size IS NULL OR message_id IS NULL OR message_id = ''
+             OR regexp_matches(message_id, '[<>]') THEN 1 ELSE 0 END) AS n_invalid
+  FROM segments GROUP BY norm_title
+),
+status AS (
+  SELECT r.id, r.norm_title, r.category_id, coalesce(st.n_segments, 0) AS n_segments,
+    CASE WHEN coalesce(st.n_segments, 0) = 0 THEN 'no_segments' WHEN st.n_invalid > 0 THEN 'invalid'
+         WHEN st.n_segments > {cap} THEN 'over_limit' ELSE 'ok' END AS status
+  FROM rel1 r LEFT JOIN st ON r.norm_title = st.norm_title
+  WHERE NOT r.has_parts OR r.size_bytes >= {min_size_sql("r.norm_title", "r.category_id")}
+)"""
+
+
+def sql_manifest() -> str:
+    seg = ("'<segment bytes=\"' || CAST(s.size AS VARCHAR) || '\" number=\"' || CAST(s.number AS VARCHAR) || '\">' || "
+           + _esc("message_id") + " || '</segment>'")
+    return with_ctes(_status_ctes(C.NZB_MAX_SEGMENTS) + f""",
+ok AS (SELECT id, norm_title FROM status WHERE status = 'ok'),
+sg AS (SELECT ok.id, s.number AS number, g.message_id, s."group" AS grp, {seg} AS x
+       FROM segments g JOIN ok ON g.norm_title = ok.norm_title),
+gr AS (SELECT id, grp, min((number, message_id)) AS o FROM sg WHERE coalesce(grp, '') <> '' GROUP BY id, grp)""", f"""
+SELECT s.id, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<nzb xmlns="http://www.newzbin.com/DTD/2003/nzb"><file subject="'
+  || CAST(s.id AS VARCHAR) || '"><groups>'
+  || coalesce((SELECT string_agg('<group>' || {_esc('grp')} || '</group>', '' ORDER BY o) FROM gr WHERE gr.id = s.id), '')
+  || '</groups><segments>' || string_agg(x, '' ORDER BY number, message_id) || '</segments></file></nzb>' AS nzb
+FROM sg s GROUP BY s.id""")
+
+
+REGISTRY.update({
+    "A11_segment_status": lambda: with_ctes(_status_ctes(3), "SELECT id, norm_title, category_id, n_segments, status FROM status"),
+    "A10_manifest": sql_manifest,
+})

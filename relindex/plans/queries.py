@@ -282,3 +282,45 @@ REGISTRY.update({
     "G5_lookback": q_lookback,
     "A5_upsert_increment": q_upsert_increment,
 })
+
+
+# ---------------------------------------------------------------- outputs
+from ..operators import outputs as OUT  # noqa: E402
+
+
+def _rel_and_segs(spark, sf_dir):
+    p = K.parsed(spark, sf_dir)
+    segs = ingest.collect_segments(p)
+    return ingest.build_releases(p, segments=segs), segs
+
+
+def q_segment_status(spark, sf_dir):
+    """A11 + A12: per release status with a 3-segment cap (so over_limit occurs)."""
+    r, s = _rel_and_segs(spark, sf_dir)
+    return OUT.segment_status(r, s, max_segments=3)
+
+
+def q_manifest(spark, sf_dir):
+    """A10 + J6: NZB XML per release under the default 1000-segment cap."""
+    r, s = _rel_and_segs(spark, sf_dir)
+    return OUT.manifests(r, s)
+
+
+def q_decode_segments(spark, sf_dir):
+    """B19 + B20: legacy JSON (dict and list forms) decoded to rows."""
+    _, s = _rel_and_segs(spark, sf_dir)
+    return OUT.decode_segments(OUT.legacy_segment_json(s))
+
+
+def q_repair_segments(spark, sf_dir):
+    """List-form rows rewritten to the canonical dict form."""
+    _, s = _rel_and_segs(spark, sf_dir)
+    return OUT.repair_segments(OUT.legacy_segment_json(s))
+
+
+REGISTRY.update({
+    "A11_segment_status": q_segment_status,
+    "A10_manifest": q_manifest,
+    "B19_decode_segments": q_decode_segments,
+    "I7_repair_segments": q_repair_segments,
+})
