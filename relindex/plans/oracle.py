@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .oracle_sql import parsed_ctes, releases_ctes, search_tokens_sql, ts_text, with_ctes  # noqa: F401
+from .oracle_sql import headers_ctes, parsed_ctes, releases_ctes, search_tokens_sql, ts_text, with_ctes  # noqa: F401
+
+
+def headers_ctes_only() -> str:
+    return headers_ctes()
 
 AS_OF = "2001-12-31 00:00:00"
 
@@ -272,3 +276,73 @@ REGISTRY.update({
     "A11_segment_status": lambda: with_ctes(_status_ctes(3), "SELECT id, norm_title, category_id, n_segments, status FROM status"),
     "A10_manifest": sql_manifest,
 })
+
+
+# ---------------------------------------------------------------- groups / metrics
+from .queries import CURATED  # noqa: E402
+
+
+def _group_list_sql(valid: bool) -> str:
+    pat = q(C.GROUP_NAME_PATTERN)
+    body = f"""
+WITH t AS (
+  SELECT n.n_nationkey AS src_pos,
+    'alt.binaries.' || lower(n.n_name) || ', alt.binaries.' || lower(r.r_name) || chr(10) AS text
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+a AS (SELECT src_pos, string_split_regex(text, '[,\\n]') AS arr FROM t),
+p AS (SELECT src_pos, i - 1 AS idx, trim(arr[i]) AS name FROM a, LATERAL (SELECT unnest(generate_series(1, len(arr))) AS i))
+"""
+    if valid:
+        return body + f"""SELECT name, arg_min(src_pos, (src_pos, idx)) AS src_pos, arg_min(idx, (src_pos, idx)) AS idx
+FROM p WHERE name <> '' AND regexp_matches(name, {pat}) GROUP BY name"""
+    return body + f"SELECT name, src_pos, idx FROM p WHERE name <> '' AND NOT regexp_matches(name, {pat})"
+
+
+def _curated_sql() -> str:
+    return "(VALUES " + ", ".join(f"({q(g)}, {i})" for i, g in enumerate(CURATED)) + ") c(name, pos)"
+
+
+def _metrics_ctes() -> str:
+    return releases_ctes() + """,
+proc AS (SELECT grp, CAST(floor(article_number / 1000) AS BIGINT) AS batch, count(*) AS processed,
+         max(article_number) AS cursor FROM parsed_all GROUP BY ALL),
+fst AS (SELECT grp, dedupe_key, min(CAST(floor(article_number / 1000) AS BIGINT)) AS batch FROM parsed GROUP BY ALL),
+ins AS (SELECT grp, batch, count(*) AS inserted FROM fst GROUP BY ALL),
+hw AS (SELECT grp, max(article_number) AS high_water FROM parsed_all GROUP BY grp),
+m AS (
+  SELECT p.grp, p.batch, processed, coalesce(inserted, 0) AS inserted, processed - coalesce(inserted, 0) AS deduplicated,
+    cursor, high_water, greatest(high_water - cursor, 0) AS remaining,
+    CASE WHEN high_water > 0 THEN CAST(floor(cursor * 100 / high_water) AS BIGINT) END AS percent_complete
+  FROM proc p LEFT JOIN ins i ON p.grp = i.grp AND p.batch = i.batch JOIN hw ON p.grp = hw.grp
+)"""
+
+
+def _counters(where: str) -> str:
+    k = "json_extract_string(props, '$.k')"
+    return f"""SELECT CASE WHEN {k} IS NULL THEN event_type ELSE event_type || '{{k=' || {k} || '}}' END AS key,
+  count(*) AS value FROM events {where} GROUP BY 1"""
+
+
+REGISTRY.update({
+    "A15_group_list_clean": lambda: _group_list_sql(True),
+    "A15_group_list_rejects": lambda: _group_list_sql(False),
+    "H1_group_intersection": lambda: with_ctes(headers_ctes_only(), f"""
+SELECT name, pos FROM {_curated_sql()} WHERE name IN (SELECT grp FROM headers)"""),
+    "H2_group_missing": lambda: with_ctes(headers_ctes_only(), f"""
+SELECT name FROM {_curated_sql()} WHERE name NOT IN (SELECT grp FROM headers)"""),
+    "E5_batch_metrics": lambda: with_ctes(_metrics_ctes(), "SELECT * FROM m"),
+    "E6_ingest_summary": lambda: with_ctes(_metrics_ctes(), """
+SELECT batch, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(inserted) AS BIGINT) AS inserted,
+  CAST(sum(remaining) AS BIGINT) AS remaining, count(*) AS groups FROM m GROUP BY batch"""),
+    "E7_changed_counters": lambda: f"""
+WITH prev AS ({_counters("WHERE ts < TIMESTAMP '2024-01-15 00:00:00'")}), cur AS ({_counters("")})
+SELECT cur.key, cur.value FROM cur LEFT JOIN prev ON cur.key = prev.key WHERE cur.value IS DISTINCT FROM prev.value""",
+    "E11_rate_window_counts": lambda: f"""
+SELECT {ts_text("date_trunc('hour', ts)")} AS window_start, user_id, count(*) AS n, count(*) > 1 AS over_limit
+FROM events GROUP BY date_trunc('hour', ts), user_id""",
+    "E12_ingest_freshness": lambda: with_ctes(releases_ctes(), f"""
+SELECT grp, {ts_text('max(posted_at)')} AS last_run, date_diff('second', max(posted_at), TIMESTAMP '{AS_OF}') AS age_seconds,
+  max(posted_at) IS NULL OR date_diff('second', max(posted_at), TIMESTAMP '{AS_OF}') > 600 AS stale
+FROM parsed_all GROUP BY grp"""),
+})

@@ -324,3 +324,100 @@ REGISTRY.update({
     "B19_decode_segments": q_decode_segments,
     "I7_repair_segments": q_repair_segments,
 })
+
+
+# ---------------------------------------------------------------- groups / metrics
+from ..operators import groups as G  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..sources.headers import load_table  # noqa: E402
+
+CURATED = ["alt.binaries.movies", "alt.binaries.boneless", "alt.binaries.tv", "alt.binaries.hdtv",
+           "alt.binaries.teevee", "alt.binaries.e-book", "alt.binaries.mp3", "alt.binaries.misc"]
+
+
+def group_list_text(spark, sf_dir):
+    """Group list text built from nation/region names (some invalid, some repeated)."""
+    n = load_table(spark, sf_dir, "nation").alias("n")
+    r = load_table(spark, sf_dir, "region").alias("r")
+    return n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey")).select(
+        F.col("n.n_nationkey").alias("src_pos"),
+        F.concat(F.lit("alt.binaries."), F.lower("n.n_name"), F.lit(", alt.binaries."), F.lower("r.r_name"),
+                 F.lit("\n")).alias("text"))
+
+
+def q_group_list_clean(spark, sf_dir):
+    """Valid names, first position kept."""
+    valid, _ = G.clean_group_list(group_list_text(spark, sf_dir))
+    return valid.select("name", F.col("pos.src_pos").alias("src_pos"), F.col("pos.i").alias("idx"))
+
+
+def q_group_list_rejects(spark, sf_dir):
+    """Rejected names (fatal for the list tool)."""
+    _, rej = G.clean_group_list(group_list_text(spark, sf_dir))
+    return rej.select("name", F.col("pos.src_pos").alias("src_pos"), F.col("pos.i").alias("idx"))
+
+
+def _curated(spark):
+    return spark.createDataFrame([(g, i) for i, g in enumerate(CURATED)], "name string, pos int")
+
+
+def _discovered(spark, sf_dir):
+    return K.headers(spark, sf_dir).select(F.col("grp").alias("name")).distinct()
+
+
+def q_group_intersection(spark, sf_dir):
+    """H1 / A17 auto mode: curated ∩ discovered, curated order."""
+    return G.intersect_ordered(_curated(spark), _discovered(spark, sf_dir))
+
+
+def q_group_missing(spark, sf_dir):
+    """H2: curated names the server does not carry."""
+    return G.missing(_curated(spark), _discovered(spark, sf_dir))
+
+
+def _metrics(spark, sf_dir):
+    pa = K.parsed_all(spark, sf_dir)
+    return MT.batch_metrics(pa, pa.where(F.col("keep")), batch_size=1000)
+
+
+def q_batch_metrics(spark, sf_dir):
+    """E5: per (group, batch) ingest metrics."""
+    return _metrics(spark, sf_dir)
+
+
+def q_ingest_summary(spark, sf_dir):
+    """Totals across groups per batch index."""
+    return MT.ingest_summary(_metrics(spark, sf_dir))
+
+
+def q_changed_counters(spark, sf_dir):
+    """Labelled counters that changed between two snapshots of events."""
+    ev = load_table(spark, sf_dir, "events")
+    prev = MT.labelled_counters(ev.where(F.col("ts") < F.to_timestamp(F.lit("2024-01-15 00:00:00"))))
+    return MT.changed_counters(prev, MT.labelled_counters(ev))
+
+
+def q_rate_window(spark, sf_dir):
+    """Hourly counts per user, over-limit above 1."""
+    w = MT.rate_window_counts(load_table(spark, sf_dir, "events"), "1 hour", 1)
+    return w.withColumn("window_start", K.ts_text(F.col("window_start")))
+
+
+def q_freshness(spark, sf_dir):
+    """Last run per group (header dates as run times), stale after 600 s."""
+    runs = K.parsed_all(spark, sf_dir).select("grp", F.col("posted_at").alias("run_ts"))
+    f = MT.ingest_freshness(runs, K.AS_OF)
+    return f.withColumn("last_run", K.ts_text(F.col("last_run")))
+
+
+REGISTRY.update({
+    "A15_group_list_clean": q_group_list_clean,
+    "A15_group_list_rejects": q_group_list_rejects,
+    "H1_group_intersection": q_group_intersection,
+    "H2_group_missing": q_group_missing,
+    "E5_batch_metrics": q_batch_metrics,
+    "E6_ingest_summary": q_ingest_summary,
+    "E7_changed_counters": q_changed_counters,
+    "E11_rate_window_counts": q_rate_window,
+    "E12_ingest_freshness": q_freshness,
+})
