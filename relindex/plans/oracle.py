@@ -346,3 +346,5 @@ SELECT grp, {ts_text('max(posted_at)')} AS last_run, date_diff('second', max(pos
   max(posted_at) IS NULL OR date_diff('second', max(posted_at), TIMESTAMP '{AS_OF}') > 600 AS stale
 FROM parsed_all GROUP BY grp"""),
 })
+
+REGISTRY["K6_rate_window_stream"] = REGISTRY["E11_rate_window_counts"]

@@ -421,3 +421,44 @@ REGISTRY.update({
     "E11_rate_window_counts": q_rate_window,
     "E12_ingest_freshness": q_freshness,
 })
+
+
+# ---------------------------------------------------------------- streaming
+from ..streaming import ingest as ST  # noqa: E402
+
+
+def q_stream_ingest(spark, sf_dir):
+    """K1 + K2 + K3 + K4: headers staged as 4 files, streamed one file per
+    micro-batch through parse -> fold -> upsert; returns the final table."""
+    import uuid as _uuid
+
+    from ..session import table_path
+    src = table_path(spark, f"stream-src-{_uuid.uuid4().hex[:8]}")
+    ST.stage_header_files(K.headers(spark, sf_dir), src, n_batches=4)
+    root = table_path(spark, f"stream-store-{_uuid.uuid4().hex[:8]}")
+    qry = ST.incremental_ingest(spark, src, root, files_per_trigger=1)
+    qry.awaitTermination()
+    rel = ST.ReleaseStateStore(spark, root).read("releases")
+    return rel.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
+                      K.ts_text(F.col("posted_at")).alias("posted_at"))
+
+
+def q_stream_rate_window(spark, sf_dir):
+    """K6: hourly per-user counts from an event stream (equals E11)."""
+    import uuid as _uuid
+
+    from ..session import table_path
+    src = table_path(spark, f"events-src-{_uuid.uuid4().hex[:8]}")
+    load_table(spark, sf_dir, "events").write.parquet(src)
+    name = f"rate_{_uuid.uuid4().hex[:8]}"
+    qry = ST.rate_window_stream(spark, src, "1 hour", 1, name)
+    qry.processAllAvailable()
+    qry.stop()
+    out = spark.table(name)
+    return out.withColumn("window_start", K.ts_text(F.col("window_start")))
+
+
+REGISTRY.update({
+    "K1_stream_ingest": q_stream_ingest,
+    "K6_rate_window_stream": q_stream_rate_window,
+})
