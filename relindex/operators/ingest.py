@@ -92,7 +92,8 @@ def parse_headers(headers: DataFrame, sizes: DataFrame | None = None, hints: C.H
 
 
 def gate(parsed: DataFrame) -> DataFrame:
-    """C1 + C2: headers that reach the fold."""
+    """C1 + C2: headers that reach the fold. Apply to a materialized parse
+    (``parsed_table`` / ``materialize``), never directly to the projection."""
     return parsed.where(F.col("keep"))
 
 
