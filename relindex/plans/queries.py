@@ -462,3 +462,19 @@ REGISTRY.update({
     "K1_stream_ingest": q_stream_ingest,
     "K6_rate_window_stream": q_stream_rate_window,
 })
+
+
+# ---------------------------------------------------------------- language profiles
+from ..operators import language as LG  # noqa: E402
+
+
+def q_language_profile(spark, sf_dir):
+    """Trigram profiles trained on documents.lang, every document classified."""
+    docs = load_table(spark, sf_dir, "documents")
+    grams = ingest.materialize(LG.trigrams(docs), "doc_trigrams")
+    prof = LG.train_profiles(docs, grams)
+    pred = LG.classify(grams, prof)
+    return docs.select("doc_id", "lang").join(pred, "doc_id", "left")
+
+
+REGISTRY["B9_language_profile"] = q_language_profile

@@ -104,3 +104,16 @@ def test_group_list_clean(spark):
     valid, rej = G.clean_group_list(t)
     assert sorted(x["name"] for x in valid.collect()) == ["a.b", "c_d"]
     assert [x["name"] for x in rej.collect()] == ["bad name"]
+
+
+def test_language_profiles(spark):
+    from relindex.operators import language as LG
+    docs = spark.createDataFrame([
+        (1, "the quick brown fox jumps over the lazy dog and the cat", "en"),
+        (2, "der schnelle braune fuchs springt ueber den faulen hund und die katze", "de"),
+        (3, "the dog and the fox are in the house with the cat", None),
+        (4, "die katze und der hund sind in dem haus mit dem fuchs", None),
+    ], "doc_id long, text string, lang string")
+    g = LG.trigrams(docs)
+    pred = {r["doc_id"]: r["predicted"] for r in LG.classify(g, LG.train_profiles(docs, g)).collect()}
+    assert pred[3] == "en" and pred[4] == "de"
