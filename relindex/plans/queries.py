@@ -478,3 +478,21 @@ def q_language_profile(spark, sf_dir):
 
 
 REGISTRY["B9_language_profile"] = q_language_profile
+
+
+def q_renormalize_merge(spark, sf_dir):
+    """Legacy rows keyed by a raw title (counter stripped, not normalized)
+    plus day are re-normalized and merged per new key."""
+    p = K.parsed(spark, sf_dir)
+    raw = F.lower(F.regexp_replace(F.col("subject"), r"\s*\(\d+/\d+\).*$", ""))
+    stored = p.select(
+        F.col("article_number").alias("id"),
+        F.when(F.col("posted_at").isNull(), raw)
+        .otherwise(F.concat(raw, F.lit(":"), F.date_format("posted_at", "yyyy-MM-dd"))).alias("norm_title"),
+        "category", "language", F.array_join("tags", ",").alias("tags"), "source_group",
+        F.col("size").alias("size_bytes"), "posted_at")
+    out = M.renormalize_merge(stored)
+    return out.select("new_title", "size_bytes", "merged_rows", "tags", K.ts_text(F.col("posted_at")).alias("posted_at"))
+
+
+REGISTRY["E3_renormalize_merge"] = q_renormalize_merge
