@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+# Functions of this subpackage go to the executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
+
 #: Rows of an Arrow batch sent to Python. Texts may be long, so batches are short.
 ARROW_ROWS = 256
 

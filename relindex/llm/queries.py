@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as op6
+from . import langid as op9
+from . import pii as op10
 from .common import sha_of_list, table
 
 QUERIES: dict = {}
@@ -42,3 +44,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+def _not_held_out(times: int, fold: int):
+    """Documents whose crc32(doc_id as text) leaves another remainder than ``fold``; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % times != fold, F.lit(True))
+
+
+def op9_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``, learnt from those that are not held out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    r = op9.identify(d, op9.train(d.where(_not_held_out(4, 2))))
+    return r.select("doc_id", (~_not_held_out(4, 2)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_hyperdimensional"] = op9_hyperdimensional
+
+
+def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in ``documents``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = op10.find_pii(d, op10.train(op10.labelled_table(d)))
+    return r.select("doc_id", *[op10.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                    F.sha2(op10.told(F.col("base")), 256).alias("base_sha256"), op10.told(F.col("spans")).alias("spans"))
+
+
+QUERIES["op10_crf"] = op10_crf
