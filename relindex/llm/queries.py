@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import curriculum as op4
 from . import decontaminate as op6
 from . import langid as op9
 from . import pii as op10
+from . import url_templates as op8
 from .common import sha_of_list, table
 
 QUERIES: dict = {}
@@ -70,3 +72,84 @@ def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_crf"] = op10_crf
+
+
+def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed to weights 5, 2, 1, in training order."""
+    m = op4.mix(table(spark, sf_dir, "documents"))
+    return (m.withColumn("position", F.get("positions", F.lit(0))).drop("positions")
+            .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
+
+
+QUERIES["op4_curriculum"] = op4_curriculum
+ORACLE["op4_curriculum"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS no_source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, no_source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY no_source, source COLLATE "C") - 1) % 3 + 1 AS INT)] AS weight FROM s),
+c AS (SELECT *, source_size * 3.0::DOUBLE AS cap FROM w),
+o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0)) AS remaining,
+             sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS open_weight, coalesce(sum(cap) OVER p, 0) AS capped
+      FROM c WINDOW p AS (ORDER BY cap / weight, no_source, source COLLATE "C" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, remaining / open_weight AS level FROM o),
+f AS (SELECT arg_min(level, capped) AS final FROM l WHERE level * weight <= cap),
+t AS (SELECT source, no_source, source_size, weight, least(cap, coalesce(final * weight, cap))::DOUBLE AS target FROM l, f),
+r AS (SELECT d.*, t.source_size, t.weight, t.target,
+             coalesce(sum(size) OVER (PARTITION BY d.source, d.no_source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      FROM d JOIN t ON d.source = t.source AND d.no_source = t.no_source),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM r),
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE passes + CASE WHEN first + size / 2 < target - passes * source_size THEN 1 ELSE 0 END END AS copies,
+             least(first / greatest(target, 1.0), 1.0)::DOUBLE AS x FROM k)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+       CASE WHEN copies = 0 THEN NULL WHEN weight = 2 THEN x
+            WHEN weight = 5 THEN CASE WHEN x <= 0 THEN 0 WHEN x <= 0.625 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x))
+                                      ELSE 0.5 + 2 * (x - 0.625) / (1 + sqrt(1 - 2 * (x - 0.625))) END
+            ELSE CASE WHEN x <= 0 THEN 0 WHEN x <= 0.375 THEN 2 * x / (0.5 + sqrt(0.25 + 2 * x))
+                      ELSE 0.5 + 2 * (x - 0.375) / (1 + sqrt(1 + 2 * (x - 0.375))) END END AS position
+FROM n
+"""
+
+
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on ``pages`` by rule, else by path template."""
+    return op8.judge(table(spark, sf_dir, "pages"), op8.rules_table(spark))
+
+
+QUERIES["op8_path_templates"] = op8_path_templates
+_RULES8 = ", ".join(f"('{r}', '{v}')" for r, v in op8.RULES)
+ORACLE["op8_path_templates"] = rf"""
+WITH page AS MATERIALIZED (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rule, v) AS (VALUES {_RULES8}),
+r AS (SELECT rule, v, split_part(rule, '/', 1) AS fit, substr(rule, instr(rule, '/')) AS start FROM rules),
+spots AS (SELECT host, path, count(*) AS pages FROM page GROUP BY ALL),
+best AS (SELECT s.host, s.path, max({{'n': length(rule), 'rule': rule, 'v': v}}) AS b FROM spots s JOIN r
+         ON (s.host = r.fit OR ends_with(s.host, '.' || r.fit)) AND starts_with(s.path, r.start) GROUP BY ALL),
+places AS MATERIALIZED (SELECT s.*, b.rule AS rule, b.v AS rv FROM spots s LEFT JOIN best USING (host, path)),
+sg AS (SELECT host, path, pages, CASE WHEN rv = 'block' THEN pages ELSE 0 END AS nb, CASE WHEN rv IS NOT NULL THEN pages ELSE 0 END AS nl,
+              list_transform(string_split(path, '/'), lambda s: CASE
+                WHEN regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '^[0-9]+$') THEN '{{n}}' || substr(s, length(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', '')) + 1, 8)
+                WHEN regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '[0-9]')
+                  THEN '{{h}}' || substr(s, length(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', '')) + 1, 8)
+                ELSE s END) AS kinds FROM places),
+seg AS MATERIALIZED (SELECT host, path, pages, nb, nl, depth, kinds[depth + 1] AS kind, array_to_string(kinds[1:depth], '/') AS above
+        FROM (SELECT *, unnest(range(0, len(kinds))) AS depth FROM sg)),
+br AS (SELECT host, depth, above, kind, sum(pages) AS n, sum(nb) AS b, sum(nl) AS l FROM seg GROUP BY ALL),
+ar AS (SELECT host, depth, above, count(*) AS vals, sum(n) AS n_all, sum(b) AS b_all, sum(l) AS l_all FROM br GROUP BY ALL),
+nm AS (SELECT br.host, br.depth, br.above, br.kind, CASE
+         WHEN vals > {op8.FAN_OUT} AND n_all < {op8.RARE} * vals THEN '*'
+         WHEN vals = 1 THEN br.kind
+         WHEN l > 0 AND abs(b / l - b_all / l_all) > {op8.Z} * sqrt((b_all / l_all) * (1 - b_all / l_all) / l) THEN br.kind
+         ELSE '*' END AS name FROM br JOIN ar USING (host, depth, above)),
+t AS MATERIALIZED (SELECT host, path, nb, nl, string_agg(name, '/' ORDER BY depth) AS template
+      FROM seg JOIN nm USING (host, depth, above, kind) GROUP BY ALL),
+bh AS (SELECT host, template, sum(nb) AS b, sum(nl) AS l FROM t GROUP BY ALL),
+ba AS (SELECT template, sum(b) AS gb, sum(l) AS gl FROM bh GROUP BY ALL),
+tt AS (SELECT CASE WHEN sum(gl) > 0 THEN sum(gb) / sum(gl) ELSE 0.0 END AS base FROM ba),
+sh AS (SELECT host, template, (b + {op8.PRIOR} * ((gb + {op8.PRIOR} * base) / (gl + {op8.PRIOR}))) / (l + {op8.PRIOR}) AS block_share FROM bh JOIN ba USING (template), tt)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN block_share > {op8.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(block_share AS DOUBLE) AS block_share
+FROM page JOIN places USING (host, path) JOIN t USING (host, path) JOIN sh USING (host, template)
+"""
