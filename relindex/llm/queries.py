@@ -9,6 +9,7 @@ from . import curriculum as op4
 from . import decontaminate as op6
 from . import langid as op9
 from . import pii as op10
+from . import ppm as op2
 from . import url_templates as op8
 from .common import sha_of_list, table
 
@@ -153,3 +154,11 @@ sh AS (SELECT host, template, (b + {op8.PRIOR} * ((gb + {op8.PRIOR} * base) / (g
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN block_share > {op8.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(block_share AS DOUBLE) AS block_share
 FROM page JOIN places USING (host, path) JOIN t USING (host, path) JOIN sh USING (host, template)
 """
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM scores of all ``documents``, learnt from those that are not held out."""
+    return op2.score(table(spark, sf_dir, "documents"), held_out=~_not_held_out(7, 2))
+
+
+QUERIES["op2_ppm"] = op2_ppm
