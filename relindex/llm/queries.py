@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import curriculum as op4
+from . import debruijn as op7
 from . import decontaminate as op6
 from . import langid as op9
 from . import pii as op10
 from . import ppm as op2
+from . import suffix_ranks as op3
 from . import url_templates as op8
 from .common import sha_of_list, table
 
@@ -162,3 +164,35 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_ppm"] = op2_ppm
+
+
+def op7_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` that repeat 13-word windows of earlier documents, removed."""
+    r = op7.remove_repeats(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op7_de_bruijn"] = op7_de_bruijn
+ORACLE["op7_de_bruijn"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+                   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (h) WHERE doc_id > first),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) u
+      ANTI JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in repeated 400-byte strings, removed."""
+    r = op3.remove_repeats(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op3_prefix_doubling"] = op3_prefix_doubling
