@@ -9,23 +9,26 @@ where it was seen; each context before it that was seen costs an escape
 (method D: half a count for each distinct symbol), and the symbols of that
 context are excluded below.
 
-Texts are dealt into chunks. A chunk's dictionary (its distinct n-grams and
-words) is what meets the corpus-wide tables in joins; the answers go back to
-the chunk, whose texts are then scored with its own small dictionary. So no
-table is broadcast, and no row is shuffled for each position of a text.
+Texts are dealt into chunks and travel compressed. A chunk's dictionary (its
+distinct n-grams and words) is what meets the corpus-wide tables in joins; the
+answers go back to the chunk, whose texts are then scored with its own small
+dictionary. So no table is broadcast, and no row is shuffled for each position
+of a text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import short_batches, stored
 
 #: Bytes of context; an n-gram (context and symbol) is packed into a long.
 ORDER = 5
@@ -34,26 +37,60 @@ START, END = 0xFE, 0xFF
 #: Symbols of the lowest order: all byte values and the end.
 ALPHABET = 257
 #: Bytes of text in a chunk, about; its dictionary must fit in a Python worker.
-CHUNK_BYTES = 24 << 20
-#: Positions handled at once inside a chunk.
-PIECE = 2 << 20
-
-GRAM, WORD = 0, 1
+CHUNK_BYTES = 48 << 20
+#: Bytes of text that travel in one compressed row at most (or one text), and that a task holds back.
+PACK_BYTES, HELD_BYTES = 1 << 20, 32 << 20
 
 
 def word_key(word: bytes) -> int:
-    """64 bits of a word; the end of a text is the key of a blank, which is no word."""
-    return xxh64_intdigest(word) - (1 << 63)
-
-
-def pieces(texts: list[bytes]):
-    """Runs of texts of about ``PIECE`` bytes: (first, last + 1)."""
-    lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t) + ORDER + 1
-        if size >= PIECE or k == len(texts) - 1:
-            yield lo, k + 1
-            lo, size = k + 1, 0
+    """A negative number of 63 hashed bits; n-grams are not negative. The end of a text has the key of
+    a blank, which is no word."""
+    return (xxh64_intdigest(word) >> 1) - (1 << 63)
+
+
+def packs(docs: DataFrame, key: str) -> DataFrame:
+    """(chunk, keys, held_out, sizes, body): texts of one chunk, compressed together."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        sizes: dict[int, int] = {}
+        schema = None
+
+        def row(c):
+            own = held.pop(c)
+            sizes.pop(c)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c], pa.int32()), pa.array([[k for k, _, _ in own]], pa.list_(schema)), pa.array([[h for _, h, _ in own]], pa.list_(pa.bool_())),
+                 pa.array([[len(t) for _, _, t in own]], pa.list_(pa.int32())),
+                 pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, _, t in own))], pa.binary())],
+                names=["chunk", "keys", "held_out", "sizes", "body"])
+
+        for b in batches:
+            schema = b.schema.field(0).type
+            raw = b.column(1).cast(pa.binary()).to_pylist()
+            for k, t, h, c in zip(b.column(0).to_pylist(), raw, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                held.setdefault(c, []).append((k, h, t or b""))
+                sizes[c] = sizes.get(c, 0) + len(t or b"")
+                if sizes[c] >= PACK_BYTES:
+                    yield row(c)
+            if sum(sizes.values()) >= HELD_BYTES:
+                for c in list(held):
+                    yield row(c)
+        for c in list(held):
+            yield row(c)
+
+    return docs.select(key, "text", "held_out", "chunk").mapInArrow(
+        run, f"chunk int, keys array<{kind}>, held_out array<boolean>, sizes array<int>, body binary")
+
+
+def unpacked(group: pa.Table):
+    """(keys, held_out, texts) of each compressed row."""
+    for i in range(group.num_rows):
+        sizes, body = group.column("sizes")[i].as_py(), group.column("body")[i].as_py()
+        raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(sizes)))
+        ends = np.cumsum(sizes).tolist()
+        yield group.column("keys")[i].values, group.column("held_out")[i].as_py(), [raw[e - n:e] for e, n in zip(ends, sizes, strict=True)]
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,32 +130,29 @@ class Grams:
         return self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 2
 
 
-_DICTIONARY = "chunk int, kind int, key long, n long"
-_SCHEMA = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-
 def _dictionary(group: pa.Table) -> pa.Table:
     """The distinct n-grams and words of a chunk with their counts in training texts (0: held out only)."""
     chunk = group.column("chunk")[0].as_py()
-    raw = [t.encode() if t else b"" for t in group.column("text").to_pylist()]
-    held = group.column("held_out").to_pylist()
-    grams, words = Grams(), Counter()
-    for times in (1, 0):
-        own = [t for t, h in zip(raw, held, strict=True) if h != bool(times)]
-        for lo, hi in pieces(own):
-            grams.add(packed(own[lo:hi])[0], times)
-            for t in own[lo:hi]:
+    grams, words, ends = Grams(), Counter(), 0
+    for _, held, raw in unpacked(group):
+        for times in (1, 0):
+            own = [t for t, h in zip(raw, held, strict=True) if h != bool(times)]
+            if own:
+                grams.add(packed(own)[0], times)
                 if times:
-                    words.update(t.lower().split())
+                    ends += len(own)
+                    for t in own:
+                        words.update(t.lower().split())
                 else:
-                    for w in t.lower().split():
-                        words.setdefault(w, 0)
-    words[b" "] = len(raw) - sum(held)
+                    for t in own:
+                        for w in t.lower().split():
+                            words.setdefault(w, 0)
+    words[b" "] = ends
     g, n = grams.merge()
     w = np.fromiter(map(word_key, words), np.int64, len(words))
     return pa.Table.from_arrays([
-        pa.array(np.full(len(g) + len(w), chunk), pa.int32()), pa.array(np.repeat([GRAM, WORD], [len(g), len(w)]), pa.int32()),
-        pa.array(np.concatenate([g, w])), pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))]))], schema=_SCHEMA)
+        pa.array(np.full(len(g) + len(w), chunk), pa.int32()), pa.array(np.concatenate([g, w])),
+        pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))]))], names=["chunk", "key", "n"])
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
@@ -164,32 +198,33 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 
 
 class _Counts(dict):
-    """Counts of words; an unseen word is hashed once."""
+    """Counts of words; an unseen word is hashed and looked up once."""
 
-    def __init__(self, by_key: dict):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         super().__init__()
-        self.by_key = by_key
+        self.keys, self.counts = keys, counts
 
     def __missing__(self, word):
-        c = self[word] = self.by_key[word_key(word)]
+        c = self[word] = float(self.counts[np.searchsorted(self.keys, word_key(word))])
         return c
 
 
 def _scorer(key: str, tokens: int, vocabulary: int):
     def score(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        kind, keys, values = (entries.column(c).to_numpy() for c in ("kind", "key", "value"))
-        g = kind == GRAM
-        order = np.argsort(keys[g])
-        grams, logs = keys[g][order], values[g][order]
-        counts = _Counts(dict(zip(keys[~g].tolist(), values[~g].tolist(), strict=True)))
-        raw = [t.encode() if t else b"" for t in docs.column("text").to_pylist()]
-        base, known, n, total = [], [], [], []
+        keys, values = entries.column("key").to_numpy(), entries.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        cut = int(np.searchsorted(keys, 0))
+        counts, grams, logs = _Counts(keys[:cut], values[:cut]), keys[cut:], values[cut:]
+        names, held, base, known, n, total = [], [], [], [], [], []
         whole = np.log10(tokens + vocabulary + 1)
-        for lo, hi in pieces(raw):
-            at, ends = packed(raw[lo:hi])
+        for own, out, raw in unpacked(docs):
+            at, ends = packed(raw)
             sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(grams, at)])])[np.concatenate([[0], ends])]
             total.append(np.diff(sums))
-            for t in raw[lo:hi]:
+            names.append(own)
+            held += out
+            for t in raw:
                 words = t.lower().split()
                 words.append(b" ")
                 c = np.array([counts[w] for w in words])
@@ -197,9 +232,8 @@ def _scorer(key: str, tokens: int, vocabulary: int):
                 known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c + 1).sum() - len(c) * whole))
         return pa.Table.from_arrays(
-            [docs.column(key), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-             pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()),
-             pa.array(np.concatenate(total) if total else [], pa.float64())],
+            [pa.chunked_array(names), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+             pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(total), pa.float64())],
             names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
@@ -213,20 +247,29 @@ def score(docs: DataFrame, *, held_out, key: str = "doc_id", text: str = "text",
     of the text included). Null texts count as empty; a null ``held_out`` is false; repeated rows are
     trained on and scored row by row; without training rows the score is that of the uniform symbols;
     an empty table gives an empty result. Other columns are not looked at.
+
+    Plan: two shuffles of compressed texts (dictionary, scoring), one of the dictionaries by key (whose
+    window gives the corpus counts), one of the answers by chunk. A key has one row in each chunk at
+    most, so no key is hot; chunks are dealt by hash and are alike in size.
     """
+    short_batches(docs.sparkSession)
     d = docs.select(F.col(key), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // chunk_bytes) or 1
     d = d.withColumn("chunk", F.pmod(F.xxhash64(key, F.octet_length("text")), F.lit(chunks)).cast("int"))
-    entries = stored(d.groupBy("chunk").applyInArrow(_dictionary, _DICTIONARY), "dictionary")
-    totals = entries.groupBy("kind", "key").agg(F.sum("n").alias("c"))
-    words = totals.where(F.col("kind") == WORD)
-    tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    grams = stored(totals.where(F.col("kind") == GRAM).select("key", "c"), "grams")
-    values = (gram_scores(grams).select(F.lit(GRAM).alias("kind"), "key", "value")
-              .unionByName(words.select("kind", "key", F.col("c").cast("double").alias("value"))))
-    answers = entries.drop("n").join(values, ["kind", "key"])
+    rows = packs(d, key)
+    own = Window.partitionBy("key").orderBy("chunk")
+    entries = stored(
+        rows.groupBy("chunk").applyInArrow(_dictionary, "chunk int, key long, n long")
+        .withColumn("c", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("first", F.row_number().over(own) == 1).select("key", "chunk", "c", "first"), "dictionary")
+    words = entries.where("key < 0")
+    tokens, vocabulary = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    grams = entries.where("key >= 0")
+    values = gram_scores(grams.where("first").select("key", "c"))
+    answers = (grams.select("key", "chunk").join(values, "key").select("chunk", "key", "value")
+               .unionByName(words.select("chunk", "key", F.col("c").cast("double").alias("value"))))
     out = ", ".join(f"`{c}` {t}" for c, t in [(key, d.schema[key].dataType.simpleString()), ("held_out", "boolean"),
                                               ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"),
                                               ("base_score", "double"), ("score", "double")])
-    return d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(key, tokens, vocabulary), out)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(key, tokens, vocabulary), out)
