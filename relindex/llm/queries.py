@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import curriculum as op4
 from . import debruijn as op7
 from . import decontaminate as op6
+from . import jaccard_join as op5
 from . import langid as op9
+from . import order_minhash as op1
 from . import pii as op10
 from . import ppm as op2
 from . import suffix_ranks as op3
@@ -196,3 +198,36 @@ def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_prefix_doubling"] = op3_prefix_doubling
+
+
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts."""
+    r = op1.compare_with_next(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), op1.printed(F.col("signature")).alias("fingerprint"),
+                    op1.printed(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES["op1_order_minhash"] = op1_order_minhash
+
+
+def op5_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among ``documents``: 4-word shingles, 85 % of the union."""
+    return op5.jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
+QUERIES["op5_divide_skip"] = op5_divide_skip
+ORACLE["op5_divide_skip"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + least(4, len(w)) - 1], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS MATERIALIZED (SELECT doc_id, g, n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM s) JOIN n USING (doc_id) WHERE df > 1),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id
+      AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.doc_id WHERE c.root < p.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, coalesce(l.n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id) k USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM p GROUP BY a) l USING (doc_id)
+"""
