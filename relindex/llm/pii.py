@@ -179,23 +179,31 @@ EXAMPLES = [
 _WORDS = "the of and to with for call mail from see about were this that page line note under".split()
 
 
-def example_rows(repeats: int = 12, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Texts made from ``EXAMPLES`` with their labelled spans."""
+def example_rows(repeats: int = 12, seed: int = 7, mixed: int = 400) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Texts made from ``EXAMPLES`` with their labelled spans: each alone, and ``mixed`` rows of several side by side."""
     rng = random.Random(seed)
     fill = {"9": "0123456789", "a": "0123456789abcdef", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
-    rows = []
-    for kind, pattern in EXAMPLES:
-        for _ in range(repeats):
-            keep = re.match(r"password=|AKIA|token = \"|secret=|api_key = \"|", pattern).group() if kind == "secret" else ""
-            body = "".join(rng.choice(fill[c]) if c in fill and not (c == "a" and kind != "secret") and not (c == "A" and kind == "email")
-                           else rng.choice("abcdefghijklmnopqrstuvwxyz") if c == "a" else c for c in pattern[len(keep):])
-            pre, post = (" ".join(rng.choice(_WORDS) for _ in range(rng.randint(0, 3))) for _ in range(2))
-            value = keep + body
-            tail = rng.choice(["", "", "", ".", ","]) if kind else ""
-            text = f"{pre} {value}{tail} {post}".strip()
-            at = text.index(value)
-            rows.append((text, [(KINDS.index(kind), at, at + len(value))] if kind else []))
-    return rows
+
+    def value(kind: str, pattern: str) -> str:
+        if kind == "secret":
+            keep = re.match(r"password=|AKIA|token = \"|secret=|api_key = \"|", pattern).group()
+            return keep + "".join(rng.choice(fill.get(c, c)) for c in pattern[len(keep):])
+        keep = len(pattern) - len("example.com") if pattern.endswith("example.com") else len(pattern)
+        return "".join(rng.choice(fill["9"]) if c == "9" else rng.choice("abcdefghijklmnopqrstuvwxyz") if c == "a"
+                       else rng.choice(fill["A"]) if c == "A" else c for c in pattern[:keep]) + pattern[keep:]
+
+    def row(examples) -> tuple[str, list[tuple[int, int, int]]]:
+        text, spans = " ".join(rng.choice(_WORDS) for _ in range(rng.randint(0, 3))), []
+        for kind, pattern in examples:
+            text += " " * bool(text)
+            v = value(kind, pattern)
+            if kind:
+                spans.append((KINDS.index(kind), len(text), len(text) + len(v)))
+            text += v + (rng.choice(["", "", "", ".", ","]) if kind else "")
+        return f"{text} {' '.join(rng.choice(_WORDS) for _ in range(rng.randint(0, 3)))}".strip(), spans
+
+    rows = [row([e]) for e in EXAMPLES for _ in range(repeats)]
+    return rows + [row(rng.choices(EXAMPLES, k=rng.randint(2, 4))) for _ in range(mixed)]
 
 
 def labelled_chains(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
@@ -253,7 +261,7 @@ class Crf:
 
 def train(rows: list[tuple[str, list[tuple[int, int, int]]]], *, rounds: int = 40, rate: float = 0.3,
           ridge: float = 1e-3) -> Crf:
-    """Maximum likelihood with AdaGrad over the distinct labelled chains (deterministic)."""
+    """Maximum likelihood with AdaGrad over the distinct labelled chains of at most 64 tokens (deterministic)."""
     seen: dict = {}
     for text, spans in rows:
         for f, y in labelled_chains(text, spans):
