@@ -12,7 +12,6 @@ a path is one verified repeated span. What a later document shares is removed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,96 +20,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_filter, identified, key_of, passes, short_batches, stored, texts, words_of
+from .wordhash import Runs, sliding_min, words
 
 #: Words of a window, and of the anchor whose repetition makes a window a candidate.
-K, ANCHOR = 13, 4
-#: Edges whose anchor is in more documents than this are grouped with partial aggregates and joined back.
-HOT_DOCS = 10_000
-_MIX = 0x9E3779B97F4A7C15
-_LOW = np.uint64((1 << 40) - 1)
-
-
-class _Hashes(dict):
-    """64 bits of each word, hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``n`` word hashes."""
-    out = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
-    for k in range(n if len(out) else 0):
-        out = (out + scramble(words[k:k + len(out)] + np.uint64((k + 1) * _MIX % 2**64))) * np.uint64(0xD6E8FEB86659FD93)
-    return scramble(out)
-
-
-def window_anchor(anchors: np.ndarray, span: int) -> np.ndarray:
-    """For each window of ``span`` anchors the place of its smallest one (the first of equals)."""
-    n = len(anchors) - span + 1
-    at = np.arange(n)
-    best = anchors[:n].copy()
-    for k in range(1, span):
-        less = anchors[k:k + n] < best
-        best[less] = anchors[k:k + n][less]
-        at[less] = (np.arange(n) + k)[less]
-    return at
-
-
-def _arrays(rows: list[str | None], hashes: _Hashes) -> list[np.ndarray]:
-    return [np.array([hashes[w] for w in words_of(t)], dtype=np.uint64) for t in rows]
+K, ANCHOR = 13, 5
+#: Edges whose anchor is in more documents than this are grouped with partial aggregates and joined back; the others
+#: are a window group of one task (some 20 MB of rows at most).
+HOT_DOCS = 500_000
+
+
+def windows(rows: list[str | None], k: int, anchor: int):
+    """For a batch of texts: the hashes of runs of words, and for each window of ``k`` words its text's
+    number, place in the batch, place in the text and anchor (the smallest hash of ``anchor`` words in it, 40 bits)."""
+    h, counts = words([t.encode() if t else b"" for t in rows])
+    run = Runs(h)
+    n = np.maximum(counts - (k - 1), 0)
+    text = np.repeat(np.arange(len(rows)), n)
+    pos = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    at = pos + np.repeat(np.cumsum(counts) - counts, n)
+    if not len(at):
+        return run, text, at, pos, np.zeros(0, np.uint64)
+    a = run.of(np.arange(len(h) - anchor + 1), anchor) >> np.uint64(24)
+    return run, text, at, pos, sliding_min(a, k - anchor + 1)[at]
 
 
 def anchors_of(docs: DataFrame, k: int, anchor: int) -> DataFrame:
-    """(h): the distinct anchors (40 bits) that the windows of each document pick."""
+    """(h): the distinct anchors that the windows of each document pick."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for _, rows in texts(batches):
-            out = []
-            for w in _arrays(rows, hashes):
-                if len(w) >= k:
-                    a = gram_hashes(w, anchor)
-                    out.append(np.unique(a[np.unique(window_anchor(a, k - anchor + 1))] & _LOW))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64))], names=["h"])
+            _, text, _, _, a = windows(rows, k, anchor)
+            if len(a):
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])])
+                a, text = a[new], text[new]
+                order = np.lexsort((a, text))
+                a, text = a[order], text[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new].astype(np.int64))], names=["h"])
 
     return docs.select("text").mapInArrow(run, "h long")
 
 
 def edges_of(docs: DataFrame, k: int, anchor: int, repeated, hot, want_hot: bool) -> DataFrame:
-    """(l, r, doc, pos): edges whose anchor passes ``repeated``; hot anchors apart. ``r`` has 32 bits."""
+    """(l, r, doc, pos): edges whose anchor passes ``repeated``; hot anchors apart. An edge is named by its
+    left node and 16 bits of its right one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keep, much = _Hashes(), repeated.value, hot.value
+        keep, much = repeated.value, hot.value
         for batch, rows in texts(batches):
-            left, right, owner, pos = [], [], [], []
-            for i, w in enumerate(_arrays(rows, hashes)):
-                if len(w) < k:
-                    continue
-                a = gram_hashes(w, anchor)
-                a = a[window_anchor(a, k - anchor + 1)] & _LOW
-                p = np.flatnonzero(passes(keep, a) & (passes(much, a) == want_hot))
-                if len(p):
-                    node = gram_hashes(w, k - 1)
-                    left.append(node[p])
-                    right.append(node[p + 1] >> np.uint64(32))
-                    owner.append(np.full(len(p), i))
-                    pos.append(p)
-            if left:
+            runs, text, at, pos, a = windows(rows, k, anchor)
+            p = np.flatnonzero(passes(keep, a) & (passes(much, a) == want_hot))
+            if len(p):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(right).astype(np.int64)),
-                     batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(pos).astype(np.int32))],
-                    names=["l", "r", "doc", "pos"])
+                    [pa.array(runs.of(at[p], k - 1).view(np.int64)), pa.array((runs.of(at[p] + 1, k - 1) >> np.uint64(48)).astype(np.int32)),
+                     batch.column(0).take(pa.array(text[p])), pa.array(pos[p].astype(np.int32))], names=["l", "r", "doc", "pos"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"l long, r long, doc {docs.schema['doc'].dataType.simpleString()}, pos int")
+    return docs.select("doc", "text").mapInArrow(run, f"l long, r int, doc {docs.schema['doc'].dataType.simpleString()}, pos int")
 
 
 def _later(edges: DataFrame) -> F.Column:
@@ -131,12 +94,12 @@ def repeated_spans(docs: DataFrame, *, k: int = K, anchor: int = ANCHOR, hot_doc
             .withColumn("first", F.min(F.struct("doc", "pos")).over(edge))
             .select("doc", "pos", "branch", F.col("first.doc").alias("source"), F.col("first.pos").alias("at")))
 
-    much = edges_of(docs, k, anchor, repeated, hot, True)
-    firsts = (much.groupBy("l", "r").agg(F.min("doc").alias("source"), F.min_by("pos", "doc").alias("at"), F.max("doc").alias("last"))
-              .where("source < last").drop("last").withColumn("branch", F.min("r").over(node) != F.max("r").over(node)))
-    much = much.join(firsts, ["l", "r"]).select("doc", "pos", "branch", "source", "at")
-
-    marks = cold.unionByName(much)
+    marks = cold
+    if found.where(F.col("n") > hot_docs).limit(1).count():  # else two passes over nothing
+        much = edges_of(docs, k, anchor, repeated, hot, True)
+        firsts = (much.groupBy("l", "r").agg(F.min("doc").alias("source"), F.min_by("pos", "doc").alias("at"), F.max("doc").alias("last"))
+                  .where("source < last").drop("last").withColumn("branch", F.min("r").over(node) != F.max("r").over(node)))
+        marks = marks.unionByName(much.join(firsts, ["l", "r"]).select("doc", "pos", "branch", "source", "at"))
     marks = marks.where(_later(marks))
     order = Window.partitionBy("doc").orderBy("pos")
     goes_on = ((F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("source").over(order).eqNullSafe(F.col("source"))
