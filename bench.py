@@ -43,7 +43,7 @@ def main() -> None:
 
     # header parse: one projection over every header, written once
     raw, q["parse"] = timed(lambda: ingest.materialize(
-        ingest.parse_headers(ingest.ensure_parallelism(headers)), "bench_parsed"))
+        ingest.parse_headers(headers.repartition(2 * cpus)), "bench_parsed"))
     parsed = ingest.gate(raw)
 
     # fold to releases (E1, E2, cross-group merge, C3) and partitioned write
@@ -60,11 +60,12 @@ def main() -> None:
     base_p, batch_p = parsed.where(~new), parsed.where(new)
     base_segs = ingest.materialize(ingest.collect_segments(base_p), "bench_base_segments")
     base_rel = store.read_releases(spark, store.write_releases(
-        ingest.with_storage_columns(ingest.build_releases(base_p, segments=base_segs))))
+        ingest.with_storage_columns(ingest.build_releases(base_p, segments=base_segs, gated=False))))
+    base_cand = ingest.materialize(ingest.fold_releases(base_p), "bench_base_candidates")
     base_rel.count()
 
     def up():
-        out, new_segs, ins = UP.upsert(base_rel, base_segs, batch_p)
+        out = UP.upsert(base_rel, base_segs, base_cand, batch_p)[0]
         return store.write_releases(out)
     _, q["upsert_10pct"] = timed(up)
 

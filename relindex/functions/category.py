@@ -37,19 +37,28 @@ def _adult_refine(s: Column) -> Column:
     )
 
 
-def infer_category(subject: Column, group: Column, hints: C.Hints | None = None,
-                   adult_keywords: tuple[str, ...] = C.DEFAULT_ADULT_KEYWORDS, tags: Column | None = None) -> Column:
-    """(subject, group) -> category id text, or NULL when nothing matches."""
+def group_hint(group: Column, hints: C.Hints | None = None) -> Column:
+    """The category key that the first hint token in a group's name stands for; NULL without."""
     hints = hints or C.Hints()
+    token = F.regexp_extract(F.lower(group), "|".join(re.escape(t) for t, _ in hints.pairs), 0)
+    return F.try_element_at(_map_lit(hints.token_map()), F.nullif(token, F.lit("")))
+
+
+def infer_category(subject: Column, group: Column, hints: C.Hints | None = None,
+                   adult_keywords: tuple[str, ...] = C.DEFAULT_ADULT_KEYWORDS, tags: Column | None = None,
+                   low: Column | None = None, hint: Column | None = None) -> Column:
+    """(subject, group) -> category id text, or NULL when nothing matches.
+
+    ``low`` (lower-cased subject), ``hint`` (``group_hint``) and ``tags`` are
+    computed here unless the caller has them as columns: the ladder reads them
+    in nearly every branch, and a branch computes an expression anew.
+    """
     K = C.CATEGORY_KEYS
-    s = F.lower(subject)
-    g = F.lower(group)
-    hint_re = "|".join(re.escape(t) for t, _ in hints.pairs)
-    token = F.nullif(F.regexp_extract(g, hint_re, 0), F.lit(""))
-    hint_key = F.try_element_at(_map_lit(hints.token_map()), token)
+    s = F.lower(subject) if low is None else low
+    hint_key = group_hint(group, hints) if hint is None else hint
     key_ids = _map_lit(K)
     tags = extract_tags(subject) if tags is None else tags
-    tag_key = F.try_element_at(F.filter(tags, lambda t: F.map_contains_key(key_ids, t)), F.lit(1))
+    tag_key = F.try_element_at(F.filter(tags, lambda t: t.isin([*K])), F.lit(1))
     adult_re = "|".join(re.escape(k) for k in adult_keywords)
     tv = F.regexp_like(s, F.lit(r"s\d{1,2}e\d{1,2}")) | s.contains("season") | s.contains("episode")
 
@@ -119,12 +128,13 @@ def allowed_extensions_for(cat_id: Column) -> Column:
 
 
 def min_size(title: Column, cat_id: Column, policy: C.SizePolicy | None = None) -> Column:
-    """Exact override -> first matching regex -> category floor -> 0."""
+    """Exact override (of the dated key, else of the bare title) -> first matching regex -> category floor -> 0."""
     policy = policy or C.SizePolicy()
     expr = None
     if policy.exact:
         m = F.create_map(*[x for k, v in policy.exact.items() for x in (F.lit(k), F.lit(int(v)).cast("long"))])
-        expr = F.when(F.map_contains_key(m, title), F.try_element_at(m, title))
+        own = F.coalesce(F.try_element_at(m, title), F.try_element_at(m, F.regexp_replace(title, r":\d{4}-\d{2}-\d{2}$", "")))
+        expr = F.when(own.isNotNull(), own)
     for pat, size in policy.patterns:
         cond = F.regexp_like(title, F.lit(pat))
         v = F.lit(int(size)).cast("long")

@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 RFC2822_OUT = "EEE, dd MMM yyyy HH:mm:ss Z"
 
 
-def parse_posted(date_text: Column) -> Column:
-    """RFC-2822 text (optional day name, numeric or GMT/UTC zone, or ISO
-    text) -> UTC timestamp; anything unparsable -> NULL."""
+#: Named zones of mail dates (RFC 2822) and their offsets.
+NAMED_ZONES: dict[str, str] = {
+    "GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
+def parse_posted(date_text: Column, iso: bool = False) -> Column:
+    """RFC-2822 text (optional day name and seconds, numeric or named zone,
+    two-digit years 69-99 and 00-68) -> UTC timestamp; anything unparsable ->
+    NULL. ISO text only with ``iso`` (stored values, not header dates)."""
     s = F.trim(F.regexp_replace(date_text, r"^\s*[A-Za-z]{3},\s*", ""))
     s = F.regexp_replace(s, r"\s+\([^)]*\)$", "")  # trailing "(UTC)" comment
-    named = F.regexp_replace(s, r"\s(GMT|UT|UTC|Z)$", " +0000")
-    return F.coalesce(
-        F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm Z")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-    )
+    zone = F.upper(F.regexp_extract(s, r"\s([A-Za-z]{1,4})$", 1))
+    pairs = [x for k, v in NAMED_ZONES.items() for x in (F.lit(k), F.lit(v))]
+    offset = F.try_element_at(F.create_map(*pairs), zone)
+    s = F.when(offset.isNotNull(), F.concat(F.regexp_replace(s, r"[A-Za-z]{1,4}$", ""), offset)).otherwise(s)
+    short = F.regexp_extract(s, r"^\d{1,2} [A-Za-z]{3} (\d{2}) ", 1)
+    century = F.when(short.try_cast("int") > 68, "19").otherwise("20")
+    s = F.when(short != "", F.concat(F.regexp_extract(s, r"^(\d{1,2} [A-Za-z]{3} )", 1), century,
+                                     F.regexp_extract(s, r"^\d{1,2} [A-Za-z]{3} (.*)$", 1))).otherwise(s)
+    forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"]
+    if iso:
+        forms += ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ss"]
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in forms])
 
 
 def day_bucket(ts: Column) -> Column:

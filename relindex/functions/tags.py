@@ -27,16 +27,31 @@ def _grp(s: Column, pattern: str, idx: int, dots: bool = True, gate: Column | No
     return v if gate is None else F.when(gate, v)
 
 
-def music_gate(subject: Column) -> Column:
-    return _any_contains(F.lower(subject), [e.lower() for e in C.AUDIO_EXTENSIONS])
+def _found(subject: Column, pattern: str, gate: Column | None) -> Column:
+    """The part of the subject that the pattern matches, searched once and only behind the gate; its
+    groups are then read from this short text. NULL without a match."""
+    hit = F.regexp_substr(subject, F.lit(pattern))
+    return hit if gate is None else F.when(gate, hit)
 
 
-def book_gate(subject: Column) -> Column:
-    return _any_contains(F.lower(subject), [e.lower() for e in C.BOOK_EXTENSIONS])
+def music_gate(low: Column) -> Column:
+    return _any_contains(low, [e.lower() for e in C.AUDIO_EXTENSIONS])
 
 
-def studio_gate(subject: Column) -> Column:
-    return _any_contains(F.lower(subject), C.STUDIO_GATES)
+def book_gate(low: Column) -> Column:
+    return _any_contains(low, [e.lower() for e in C.BOOK_EXTENSIONS])
+
+
+def studio_gate(low: Column) -> Column:
+    return _any_contains(low, C.STUDIO_GATES)
+
+
+def music_match(subject: Column, gate: Column | None = None) -> Column:
+    return _found(subject, MUSIC_RE, gate)
+
+
+def book_match(subject: Column, gate: Column | None = None) -> Column:
+    return _found(subject, BOOK_RE, gate)
 
 
 def music_tags(subject: Column, gate: Column | None = None) -> Column:
@@ -84,16 +99,17 @@ def _any_contains(lower: Column, needles: list[str]) -> Column:
     return cond
 
 
-def combine_tags(subject: Column, generic: Column, m: Column, b: Column, x: Column) -> Column:
+def combine_tags(subject: Column, generic: Column, m: Column, b: Column, x: Column, low: Column | None = None) -> Column:
     """B13 from precomputed parts: generic bracket tags, then extractor values
     (each behind its substring gate), lowered, order-preserving distinct.
 
     Slot order reproduces an insertion-ordered dict in which a later
     extractor overrides a shared key (``year``, ``format``) in place.
     """
-    use_m = m["year"].isNotNull() & music_gate(subject)
-    use_b = b["year"].isNotNull() & book_gate(subject)
-    use_x = studio_gate(subject)
+    low = F.lower(subject) if low is None else low
+    use_m = m["year"].isNotNull() & music_gate(low)
+    use_b = b["year"].isNotNull() & book_gate(low)
+    use_x = studio_gate(low)
 
     def g(flag: Column, v: Column) -> Column:
         return F.when(flag, v)

@@ -46,8 +46,11 @@ def header_parts(parsed_all: DataFrame, n_lookback: int = 0) -> DataFrame:
     )
 
 
-def backfill(targets: DataFrame, parsed_all: DataFrame, n_lookback: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def backfill(targets: DataFrame, parsed_all: DataFrame, n_lookback: int = 0,
+             groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I8: ``targets`` are release rows lacking segments (id, norm_title, source_group).
+    A target without a group takes the first group that has it in the order of
+    ``groups`` (name, pos), else (no list, or not on it) in order of name.
 
     Returns ``(filled, segments, unresolved)``: per-release part count / size,
     the found segments, and the releases to delete (D4)."""
@@ -66,7 +69,12 @@ def backfill(targets: DataFrame, parsed_all: DataFrame, n_lookback: int = 0) ->
     m2 = no_g.alias("t").join(
         p, (F.col("t.title") == F.col("p.title")) & F.col("t.day").eqNullSafe(F.col("p.day"))
     ).select("t.id", "t.norm_title", F.col("p.grp").alias("hit_grp"), "p.number", "p.message_id", "p.size")
-    first_grp = m2.groupBy("id").agg(F.min("hit_grp").alias("hit_grp"))
+    listed = m2.select("id", "hit_grp").distinct()
+    if groups is not None:
+        listed = listed.join(groups.groupBy(F.col("name").alias("hit_grp")).agg(F.min("pos").alias("pos")), "hit_grp", "left")
+    else:
+        listed = listed.withColumn("pos", F.lit(None).cast("int"))
+    first_grp = listed.groupBy("id").agg(F.min_by("hit_grp", F.struct(F.col("pos").isNull(), "pos", "hit_grp")).alias("hit_grp"))
     m2 = m2.join(first_grp, ["id", "hit_grp"])
     segs = m1.unionByName(m2).select("id", "norm_title", "number", "message_id", F.col("hit_grp").alias("group"), "size")
     filled = segs.groupBy("id", "norm_title").agg(

@@ -7,7 +7,7 @@ as a position column, never by collecting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -38,8 +38,10 @@ def intersect_ordered(curated: DataFrame, discovered: DataFrame) -> DataFrame:
 
 
 def missing(curated: DataFrame, discovered: DataFrame) -> DataFrame:
-    """H2: curated names absent from the server (sorted by name by the caller)."""
-    return curated.join(discovered.select("name").distinct(), "name", "left_anti").select("name")
+    """H2: curated names absent from the server with their rank by name (1 is first); the list is a
+    configuration table, so the ranking window over it is small."""
+    gone = curated.join(discovered.select("name").distinct(), "name", "left_anti").select("name").distinct()
+    return gone.select("name", F.row_number().over(Window.orderBy("name")).alias("rank"))
 
 
 def select_groups(mode: str, curated: DataFrame, configured: DataFrame, discovered: DataFrame,

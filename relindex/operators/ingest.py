@@ -32,16 +32,18 @@ ORDER_COLS = ["article_number", "message_id", "bytes"]
 
 
 def header_size(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Size from ``bytes``; when <= 0 and an id exists, look it up in
-    an optional ``(message_id, size)`` table (left join)."""
+    """Size from ``bytes``; headers without one that have an id look it
+    up in an optional ``(message_id, size)`` table. The table may repeat ids: it
+    is reduced to the largest size of each first, and only the headers that
+    need it are joined."""
+    known = F.coalesce(F.col("bytes"), F.lit(0).cast("long"))
     if sizes is None:
-        return df.withColumn("size", F.coalesce(F.col("bytes"), F.lit(0).cast("long")))
-    s = sizes.select(F.col("message_id").alias("_lk_id"), F.col("size").cast("long").alias("_lk_size"))
-    j = df.join(s, F.trim(df.message_id) == s._lk_id, "left")
-    return j.withColumn(
-        "size",
-        F.when(F.coalesce(F.col("bytes"), F.lit(0)) > 0, F.col("bytes")).otherwise(F.coalesce(F.col("_lk_size"), F.lit(0))),
-    ).drop("_lk_id", "_lk_size")
+        return df.withColumn("size", known)
+    one = (sizes.where(F.col("size") > 0).groupBy(F.trim(F.col("message_id")).alias("_id"))
+           .agg(F.max(F.col("size").cast("long")).alias("_size")))
+    have = df.where(known > 0).withColumn("size", known)
+    lack = df.where(known <= 0).withColumn("_id", F.trim("message_id")).join(one, "_id", "left")
+    return have.unionByName(lack.withColumn("size", F.coalesce("_size", F.lit(0).cast("long"))).drop("_id", "_size"))
 
 
 def parse_headers(headers: DataFrame, sizes: DataFrame | None = None, hints: C.Hints | None = None,
@@ -65,12 +67,16 @@ def parse_headers(headers: DataFrame, sizes: DataFrame | None = None, hints: C.H
         tx.clean_text(F.col("grp")).alias("source_group"),
         d.parse_posted(F.col("date")).alias("posted_at"),
     )
+    low = F.col("_low")
+    p = p.select("*", F.lower("subject").alias("_low"), cat.group_hint(F.col("grp"), hints).alias("_hint"))
+    p = p.select("*", tg.music_match(F.col("subject"), tg.music_gate(low)).alias("_music"),
+                 tg.book_match(F.col("subject"), tg.book_gate(low)).alias("_book"))
     p = p.select(
         "*",
         tx.extract_tags(F.col("subject")).alias("_gtags"),
-        tg.music_tags(F.col("subject"), tg.music_gate(F.col("subject"))).alias("_m"),
-        tg.book_tags(F.col("subject"), tg.book_gate(F.col("subject"))).alias("_b"),
-        tg.studio_site_tags(F.col("subject"), tg.studio_gate(F.col("subject"))).alias("_x"),
+        tg.music_tags(F.col("_music"), F.col("_music").isNotNull()).alias("_m"),
+        tg.book_tags(F.col("_book"), F.col("_book").isNotNull()).alias("_b"),
+        tg.studio_site_tags(F.col("subject"), tg.studio_gate(low)).alias("_x"),
         tx.clean_text(tx.normalize_subject(F.col("subject"))).alias("norm_title"),
         F.coalesce(tx.detect_language(F.col("subject"), detect_lang), F.lit("und")).alias("language"),
         tx.file_extension(F.col("subject")).alias("extension"),
@@ -79,10 +85,11 @@ def parse_headers(headers: DataFrame, sizes: DataFrame | None = None, hints: C.H
     )
     p = p.select(
         "*",
-        tg.combine_tags(F.col("subject"), F.col("_gtags"), F.col("_m"), F.col("_b"), F.col("_x")).alias("tags"),
-        cat.category_or_other(cat.infer_category(F.col("subject"), F.col("grp"), hints, tags=F.col("_gtags"))).alias("category"),
+        tg.combine_tags(F.col("subject"), F.col("_gtags"), F.col("_m"), F.col("_b"), F.col("_x"), low).alias("tags"),
+        cat.category_or_other(cat.infer_category(F.col("subject"), F.col("grp"), hints, tags=F.col("_gtags"),
+                                                 low=low, hint=F.col("_hint"))).alias("category"),
         d.dedupe_key(F.col("norm_title"), F.col("posted_at")).alias("dedupe_key"),
-    ).drop("_gtags", "_m", "_b", "_x")
+    ).drop("_gtags", "_m", "_b", "_x", "_low", "_hint", "_music", "_book")
     p = p.withColumn("category_id", cat.category_id(F.col("category")))
     p = p.withColumn("_allowed", cat.allowed_extensions_for(F.col("category_id")))
     ext_ok = F.col("_allowed").isNull() | (
@@ -97,23 +104,13 @@ def gate(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("keep"))
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a CPU-heavy narrow stage over the cluster when its input is
-    under-split (e.g. one large row group). Inputs that already have at least
-    ``defaultParallelism`` partitions — every real header feed — pass through
-    without a shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
-def parsed_table(headers: DataFrame, name: str = "parsed_headers", **kw) -> DataFrame:
+def parsed_table(headers: DataFrame, name: str = "parsed_headers", partitions: int | None = None, **kw) -> DataFrame:
     """Parse once, write the result as Parquet under the shared checkpoint
     folder, and read it back gated. The three consumers (fold, tag union,
     segments) then scan a compact columnar table with column pruning instead
-    of re-running the regex parse three times."""
-    return gate(materialize(parse_headers(ensure_parallelism(headers), **kw), name))
+    of re-running the regex parse three times. ``partitions`` deals an input of
+    few large files out first; real feeds need none."""
+    return gate(materialize(parse_headers(headers.repartition(partitions) if partitions else headers, **kw), name))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -159,6 +156,18 @@ def fold_releases(parsed: DataFrame) -> DataFrame:
     )
 
 
+def merge_candidates(candidates: DataFrame) -> DataFrame:
+    """One candidate per ``(grp, dedupe_key)`` from those of several batches: what ``fold_releases`` would
+    make of all their headers together, whatever the batches were."""
+    return candidates.groupBy("grp", "dedupe_key").agg(
+        F.min_by(F.struct("category", "category_id", "language", "extension", "source_group"), F.col("first_ord")).alias("first"),
+        F.when(F.sum("n_headers") == 1, F.first("tags"))
+        .otherwise(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags"))))).alias("tags"),
+        F.sum("size_sum").alias("size_sum"), F.sum("n_headers").alias("n_headers"),
+        F.min("posted_at").alias("posted_at"), F.min("first_ord").alias("first_ord"),
+    ).select("grp", "dedupe_key", "first.*", "tags", "size_sum", "n_headers", "posted_at", "first_ord")
+
+
 def collect_segments(parsed: DataFrame) -> DataFrame:
     """E2 + D2: distinct segments per release title, first wins by
     ``(group, article order)`` — the order groups are processed in."""
@@ -177,22 +186,35 @@ def segment_totals(segments: DataFrame) -> DataFrame:
         F.sum("size").alias("seg_total"), F.count(F.lit(1)).alias("seg_count"))
 
 
-def build_releases(parsed: DataFrame, policy: C.SizePolicy | None = None, segments: DataFrame | None = None) -> DataFrame:
+def size_gate(releases: DataFrame, policy: C.SizePolicy | None = None) -> DataFrame:
+    """Hides releases whose segments stay below the minimum size. Applied
+    where a table is read, never to what is stored: a release that is too
+    small now may grow with a later batch."""
+    enough = F.col("size_bytes") >= cat.min_size(F.col("norm_title"), F.col("category_id"), policy)
+    return releases.where(~F.col("has_parts") | enough)
+
+
+def build_releases(parsed: DataFrame, policy: C.SizePolicy | None = None, segments: DataFrame | None = None,
+                   gated: bool = True) -> DataFrame:
     """Candidates -> release rows keyed by ``(norm_title, category_id)``.
 
     First candidate (group order) inserts; later non-null ``posted_at`` wins
     (last write); segments merge on the title alone and set size/part count
-    for every category row of the title; C3 removes rows whose segment total
-    is below the minimum size."""
-    cand = fold_releases(parsed)
+    for every category row of the title; C3 (``size_gate``) hides rows whose
+    segment total is below the minimum size unless ``gated`` is false."""
+    segs = segments if segments is not None else collect_segments(parsed)
+    out = releases_from(fold_releases(parsed), segment_totals(segs))
+    return size_gate(out, policy) if gated else out
+
+
+def releases_from(cand: DataFrame, tot: DataFrame) -> DataFrame:
+    """Release rows (ungated) from candidates and the segment totals of their titles."""
     rel = cand.groupBy(F.col("dedupe_key").alias("norm_title"), "category_id").agg(
         F.min_by(F.struct("category", "language", "tags", "extension", "source_group", "size_sum"), F.col("grp")).alias("f"),
         F.max_by(F.col("posted_at"), F.when(F.col("posted_at").isNotNull(), F.col("grp"))).alias("posted_at"),
     )
-    segs = segments if segments is not None else collect_segments(parsed)
-    tot = segment_totals(segs)
     j = rel.join(tot, "norm_title", "left")
-    out = j.select(
+    return j.select(
         release_id(F.col("norm_title"), F.col("category_id")).alias("id"),
         "norm_title",
         F.col("f.category").alias("category"),
@@ -206,9 +228,6 @@ def build_releases(parsed: DataFrame, policy: C.SizePolicy | None = None, segmen
         (F.coalesce(F.col("seg_count"), F.lit(0)) > 0).alias("has_parts"),
         F.coalesce(F.col("seg_count"), F.lit(0)).cast("int").alias("part_count"),
     )
-    keep = F.col("has_parts") == False  # noqa: E712  (no segments: gate not applied)
-    keep = keep | (F.col("size_bytes") >= cat.min_size(F.col("norm_title"), F.col("category_id"), policy))
-    return out.where(keep)
 
 
 def release_id(title, category_id):

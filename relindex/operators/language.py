@@ -1,18 +1,15 @@
-"""Statistical language identification as a Spark job (character
-trigram profiles, out-of-place rank distance).
-
-* Whole texts are used: every trigram of every document is counted.
-* Profiles: ``groupBy(lang, gram)`` counts (partial aggregation), ranked per
-  language; a profile keeps the ``profile_size`` most frequent trigrams —
-  the profile length is the method's parameter.
-* Scoring is an equi-join of document trigrams with the profiles on
-  ``gram`` (no cross join): matched trigrams add ``|rank_doc - rank_lang|``,
-  unmatched ones the maximum penalty, computed from per-document totals.
+"""Statistical language identification as a Spark job (character trigrams).
+
+Every trigram of every document counts, in training and in scoring: a language
+has the smoothed relative frequency of each of its trigrams, a document takes
+the language with the largest log-likelihood. Scoring is an equi-join of the
+documents' distinct trigrams with the languages' on ``gram``; a trigram that a
+language lacks is settled from the document's total, so nothing is crossed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,26 +22,25 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return g.where(~F.col("gram").contains("  ")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _top(counts: DataFrame, key: str, size: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col("n").desc(), F.col("gram").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
-
-
-def train_profiles(docs: DataFrame, grams: DataFrame, profile_size: int = 300) -> DataFrame:
-    """(lang, gram, rank) from labelled documents."""
+def train_profiles(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(lang, gram, weight, missing): log-likelihood of a trigram with add-one smoothing, and that of one
+    the language never had."""
     lg = grams.join(docs.select("doc_id", "lang").where(F.col("lang").isNotNull()), "doc_id") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return _top(lg, "lang", profile_size).select("lang", "gram", F.col("rank").alias("lang_rank"))
-
-
-def classify(grams: DataFrame, profiles: DataFrame, profile_size: int = 300) -> DataFrame:
-    """(doc_id, predicted, distance): the language with the smallest out-of-place distance."""
-    top = _top(grams, "doc_id", profile_size).select("doc_id", "gram", F.col("rank").alias("doc_rank"))
-    tot = top.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_doc"))
-    m = top.join(profiles, "gram").groupBy("doc_id", "lang").agg(
-        F.sum(F.abs(F.col("doc_rank") - F.col("lang_rank"))).alias("matched_cost"),
-        F.count(F.lit(1)).alias("n_matched"))
-    m = m.join(tot, "doc_id").withColumn(
-        "distance", F.col("matched_cost") + (F.col("n_doc") - F.col("n_matched")) * profile_size)
-    return m.groupBy("doc_id").agg(F.min_by(F.struct("lang", "distance"), F.struct("distance", "lang")).alias("b")) \
-        .select("doc_id", F.col("b.lang").alias("predicted"), F.col("b.distance").alias("distance"))
+    total = lg.groupBy("lang").agg(F.sum("n").alias("total"))
+    kinds = lg.select("gram").distinct().agg(F.count(F.lit(1)).alias("kinds"))
+    base = F.col("total") + F.col("kinds")
+    return lg.join(total, "lang").join(F.broadcast(kinds)).select(
+        "lang", "gram", F.ln((F.col("n") + 1) / base).alias("weight"), F.ln(1 / base).alias("missing"))
+
+
+def classify(grams: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(doc_id, predicted): the language with the largest log-likelihood, ties by name. Languages are few
+    (their list and constants are broadcast); a document that shares no trigram with any has none."""
+    gain = (grams.join(profiles, "gram").groupBy("doc_id", "lang")
+            .agg(F.sum(F.col("n") * (F.col("weight") - F.col("missing"))).alias("gain")))
+    constants = profiles.groupBy("lang").agg(F.min("missing").alias("missing"))
+    size = grams.groupBy("doc_id").agg(F.sum("n").alias("size"))
+    scored = gain.join(F.broadcast(constants), "lang").join(size, "doc_id").withColumn(
+        "score", F.col("gain") + F.col("size") * F.col("missing"))
+    return scored.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("score"), "lang")).alias("predicted"))

@@ -28,7 +28,7 @@ def _split(df: DataFrame, remove: Column) -> tuple[DataFrame, DataFrame]:
 
 def prune_filetypes(releases: DataFrame, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Remove rows whose extension is set and not allowed."""
-    allowed = allowed or C.allowed_prune_extensions()
+    allowed = allowed or C.prune_extensions()
     ext = F.col("extension")
     return _split(releases, ext.isNotNull() & ~F.lower(ext).isin(allowed))
 
@@ -134,7 +134,7 @@ def drop_empty_partitions(spark: SparkSession, releases: DataFrame, first_year:
 def renormalize_merge(stored: DataFrame) -> DataFrame:
     """Re-normalize stored titles (``title:YYYY-MM-DD`` keys), regroup by
     new key: summed size, union of tags (sorted), first non-empty category /
-    language / group by id order, min posted_at, merged segment counts."""
+    language / group by id order (ids are unique), min posted_at, rows merged."""
     sk = d.split_key(F.col("norm_title"))
     s = stored.select(
         "*",
@@ -158,15 +158,16 @@ def renormalize_merge(stored: DataFrame) -> DataFrame:
 
 
 def category_audit(releases: DataFrame, hints: C.Hints | None = None) -> DataFrame:
-    """Recompute the category from ``title [tag] ...`` + group; rows with
-    no inference are skipped. Returns per-row expected category and mismatch flag."""
+    """Recompute the category from ``title [tag] ...`` + group. Returns every
+    row with its expected category (NULL: none inferred, no mismatch) and a flag."""
     tag_items = F.array_join(F.transform(F.filter(F.split(F.coalesce(F.col("tags"), F.lit("")), ","),
                                                   lambda t: t != ""), lambda t: F.concat(F.lit("["), t, F.lit("]"))), " ")
     pseudo = F.trim(F.concat_ws(" ", F.coalesce(F.col("norm_title"), F.lit("")), tag_items))
     grp = F.coalesce(F.col("source_group"), F.lit("None"))
-    r = releases.select("*", cat.infer_category(pseudo, grp, hints).alias("expected"))
-    r = r.where(F.col("expected").isNotNull())
-    return r.withColumn("mismatch", ~F.col("category_id").eqNullSafe(F.col("expected").cast("int")))
+    r = releases.select("*", F.lower(pseudo).alias("_low"), tx.extract_tags(pseudo).alias("_gtags"), cat.group_hint(grp, hints).alias("_hint"))
+    r = r.withColumn("expected", cat.infer_category(F.col("_low"), grp, hints, tags=F.col("_gtags"), low=F.col("_low"), hint=F.col("_hint")))
+    return r.drop("_low", "_gtags", "_hint").withColumn(
+        "mismatch", F.col("expected").isNotNull() & ~F.col("category_id").eqNullSafe(F.col("expected").cast("int")))
 
 
 def rewrite_categories(audited: DataFrame) -> DataFrame:

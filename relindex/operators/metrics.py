@@ -36,10 +36,14 @@ def ingest_summary(metrics: DataFrame) -> DataFrame:
         F.sum("remaining").alias("remaining"), F.count(F.lit(1)).alias("groups"))
 
 
-def adaptive_poll_seconds(metrics: DataFrame, lo: int = 5, hi: int = 60) -> DataFrame:
-    """K5: poll delay between ``lo`` and ``hi`` seconds, shorter when much remains."""
-    ratio = F.when(F.col("high_water") > 0, F.col("remaining") / F.col("high_water")).otherwise(F.lit(0.0))
-    return metrics.withColumn("poll_seconds", (F.lit(hi) - F.round(ratio * (hi - lo))).cast("int"))
+def adaptive_poll_seconds(summary: DataFrame, lo: int = 5, hi: int = 60) -> DataFrame:
+    """K5: suggested delay after each batch: ``hi`` when nothing remains, ``lo``
+    when nothing was processed, else the shorter the larger the remaining
+    share of processed and remaining articles."""
+    share = F.col("remaining") / (F.col("processed") + F.col("remaining"))
+    delay = (F.when(F.col("remaining") <= 0, F.lit(float(hi))).when(F.col("processed") <= 0, F.lit(float(lo)))
+             .otherwise(F.lit(lo) + F.lit(hi - lo) * (1 - share)))
+    return summary.withColumn("poll_seconds", delay)
 
 
 def labelled_counters(events: DataFrame, label_path: str = "$.k") -> DataFrame:

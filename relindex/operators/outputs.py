@@ -2,8 +2,8 @@
 (A12), per-release NZB XML documents (A10) and the bulk ``getnzb`` job (J6);
 legacy segment JSON decoding and repair (B19, B20, I7).
 
-Arrays are only materialized per release *after* the cap check, so no
-collected list exceeds ``NZB_MAX_SEGMENTS`` entries.
+A manifest is written as ordered parts of a bounded number of segments, and
+legacy lists are decoded to rows, so no row holds a release of any size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def xml_attr(c: Column) -> Column:
     return F.replace(xml_text(c), F.lit('"'), F.lit("&quot;"))
 
 
-def segment_status(releases: DataFrame, segments: DataFrame, max_segments: int = C.NZB_MAX_SEGMENTS) -> DataFrame:
+def segment_status(releases: DataFrame, segments: DataFrame, max_segments: int | None = C.NZB_MAX_SEGMENTS) -> DataFrame:
     """A11 + A12 + B20: per release ``status`` in ok / no_segments / invalid /
     over_limit, with the segment count; all aggregates are decomposable."""
     valid = (F.col("number").isNotNull() & F.col("size").isNotNull() & F.col("message_id").isNotNull()
@@ -39,79 +39,111 @@ def segment_status(releases: DataFrame, segments: DataFrame, max_segments: int =
     r = releases.select("id", "norm_title", "category_id").join(st, "norm_title", "left")
     status = (F.when(F.coalesce(F.col("n_segments"), F.lit(0)) == 0, F.lit("no_segments"))
               .when(F.col("n_invalid") > 0, F.lit("invalid"))
-              .when(F.col("n_segments") > max_segments, F.lit("over_limit"))
+              .when(F.lit(False) if max_segments is None else F.col("n_segments") > max_segments, F.lit("over_limit"))
               .otherwise(F.lit("ok")))
     return r.select("id", "norm_title", "category_id", F.coalesce(F.col("n_segments"), F.lit(0)).alias("n_segments"),
                     status.alias("status"))
 
 
-def manifests(releases: DataFrame, segments: DataFrame, max_segments: int = C.NZB_MAX_SEGMENTS) -> DataFrame:
-    """One XML document per release whose status is ``ok``.
+#: Segment numbers that one part of a manifest covers.
+PART_NUMBERS = 1000
 
-    Groups appear once, in order of the sorted segment list; segments are
-    sorted by number (message id breaks ties, so the order is total)."""
+
+def manifests(releases: DataFrame, segments: DataFrame, max_segments: int | None = None) -> DataFrame:
+    """The XML document of each valid release, as parts ``(id, part, nzb)`` that give the
+    document when joined in order of ``part``.
+
+    Part -1 opens it with the groups (each once, in order of its first segment), the others hold the
+    segments of ``PART_NUMBERS`` numbers each, sorted by number (message id breaks ties), the last one closes
+    it. No release is left out for its size unless ``max_segments`` (A12) is given."""
     st = segment_status(releases, segments, max_segments)
     ok = st.where(F.col("status") == "ok").select("id", "norm_title")
-    seg = segments.join(ok, "norm_title")  # inner: only capped, valid releases
-    seg_xml = F.concat(F.lit('<segment bytes="'), F.col("size").cast("string"), F.lit('" number="'),
-                       F.col("number").cast("string"), F.lit('">'), xml_text(F.col("message_id")), F.lit("</segment>"))
-    per = seg.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("number", "message_id", seg_xml.alias("x"), "group"))).alias("s"))
-    groups = F.array_distinct(F.transform(F.filter(F.col("s"), lambda e: F.coalesce(e["group"], F.lit("")) != ""),
-                                          lambda e: e["group"]))
-    doc = F.concat(
-        F.lit(XML_DECL + f'<nzb xmlns="{NZB_XMLNS}"><file subject="'), xml_attr(F.col("id").cast("string")),
-        F.lit('"><groups>'),
-        F.array_join(F.transform(groups, lambda g: F.concat(F.lit("<group>"), xml_text(g), F.lit("</group>"))), ""),
-        F.lit("</groups><segments>"),
-        F.array_join(F.transform(F.col("s"), lambda e: e["x"]), ""),
-        F.lit("</segments></file></nzb>"),
-    )
-    return per.select("id", doc.alias("nzb"))
+    seg = segments.join(ok, "norm_title").withColumn("part", F.floor(F.col("number") / PART_NUMBERS).cast("int"))
+    xml = F.concat(F.lit('<segment bytes="'), F.col("size").cast("string"), F.lit('" number="'),
+                   F.col("number").cast("string"), F.lit('">'), xml_text(F.col("message_id")), F.lit("</segment>"))
+    body = seg.groupBy("id", "part").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("number", "message_id", xml.alias("x")))), lambda e: e["x"]), "").alias("nzb"))
+    last = seg.groupBy("id").agg(F.max("part").alias("last"))
+    body = body.join(last, "id").select("id", "part", F.when(
+        F.col("part") == F.col("last"), F.concat("nzb", F.lit("</segments></file></nzb>"))).otherwise(F.col("nzb")).alias("nzb"))
+    named = (seg.where(F.coalesce(F.col("group"), F.lit("")) != "").groupBy("id", "group")
+             .agg(F.min(F.struct("number", "message_id")).alias("o"))
+             .groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "group"))), lambda g: F.concat(
+                 F.lit("<group>"), xml_text(g["group"]), F.lit("</group>"))), "").alias("groups")))
+    head = last.join(named, "id", "left").select("id", F.lit(-1).alias("part"), F.concat(
+        F.lit(XML_DECL + f'<nzb xmlns="{NZB_XMLNS}"><file subject="'), xml_attr(F.col("id").cast("string")), F.lit('"><groups>'),
+        F.coalesce("groups", F.lit("")), F.lit("</groups><segments>")).alias("nzb"))
+    return head.unionByName(body)
 
 
 # ---------------------------------------------------------------- legacy JSON
 
 def legacy_segment_json(segments: DataFrame) -> DataFrame:
     """Fixture for B19/I7: the older storage, a JSON text per title; list form
-    ``[n, id, group, size]`` for titles with an odd segment count."""
-    obj = F.to_json(F.struct("number", "message_id", "group", "size"))
-    lst = F.format_string('[%d,"%s","%s",%d]', F.col("number"), F.col("message_id"), F.col("group"), F.col("size"))
+    ``[n, id, group, size]`` for titles with an odd segment count. By the
+    length of the title some entries are of old kinds: number as text and
+    ``<>`` around the id (rest 1 of 5), a size that is no number (rest 2), a
+    missing size (rest 3), three entries only (rest 4, list form)."""
+    kind = F.length("norm_title") % 5
+    bare = F.to_json(F.struct("number", "message_id", "group", "size"))
+    text = F.to_json(F.struct(F.col("number").cast("string").alias("number"), F.concat(F.lit("<"), "message_id", F.lit(">")).alias("message_id"), "group", "size"))
+    bad = F.to_json(F.struct("number", "message_id", "group", F.lit("x").alias("size")))
+    none = F.to_json(F.struct("number", "message_id", "group"))
+    obj = F.when(kind == 1, text).when(kind == 2, bad).when(kind == 3, none).otherwise(bare)
+    lst = F.when(kind == 4, F.format_string('[%d,"%s","%s"]', "number", "message_id", "group")).otherwise(
+        F.format_string('[%d,"%s","%s",%d]', F.col("number"), F.col("message_id"), F.col("group"), F.col("size")))
     per = segments.groupBy("norm_title").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_list(F.struct("number", "message_id", obj.alias("o"), lst.alias("l")))).alias("s"))
     txt = F.when(F.col("n") % 2 == 1, F.transform("s", lambda e: e["l"])).otherwise(F.transform("s", lambda e: e["o"]))
-    return per.select("norm_title", F.concat(F.lit("["), F.array_join(txt, ","), F.lit("]")).alias("segments"))
+    return per.select("norm_title", F.concat(F.lit("[ "), F.array_join(txt, ","), F.lit("]")).alias("segments"))
 
 
-def decode_segments(legacy: DataFrame) -> DataFrame:
-    """JSON text -> one row per entry (dict or list form), ``<>`` stripped,
-    size NULL -> 0; ``valid`` (B20) when number/id/size are all usable;
-    unparsable text yields no rows (counts as no segments)."""
-    v = legacy.select("norm_title", F.try_parse_json(F.col("segments")).alias("j"))
-    e = v.where(F.col("j").isNotNull()).select("norm_title", F.expr("posexplode(cast(j as array<variant>))").alias("pos", "v"))
+#: What an entry of the canonical form looks like: these keys and types, no others.
+CANONICAL = "OBJECT<group: STRING, message_id: STRING, number: BIGINT, size: BIGINT>"
 
-    def get(path_obj: str, idx: int, typ: str) -> Column:
-        return F.coalesce(F.try_variant_get(F.col("v"), path_obj, typ), F.try_variant_get(F.col("v"), f"$[{idx}]", typ))
 
-    num = get("$.number", 0, "int")
-    mid = F.regexp_replace(get("$.message_id", 1, "string"), r"^[<>]+|[<>]+$", "")
-    grp = get("$.group", 2, "string")
-    size = F.coalesce(get("$.size", 3, "long"), F.lit(0).cast("long"))
-    out = e.select("norm_title", "pos", num.alias("number"), mid.alias("message_id"), grp.alias("group"), size.alias("size"))
-    return out.withColumn("valid", F.col("number").isNotNull() & F.col("message_id").isNotNull() & (F.col("message_id") != ""))
+def decode_segments(legacy: DataFrame) -> DataFrame:
+    """B19 + B20: JSON text -> one row per entry.
+
+    ``valid``: the entry is an object with exactly the four keys, whole numbers
+    and an id without ``<>``. ``convertible``: number and size are numbers or
+    the text of one (a missing or null size of an object is 0), the entry is an
+    object or a list of four at least; then number, message_id (without the
+    surrounding ``<>``), group and size are given, else they are NULL. Text
+    that does not parse, or is no list, yields no rows."""
+    v = legacy.select("norm_title", F.try_parse_json(F.col("segments")).alias("j"))
+    v = v.where(F.col("j").isNotNull() & F.schema_of_variant("j").startswith("ARRAY"))
+    e = v.select("norm_title", F.expr("posexplode(cast(j as array<variant>))").alias("pos", "v"))
+    e = e.withColumn("kind", F.schema_of_variant("v"))
+    is_obj, is_list = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
+
+    def get(name: str, idx: int, typ: str) -> Column:
+        return F.when(is_obj, F.try_variant_get("v", f"$.{name}", typ)).when(is_list, F.try_variant_get("v", f"$[{idx}]", typ))
+
+    def whole(name: str, idx: int) -> Column:
+        text = get(name, idx, "string")
+        return F.when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("long"))
+
+    size_text = get("size", 3, "string")
+    number = F.when(is_obj & get("number", 0, "string").isNull(), F.lit(0).cast("long")).otherwise(whole("number", 0))
+    size = F.when(is_obj & (F.coalesce(size_text, F.lit("")) == ""), F.lit(0).cast("long")).otherwise(whole("size", 3))
+    raw_id = F.coalesce(get("message_id", 1, "string"), F.lit(""))
+    out = e.select("norm_title", "pos", "kind", number.alias("number"), raw_id.alias("raw_id"),
+                   F.coalesce(get("group", 2, "string"), F.lit("")).alias("group"), size.alias("size"))
+    ok = F.col("number").isNotNull() & F.col("size").isNotNull()
+    return out.select(
+        "norm_title", "pos", F.when(ok, F.col("number")).alias("number"),
+        F.when(ok, F.regexp_replace("raw_id", r"^[<>]+|[<>]+$", "")).alias("message_id"),
+        F.when(ok, F.col("group")).alias("group"), F.when(ok, F.col("size")).alias("size"),
+        ((F.col("kind") == CANONICAL) & ~F.col("raw_id").rlike("[<>]")).alias("valid"), ok.alias("convertible"))
 
 
 def repair_segments(legacy: DataFrame) -> DataFrame:
-    """Rewrite only rows whose list is not in the canonical dict form but
-    whose every entry converts; other rows are left as they are."""
+    """The entries of the lists to rewrite, as rows in canonical form: lists
+    with an entry that is not valid, all of whose entries convert. Other lists
+    are left alone. Per title only two flags are aggregated."""
     d = decode_segments(legacy)
-    per = d.groupBy("norm_title").agg(
-        F.min(F.col("valid").cast("int")).alias("all_valid"),
-        F.array_sort(F.collect_list(F.struct("pos", "number", "message_id", "group", "size"))).alias("s"))
-    canon = F.to_json(F.transform(F.col("s"), lambda e: F.struct(e["number"].alias("number"), e["message_id"].alias("message_id"),
-                                                                  e["group"].alias("group"), e["size"].alias("size"))))
-    j = legacy.join(per, "norm_title", "left")
-    is_dict = F.col("segments").startswith('[{')
-    fix = (~is_dict) & (F.col("all_valid") == 1)
-    return j.select("norm_title", F.when(fix, canon).otherwise(F.col("segments")).alias("segments"), fix.alias("rewritten"))
+    todo = (d.groupBy("norm_title").agg(F.bool_and("valid").alias("fine"), F.bool_and("convertible").alias("can"))
+            .where("NOT fine AND can").select("norm_title"))
+    return d.join(todo, "norm_title", "left_semi").select("norm_title", "pos", "number", "message_id", "group", "size")

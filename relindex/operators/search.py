@@ -44,20 +44,22 @@ class SearchQuery:
     has_vector: bool = True
 
     def validated(self) -> "SearchQuery":
-        """limit/offset/length checks; offset above the cap is clamped."""
+        """limit/offset/length checks; each violation is an error, so no caller gets another page than asked for."""
         if self.limit < 0:
             raise ValueError("limit must be >= 0")
         if self.offset < 0:
             raise ValueError("offset must be >= 0")
         if self.limit > C.MAX_LIMIT:
             raise ValueError("limit too high")
+        if self.offset > C.MAX_OFFSET:
+            raise ValueError("offset too high")
         q = (self.q or "").strip() or None
         if q is not None and len(q) > C.MAX_QUERY_LENGTH:
             raise ValueError("query too long")
         for v in (self.cat, self.tag, self.sort):
             if v is not None and len(v) > C.MAX_PARAM_LENGTH:
                 raise ValueError("parameter too long")
-        return SearchQuery(q, self.cat, self.tag, self.sort, self.limit, min(self.offset, C.MAX_OFFSET),
+        return SearchQuery(q, self.cat, self.tag, self.sort, self.limit, self.offset,
                            self.api_key, self.has_vector)
 
 
@@ -157,17 +159,20 @@ def items(page: DataFrame, as_of: str, api_key: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- categories
 
-def category_dimension(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``(id, name, parent)``; a bad config file falls back to defaults."""
-    rows = C.load_categories(path)
-    df = spark.createDataFrame([(i, n, p) for p, (i, n) in enumerate(rows)], "id string, name string, pos int")
+def category_dimension(spark: SparkSession, categories: DataFrame | None = None) -> DataFrame:
+    """``(id, name, pos, parent)`` of the default categories, or of a
+    table (id, name) such as ``sources.policies.read_categories`` gives."""
+    if categories is None:
+        df = spark.createDataFrame([(i, n, p) for p, (i, n) in enumerate(C.DEFAULT_CATEGORIES)], "id string, name string, pos int")
+    else:
+        df = categories.select("id", "name", F.col("id").try_cast("int").alias("pos"))
     return df.withColumn("parent", F.split(F.col("name"), "/").getItem(0))
 
 
-def expand_categories(spark: SparkSession, ids: list[str], path: str | None = None) -> list[str]:
+def expand_categories(spark: SparkSession, ids: list[str], categories: DataFrame | None = None) -> list[str]:
     """H4 (driver-side, tiny dimension): parent id -> all ids with that parent
     name; child and unknown ids stay; first-seen order, distinct."""
-    rows = C.load_categories(path)
+    rows = C.DEFAULT_CATEGORIES if categories is None else [(r["id"], r["name"]) for r in categories.select("id", "name").collect()]
     name_of = {i: n for i, n in rows}
     children: dict[str, list[str]] = {}
     for i, n in rows:
@@ -236,5 +241,5 @@ def typed_search(releases: DataFrame, kind: str, sq: SearchQuery) -> DataFrame:
     """J2 tvsearch / J3 movie / J4 music / J5 book: J1 with default ids when
     ``cat`` is absent; the extra parameters of these modes are accepted but unused."""
     defaults = {"tv": tv_ids, "movie": movie_ids, "music": audio_ids, "book": book_ids}[kind]()
-    cats = sq.cat if sq.cat else ",".join(defaults)
+    cats = ",".join(expand_categories(releases.sparkSession, split_categories(sq.cat)) if sq.cat else defaults)
     return search(releases, SearchQuery(sq.q, cats, sq.tag, sq.sort, sq.limit, sq.offset, sq.api_key, sq.has_vector))

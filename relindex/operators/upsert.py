@@ -1,21 +1,23 @@
 """Incremental upsert of a header batch into an existing release table
 (A5 with D1 ``existing_keys`` and D2 ``merge_segments``).
 
-Semantics (per batch):
-* candidates ``(norm_title, category_id)`` not in the table are inserted with
-  the first candidate's attributes (group order);
-* existing keys only take a new non-NULL ``posted_at`` (last write wins);
-* segments merge on the title alone, stored segments win on a repeated
-  message id; size / part count are recomputed for every category row of a
-  touched title;
-* C3: a (title, category) candidate of this batch whose merged total is below
-  its minimum size is removed.
+The state is three tables: releases, segments, and the folded candidates per
+``(grp, dedupe_key)``. All three merge by rules that do not depend on how the
+headers were cut into batches:
 
-Scale: the batch is small relative to the table. The key joins carry the
-partition column ``bucket`` (a pure function of ``category_id``), so Spark's
-dynamic partition pruning restricts the table scan to the buckets present in
-the batch; AQE broadcasts the batch side only after measuring it. Segment
-merging touches only titles present in the batch (``left_semi`` first).
+* a candidate keeps the attributes of its first header in article order, the
+  sum of sizes and the union of tags (``ingest.merge_candidates``);
+* segments merge on the title alone, stored segments win on a repeated
+  message id;
+* the releases of a touched title are rebuilt from its merged candidates and
+  segments, for every category row of the title;
+* nothing is removed: the size gate (C3, ``ingest.size_gate``) hides rows that
+  are below their minimum where the table is read, so a title that grows with a
+  later batch, also through another category, comes into sight.
+
+Scale: the batch is small relative to the tables. Each of them is joined once,
+semi and anti, with the batch's distinct titles, which AQE broadcasts after
+measuring them; only the rows of touched titles are aggregated again.
 """
 
 from __future__ import annotations
@@ -23,71 +25,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config as C
-from ..functions import category as cat
 from . import ingest
 
 
-def batch_candidates(parsed_batch: DataFrame) -> DataFrame:
-    cand = ingest.fold_releases(parsed_batch)
-    return cand.groupBy(F.col("dedupe_key").alias("norm_title"), "category_id").agg(
-        F.min_by(F.struct("category", "language", "tags", "extension", "source_group", "size_sum"), F.col("grp")).alias("f"),
-        F.max_by(F.col("posted_at"), F.when(F.col("posted_at").isNotNull(), F.col("grp"))).alias("new_posted"),
-    ).withColumn("bucket", cat.category_bucket(F.col("category_id")))
-
-
-def upsert(releases: DataFrame, segments: DataFrame, parsed_batch: DataFrame,
-           policy: C.SizePolicy | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns ``(new_releases, new_segments, inserted_keys)``."""
-    keys = ["bucket", "norm_title", "category_id"]
-    cand = batch_candidates(parsed_batch)
-    rel = releases if "bucket" in releases.columns else releases.withColumn("bucket", cat.category_bucket(F.col("category_id")))
-
-    # Existing vs new keys
-    inserted = cand.join(rel.select(*keys), keys, "left_anti")
-    existing = cand.join(rel.select(*keys), keys, "left_semi")
-
-    # Merge segments (stored wins) for titles present in the batch
-    batch_segs = ingest.collect_segments(parsed_batch)
-    touched_titles = batch_segs.select("norm_title").distinct()
-    old_segs_t = segments.join(touched_titles, "norm_title", "left_semi")
-    merged = (
-        old_segs_t.withColumn("_prio", F.lit(0))
-        .unionByName(batch_segs.withColumn("_prio", F.lit(1)))
+def merge_segments(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct segments per title; stored ones win on a repeated message id."""
+    return (
+        stored.withColumn("_prio", F.lit(0)).unionByName(new.withColumn("_prio", F.lit(1)))
         .groupBy("norm_title", "message_id")
         .agg(F.min_by(F.struct("number", "group", "size"), F.col("_prio")).alias("s"))
         .select("norm_title", F.col("s.number").alias("number"), "message_id",
                 F.col("s.group").alias("group"), F.col("s.size").alias("size"))
     )
-    new_segments = segments.join(touched_titles, "norm_title", "left_anti").unionByName(merged)
-    tot = ingest.segment_totals(merged)
 
-    # rows of the table: update posted_at for existing keys, sizes for touched titles
-    upd = existing.select(*keys, "new_posted")
-    r = rel.join(upd, keys, "left").join(tot, "norm_title", "left")
-    r = r.select(
-        *[c for c in rel.columns if c not in ("posted_at", "size_bytes", "has_parts", "part_count", "posted_year")],
-        F.coalesce(F.col("new_posted"), F.col("posted_at")).alias("posted_at"),
-        F.coalesce(F.col("seg_total"), F.col("size_bytes")).alias("size_bytes"),
-        F.when(F.col("seg_count").isNotNull(), F.col("seg_count") > 0).otherwise(F.col("has_parts")).alias("has_parts"),
-        F.coalesce(F.col("seg_count").cast("int"), F.col("part_count")).alias("part_count"),
-    )
-    # inserted rows
-    ins = inserted.join(tot, "norm_title", "left").select(
-        ingest.release_id(F.col("norm_title"), F.col("category_id")).alias("id"),
-        "norm_title", F.col("f.category").alias("category"), "category_id",
-        F.col("f.language").alias("language"), F.array_join(F.col("f.tags"), ",").alias("tags"),
-        F.col("f.extension").alias("extension"), F.col("f.source_group").alias("source_group"),
-        "bucket",
-        F.col("new_posted").alias("posted_at"),
-        F.coalesce(F.col("seg_total"), F.when(F.col("f.size_sum") > 0, F.col("f.size_sum"))).alias("size_bytes"),
-        (F.coalesce(F.col("seg_count"), F.lit(0)) > 0).alias("has_parts"),
-        F.coalesce(F.col("seg_count"), F.lit(0)).cast("int").alias("part_count"),
+
+def upsert(releases: DataFrame, segments: DataFrame, candidates: DataFrame,
+           parsed_batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Returns ``(new_releases, new_segments, new_candidates, inserted_keys)``; ``releases`` is the ungated table."""
+    new = ingest.fold_releases(parsed_batch)
+    titles = new.select(F.col("dedupe_key").alias("norm_title")).distinct()
+    keyed = titles.withColumnRenamed("norm_title", "dedupe_key")
+
+    merged = ingest.merge_candidates(candidates.join(keyed, "dedupe_key", "left_semi").unionByName(new))
+    segs = merge_segments(segments.join(titles, "norm_title", "left_semi"), ingest.collect_segments(parsed_batch))
+    rebuilt = ingest.with_storage_columns(ingest.releases_from(merged, ingest.segment_totals(segs)))
+
+    keys = ["norm_title", "category_id"]
+    inserted = rebuilt.select(*keys).join(releases.select(*keys), keys, "left_anti")  # D1
+    return (
+        releases.join(titles, "norm_title", "left_anti").unionByName(rebuilt),
+        segments.join(titles, "norm_title", "left_anti").unionByName(segs),
+        candidates.join(keyed, "dedupe_key", "left_anti").unionByName(merged),
+        inserted,
     )
-    out = r.unionByName(ins, allowMissingColumns=True)
-    # C3 on this batch's candidates with merged totals
-    gate_keys = cand.join(tot, "norm_title", "inner").where(
-        F.col("seg_total") < cat.min_size(F.col("norm_title"), F.col("category_id"), policy)).select(*keys)
-    out = out.join(gate_keys, keys, "left_anti")
-    out = ingest.with_storage_columns(out.drop("search_tokens"))
-    return out, new_segments, inserted.select("norm_title", "category_id")

@@ -23,14 +23,19 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_headers(spark, sf_dir)
 
 
+def deal(spark: SparkSession) -> int:
+    """Partitions for the parse: the driver's ``lineitem`` is a single file of one row group."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gated parsed headers, materialized once per call under the checkpoint folder."""
-    return ingest.parsed_table(headers(spark, sf_dir))
+    return ingest.parsed_table(headers(spark, sf_dir), partitions=deal(spark))
 
 
 def parsed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ungated parsed headers (gate flags kept as columns), materialized."""
-    return ingest.materialize(ingest.parse_headers(ingest.ensure_parallelism(headers(spark, sf_dir))), "parsed_all")
+    return ingest.materialize(ingest.parse_headers(headers(spark, sf_dir).repartition(deal(spark))), "parsed_all")
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:

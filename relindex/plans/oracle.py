@@ -161,15 +161,16 @@ WHERE NOT EXISTS (SELECT 1 FROM releases r WHERE r.bucket = b.bucket AND r.poste
 
 
 def sql_category_audit() -> str:
-    from .oracle_sql import category_sql
+    from .oracle_sql import category_sql, generic_tags_sql, hint_key_sql
     pseudo = ("trim(concat_ws(' ', coalesce(norm_title, ''), array_to_string(list_transform(list_filter("
               "string_split(coalesce(tags, ''), ','), lambda t: t <> ''), lambda t: '[' || t || ']'), ' ')))")
-    expected = category_sql(pseudo, "coalesce(source_group, 'None')").replace(f"END, {q(C.CATEGORY_KEYS['other'])})", "END, NULL)")
     return with_ctes(releases_ctes() + f""",
-aud AS (SELECT category_id, {expected} AS expected FROM releases)""", """
+aud0 AS MATERIALIZED (SELECT category_id, {pseudo} AS text, {hint_key_sql("coalesce(source_group, 'None')")} AS hint FROM releases),
+aud1 AS MATERIALIZED (SELECT category_id, hint, lower(text) AS low, {generic_tags_sql("text")} AS gt FROM aud0),
+aud AS (SELECT category_id, {category_sql("low", "gt", "hint", "NULL")} AS expected FROM aud1)""", """
 SELECT category_id, count(*) AS checked,
-  CAST(sum(CASE WHEN category_id IS NOT DISTINCT FROM CAST(expected AS INTEGER) THEN 0 ELSE 1 END) AS BIGINT) AS mismatches
-FROM aud WHERE expected IS NOT NULL GROUP BY category_id""")
+  CAST(sum(CASE WHEN expected IS NULL OR category_id = CAST(expected AS INTEGER) THEN 0 ELSE 1 END) AS BIGINT) AS mismatches
+FROM aud GROUP BY category_id""")
 
 
 REGISTRY.update({
@@ -177,7 +178,7 @@ REGISTRY.update({
     "A13_feed_items": sql_feed_items,
     "J7_caps": sql_caps,
     "I1_prune_filetypes": lambda: _rel_cols_sql(
-        "extension IS NOT NULL AND lower(extension) NOT IN (" + ", ".join(q(e) for e in C.allowed_prune_extensions()) + ")"),
+        "extension IS NOT NULL AND lower(extension) NOT IN (" + ", ".join(q(e) for e in C.prune_extensions()) + ")"),
     "I2_prune_sizes": sql_prune_sizes,
     "I3_prune_old": lambda: _rel_cols_sql(f"posted_at < TIMESTAMP '{AS_OF}' - INTERVAL 1500 DAY"),
     "I4_prune_partitions": sql_prune_partitions,
@@ -226,8 +227,13 @@ filled AS (
 
 REGISTRY.update({
     "D3_backfill_match": lambda: with_ctes(_backfill_ctes(), "SELECT id, norm_title, part_count, size_bytes FROM filled"),
-    "D4_backfill_unresolved": lambda: with_ctes(_backfill_ctes(10_000), """
-SELECT id, norm_title FROM tg WHERE id NOT IN (SELECT id FROM filled)"""),
+    "D4_backfill_unresolved": lambda: with_ctes(releases_ctes() + """,
+tgt AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed ' || norm_title ELSE norm_title END AS norm_title, id % 2 = 0 AS own_group, source_group FROM releases),
+seen AS (SELECT DISTINCT grp, lower(norm_title) AS title, strftime(posted_at, '%Y-%m-%d') AS day FROM parsed_all WHERE size > 0 AND seg_id IS NOT NULL),
+tk AS (SELECT *, lower(regexp_replace(norm_title, ':(\\d{4}-\\d{2}-\\d{2})$', '')) AS title,
+         nullif(regexp_extract(norm_title, ':(\\d{4}-\\d{2}-\\d{2})$', 1), '') AS day FROM tgt)""", """
+SELECT id, norm_title FROM tk WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.title = tk.title AND seen.day IS NOT DISTINCT FROM tk.day
+  AND (NOT own_group OR seen.grp = tk.source_group))"""),
     "G5_lookback": lambda: with_ctes(releases_ctes() + """,
 hi AS (SELECT grp, max(article_number) AS hi FROM parsed_all GROUP BY grp)""", """
 SELECT p.grp, count(*) AS headers, min(article_number) AS first_article
@@ -260,16 +266,103 @@ status AS (
 def sql_manifest() -> str:
     seg = ("'<segment bytes=\"' || CAST(s.size AS VARCHAR) || '\" number=\"' || CAST(s.number AS VARCHAR) || '\">' || "
            + _esc("message_id") + " || '</segment>'")
-    return with_ctes(_status_ctes(C.NZB_MAX_SEGMENTS) + f""",
+    return with_ctes(_status_ctes(10 ** 9) + f""",
 ok AS (SELECT id, norm_title FROM status WHERE status = 'ok'),
-sg AS (SELECT ok.id, s.number AS number, g.message_id, s."group" AS grp, {seg} AS x
+sg AS MATERIALIZED (SELECT ok.id, s.number AS number, CAST(floor(s.number / 1000) AS INTEGER) AS part, g.message_id, s."group" AS grp, {seg} AS x
        FROM segments g JOIN ok ON g.norm_title = ok.norm_title),
-gr AS (SELECT id, grp, min((number, message_id)) AS o FROM sg WHERE coalesce(grp, '') <> '' GROUP BY id, grp)""", f"""
-SELECT s.id, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<nzb xmlns="http://www.newzbin.com/DTD/2003/nzb"><file subject="'
-  || CAST(s.id AS VARCHAR) || '"><groups>'
-  || coalesce((SELECT string_agg('<group>' || {_esc('grp')} || '</group>', '' ORDER BY o) FROM gr WHERE gr.id = s.id), '')
-  || '</groups><segments>' || string_agg(x, '' ORDER BY number, message_id) || '</segments></file></nzb>' AS nzb
-FROM sg s GROUP BY s.id""")
+gr AS (SELECT id, grp, min((number, message_id)) AS o FROM sg WHERE coalesce(grp, '') <> '' GROUP BY id, grp),
+gl AS (SELECT id, string_agg('<group>' || {_esc('grp')} || '</group>', '' ORDER BY o) AS groups FROM gr GROUP BY id),
+la AS (SELECT id, max(part) AS last FROM sg GROUP BY id)""", f"""
+SELECT la.id, -1 AS part, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<nzb xmlns="http://www.newzbin.com/DTD/2003/nzb"><file subject="'
+  || CAST(la.id AS VARCHAR) || '"><groups>' || coalesce(groups, '') || '</groups><segments>' AS nzb FROM la LEFT JOIN gl USING (id)
+UNION ALL
+SELECT sg.id, part, string_agg(x, '' ORDER BY number, message_id) || CASE WHEN part = last THEN '</segments></file></nzb>' ELSE '' END
+FROM sg JOIN la USING (id) GROUP BY sg.id, part, last""")
+
+
+def _legacy_ctes() -> str:
+    """Entries of the legacy fixture, by its own rules: list form for odd counts, old kinds by title length."""
+    return releases_ctes() + """,
+lg AS (
+  SELECT norm_title, row_number() OVER (PARTITION BY norm_title ORDER BY s.number, message_id) - 1 AS pos,
+    s.number AS number, message_id, s."group" AS grp, s.size AS size,
+    count(*) OVER (PARTITION BY norm_title) % 2 = 1 AS list_form, length(norm_title) % 5 AS kind
+  FROM segments),
+en AS (
+  SELECT *, CASE WHEN list_form THEN false ELSE kind IN (0, 4) END AS valid,
+    CASE WHEN list_form THEN kind <> 4 ELSE kind <> 2 END AS convertible,
+    CASE WHEN NOT list_form AND kind = 3 THEN 0 ELSE size END AS out_size
+  FROM lg)"""
+
+
+def sql_decode_segments() -> str:
+    return with_ctes(_legacy_ctes(), """
+SELECT norm_title, CAST(pos AS INTEGER) AS pos, CASE WHEN convertible THEN CAST(number AS BIGINT) END AS number,
+  CASE WHEN convertible THEN message_id END AS message_id, CASE WHEN convertible THEN coalesce(grp, '') END AS "group",
+  CASE WHEN convertible THEN out_size END AS size, valid, convertible FROM en""")
+
+
+def sql_repair_segments() -> str:
+    return with_ctes(_legacy_ctes(), """
+SELECT norm_title, CAST(pos AS INTEGER) AS pos, CAST(number AS BIGINT) AS number, message_id, coalesce(grp, '') AS "group", out_size AS size
+FROM en WHERE norm_title IN (SELECT norm_title FROM en GROUP BY norm_title HAVING NOT bool_and(valid) AND bool_and(convertible))""")
+
+
+def _table_sql(bucket: bool) -> str:
+    return with_ctes(releases_ctes(), f"""
+SELECT norm_title, category_id, size_bytes, part_count, has_parts, {ts_text('posted_at')} AS posted_at{', bucket' if bucket else ''} FROM releases""")
+
+
+def sql_renormalize() -> str:
+    from .oracle_sql import normalize_sql
+    return with_ctes(parsed_ctes() + f""",
+st AS MATERIALIZED (
+  SELECT (grp, article_number, message_id, size, subject) AS id, lower(regexp_replace(subject, '\\s*\\(\\d+/\\d+\\).*$', '')) AS raw,
+    strftime(posted_at, '%Y-%m-%d') AS day, category, language, tags, source_group, size, posted_at FROM parsed),
+rn AS MATERIALIZED (SELECT *, {normalize_sql("raw")} || coalesce(':' || day, '') AS new_title FROM st),
+tg AS (SELECT new_title, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags
+       FROM (SELECT new_title, unnest(string_split(array_to_string(tags, ','), ',')) AS tag FROM rn) WHERE tag <> '' GROUP BY new_title)""", f"""
+SELECT rn.new_title, arg_min(category, id) FILTER (coalesce(category, '') <> '') AS category, arg_min(language, id) FILTER (coalesce(language, '') <> '') AS language,
+  arg_min(source_group, id) FILTER (coalesce(source_group, '') <> '') AS source_group, CAST(sum(size) AS BIGINT) AS size_bytes, count(*) AS merged_rows,
+  coalesce(any_value(tg.tags), '') AS tags, {ts_text('min(posted_at)')} AS posted_at
+FROM rn LEFT JOIN tg USING (new_title) GROUP BY rn.new_title""")
+
+
+def sql_language_profile() -> str:
+    return """
+WITH d AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
+g AS MATERIALIZED (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, s[i:i + 2] AS gram FROM (
+  SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM d WHERE length(s) >= 3)) WHERE NOT contains(gram, '  ') GROUP BY ALL),
+lg AS MATERIALIZED (SELECT lang, gram, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE lang IS NOT NULL AND doc_id % 4 <> 0 GROUP BY ALL),
+k AS (SELECT count(DISTINCT gram) AS kinds FROM lg),
+t AS (SELECT lang, sum(n) + any_value(kinds) AS base FROM lg, k GROUP BY lang),
+p AS (SELECT lang, gram, ln((n + 1) / base) - ln(1 / base) AS gain FROM lg JOIN t USING (lang)),
+z AS (SELECT doc_id, sum(n) AS size FROM g GROUP BY doc_id),
+sc AS (SELECT doc_id, lang, sum(n * gain) + any_value(size) * ln(1 / any_value(base)) AS score
+       FROM g JOIN p USING (gram) JOIN t USING (lang) JOIN z USING (doc_id) GROUP BY doc_id, lang)
+SELECT documents.doc_id, documents.lang, b.predicted FROM documents LEFT JOIN (
+  SELECT doc_id, arg_min(lang, (-score, lang)) AS predicted FROM sc GROUP BY doc_id) b USING (doc_id)"""
+
+
+def sql_size_lookup() -> str:
+    return with_ctes(headers_ctes_only() + """,
+sz AS (SELECT '<' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey || '@x>' AS message_id,
+         max(CAST(trunc(l_quantity) AS BIGINT) * 1000) AS size FROM lineitem WHERE l_partkey % 100 = 0 GROUP BY 1)""", """
+SELECT grp, count(*) AS headers, count(*) FILTER (bytes <= 0) AS without_bytes,
+  count(*) FILTER (CASE WHEN bytes > 0 THEN bytes ELSE coalesce(sz.size, 0) END > 0) AS with_size,
+  CAST(sum(CASE WHEN bytes > 0 THEN bytes ELSE coalesce(sz.size, 0) END) AS BIGINT) AS size
+FROM headers LEFT JOIN sz USING (message_id) GROUP BY grp""")
+
+
+REGISTRY.update({
+    "B19_decode_segments": sql_decode_segments,
+    "I7_repair_segments": sql_repair_segments,
+    "A5_upsert_increment": lambda: _table_sql(True),
+    "K1_stream_ingest": lambda: _table_sql(False),
+    "E3_renormalize_merge": sql_renormalize,
+    "B9_language_profile": sql_language_profile,
+    "B2_size_lookup": sql_size_lookup,
+})
 
 
 REGISTRY.update({
@@ -330,7 +423,7 @@ REGISTRY.update({
     "H1_group_intersection": lambda: with_ctes(headers_ctes_only(), f"""
 SELECT name, pos FROM {_curated_sql()} WHERE name IN (SELECT grp FROM headers)"""),
     "H2_group_missing": lambda: with_ctes(headers_ctes_only(), f"""
-SELECT name FROM {_curated_sql()} WHERE name NOT IN (SELECT grp FROM headers)"""),
+SELECT name, row_number() OVER (ORDER BY name) AS rank FROM {_curated_sql()} WHERE name NOT IN (SELECT grp FROM headers)"""),
     "E5_batch_metrics": lambda: with_ctes(_metrics_ctes(), "SELECT * FROM m"),
     "E6_ingest_summary": lambda: with_ctes(_metrics_ctes(), """
 SELECT batch, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(inserted) AS BIGINT) AS inserted,
@@ -348,3 +441,18 @@ FROM parsed_all GROUP BY grp"""),
 })
 
 REGISTRY["K6_rate_window_stream"] = REGISTRY["E11_rate_window_counts"]
+
+REGISTRY.update({
+    "K2_group_progress": lambda: with_ctes(headers_ctes_only(), """
+SELECT grp, max(article_number) AS last_article FROM headers GROUP BY grp"""),
+    "K5_poll_seconds": lambda: with_ctes(_metrics_ctes() + """,
+sm AS (SELECT batch, sum(processed) AS p, sum(remaining) AS r FROM m GROUP BY batch)""", """
+SELECT batch, CAST(CASE WHEN r <= 0 THEN 60.0 WHEN p <= 0 THEN 5.0 ELSE 5 + 55 * (1 - r / (p + r)) END AS DOUBLE) AS poll_seconds FROM sm"""),
+    "I2_prune_sizes_written": lambda: with_ctes(releases_ctes(), f"""
+SELECT bucket, CAST(posted_year AS INTEGER) AS posted_year, count(*) AS n FROM releases
+WHERE NOT coalesce((({min_size_sql("norm_title", "category_id", PRUNE_POLICY)}) > 0 AND coalesce(size_bytes, 0) < ({min_size_sql("norm_title", "category_id", PRUNE_POLICY)}))
+  OR coalesce(size_bytes, 0) > {PRUNE_POLICY.max_size}, false) GROUP BY ALL"""),
+    "I4_prune_partitions_written": lambda: with_ctes(releases_ctes(), f"""
+SELECT bucket, CAST(posted_year AS INTEGER) AS posted_year, count(*) AS n FROM releases
+WHERE NOT coalesce(bucket <> {q(C.OTHER_BUCKET)} AND posted_at < TIMESTAMP '1998-05-15', false) GROUP BY ALL"""),
+})

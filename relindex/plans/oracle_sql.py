@@ -104,31 +104,29 @@ def _grp(col: str, pattern: str, idx: int, dots: bool = True) -> str:
     return f"nullif({v}, '')"
 
 
-def subject_tags_sql(col: str) -> str:
+def extract_columns_sql(col: str) -> str:
+    """Every regex of the tag extractors once, as columns gt, m1..m5, b1..b5, st, sx, x1..x3."""
     low = f"lower({col})"
     M, B, S, T = tg.MUSIC_RE, tg.BOOK_RE, tg.STUDIO_RE, tg.SITE_RE
-    use_m = f"({_contains_any(low, [e.lower() for e in C.AUDIO_EXTENSIONS])} AND {_grp(col, M, 3)} IS NOT NULL)"
-    use_b = f"({_contains_any(low, [e.lower() for e in C.BOOK_EXTENSIONS])} AND {_grp(col, B, 3)} IS NOT NULL)"
-    use_x = _contains_any(low, C.STUDIO_GATES)
-
-    def g(flag, v):
-        return f"CASE WHEN {flag} THEN {v} END"
-
-    with_m = (f"[{_grp(col, M, 1)}, {_grp(col, M, 2)}, coalesce({g(use_b, _grp(col, B, 3))}, {_grp(col, M, 3)}), "
-              f"coalesce({g(use_b, 'upper(' + _grp(col, B, 4) + ')')}, upper({_grp(col, M, 4)})), {_grp(col, M, 5)}, "
-              f"{g(use_b, _grp(col, B, 1))}, {g(use_b, _grp(col, B, 2))}, {g(use_b, _grp(col, B, 5))}]")
-    without_m = (f"[{g(use_b, _grp(col, B, 1))}, {g(use_b, _grp(col, B, 2))}, {g(use_b, _grp(col, B, 3))}, "
-                 f"{g(use_b, 'upper(' + _grp(col, B, 4) + ')')}, {g(use_b, _grp(col, B, 5))}]")
-    studio = f"regexp_matches({col}, {q(S)})"
-    site = f"regexp_matches({col}, {q(T)})"
-    xs = (f"CASE WHEN {use_x} THEN [coalesce(CASE WHEN {studio} THEN {_grp(col, S, 1)} END, "
-          f"CASE WHEN NOT {studio} AND {site} THEN {_grp(col, T, 1)} END), "
-          f"CASE WHEN {studio} THEN {_grp(col, S, 2, False)} WHEN {site} THEN {_grp(col, T, 2, False)} END, "
-          f"CASE WHEN {studio} THEN {_grp(col, S, 3, False)} END] ELSE CAST([] AS VARCHAR[]) END")
-    slots = f"CASE WHEN {use_m} THEN {with_m} ELSE {without_m} END"
-    vals = f"list_filter(list_transform(list_concat({slots}, {xs}), lambda v: lower(v)), lambda v: v IS NOT NULL AND v <> '')"
-    allv = f"list_concat({generic_tags_sql(col)}, {vals})"
-    return f"list_filter({allv}, lambda x, i: list_position({allv}, x) = i)"
+    out = [f"{low} AS low", f"{generic_tags_sql(col)} AS gt"]
+    for name, pattern, gate in (("m", M, C.AUDIO_EXTENSIONS), ("b", B, C.BOOK_EXTENSIONS)):
+        ok = _contains_any(low, [e.lower() for e in gate])
+        out += [f"CASE WHEN {ok} THEN {_grp(col, pattern, k)} END AS {name}{k}" for k in range(1, 6)]
+    out += [f"{_contains_any(low, C.STUDIO_GATES)} AS gx", f"regexp_matches({col}, {q(S)}) AS st", f"regexp_matches({col}, {q(T)}) AS si",
+            f"{_grp(col, S, 1)} AS s1", f"{_grp(col, S, 2, False)} AS s2", f"{_grp(col, S, 3, False)} AS s3",
+            f"{_grp(col, T, 1)} AS t1", f"{_grp(col, T, 2, False)} AS t2"]
+    return ",\n    ".join(out)
+
+
+def subject_tags_sql() -> str:
+    """The combined tag list from the columns of ``extract_columns_sql``."""
+    b = {k: f"CASE WHEN b3 IS NOT NULL THEN {'upper(b4)' if k == 4 else f'b{k}'} END" for k in range(1, 6)}
+    with_m = f"[m1, m2, coalesce({b[3]}, m3), coalesce({b[4]}, upper(m4)), m5, {b[1]}, {b[2]}, {b[5]}]"
+    without_m = f"[{b[1]}, {b[2]}, {b[3]}, {b[4]}, {b[5]}]"
+    xs = ("CASE WHEN gx THEN [CASE WHEN st THEN s1 WHEN si THEN t1 END, CASE WHEN st THEN s2 WHEN si THEN t2 END, "
+          "CASE WHEN st THEN s3 END] ELSE CAST([] AS VARCHAR[]) END")
+    slots = f"CASE WHEN m3 IS NOT NULL THEN {with_m} ELSE {without_m} END"
+    return f"list_concat(gt, list_filter(list_transform(list_concat({slots}, {xs}), lambda v: lower(v)), lambda v: v IS NOT NULL AND v <> ''))"
 
 
 def language_sql(col: str) -> str:
@@ -144,22 +142,28 @@ def _adult_refine(s: str) -> str:
             f"THEN {q(K['xxx_x264'])} ELSE {q(K['xxx'])} END")
 
 
-def category_sql(subject: str, group: str) -> str:
-    K = C.CATEGORY_KEYS
+def _lookup(col: str, table: dict[str, str]) -> str:
+    """Value of a key by its place in two lists; NULL for other keys."""
+    keys, values = ("[" + ", ".join(q(x) for x in xs) + "]" for xs in (table.keys(), table.values()))
+    return f"({values})[list_position({keys}, {col})]"
+
+
+def hint_key_sql(group: str) -> str:
+    """Category key that the group's name hints at; no group gives none."""
     hints = C.Hints()
-    s = f"lower({subject})"
-    tok = f"nullif(regexp_extract(lower({group}), {q(_alts([t for t, _ in hints.pairs]))}, 0), '')"
-    hint_key = "CASE " + " ".join(f"WHEN {tok} = {q(t)} THEN {q(k)}" for t, k in hints.token_map().items()) + " END"
-    key_case = lambda x: "CASE " + " ".join(f"WHEN {x} = {q(k)} THEN {q(v)}" for k, v in K.items()) + " END"
+    return _lookup(f"regexp_extract(lower({group}), {q(_alts([t for t, _ in hints.pairs]))}, 0)", hints.token_map())
+
+
+def category_sql(s: str, gt: str, hint: str, default: str) -> str:
+    """Category id from the lower-cased subject, its bracket tags and the group's hint key (column names)."""
+    K = C.CATEGORY_KEYS
     keys_list = "[" + ", ".join(q(k) for k in K) + "]"
-    tag_key = f"(list_filter({generic_tags_sql(subject)}, lambda t: list_contains({keys_list}, t)))[1]"
+    tag_key = f"(list_filter({gt}, lambda t: list_contains({keys_list}, t)))[1]"
     adult_re = _alts(C.DEFAULT_ADULT_KEYWORDS)
     tv = f"(regexp_matches({s}, 's\\d{{1,2}}e\\d{{1,2}}') OR contains({s}, 'season') OR contains({s}, 'episode'))"
-    grp_ok = f"({group} IS NOT NULL AND {group} <> '')"
     return f"""coalesce(CASE
-      WHEN {grp_ok} AND {hint_key} = 'xxx' THEN {_adult_refine(s)}
-      WHEN {grp_ok} AND {hint_key} IS NOT NULL THEN {key_case(hint_key)}
-      WHEN {tag_key} IS NOT NULL THEN {key_case(tag_key)}
+      WHEN {hint} = 'xxx' THEN {_adult_refine(s)}
+      ELSE coalesce({_lookup(hint, K)}, {_lookup(tag_key, K)}) END, CASE
       WHEN contains({s}, '[movies]') OR contains({s}, '[movie]') THEN {q(K['movies'])}
       WHEN contains({s}, '[tv]') THEN {q(K['tv'])}
       WHEN contains({s}, '[music]') OR contains({s}, '[audio]') THEN {q(K['audio'])}
@@ -181,7 +185,7 @@ def category_sql(subject: str, group: str) -> str:
       WHEN {_contains_any(s, ['album', 'single', 'music'])} THEN {q(K['audio'])}
       WHEN {_contains_any(s, ['cbz', 'cbr', 'comic'])} THEN {q(K['comics'])}
       WHEN {_contains_any(s, ['epub', 'mobi', 'pdf', 'ebook', 'isbn'])} THEN {q(K['ebook'])}
-    END, {q(K['other'])})"""
+    END, {default})"""
 
 
 def category_id_sql(col: str) -> str:
@@ -228,7 +232,7 @@ def parsed_ctes(gated: bool = True) -> str:
     date_s = "trim(regexp_replace(date, '^\\s*[A-Za-z]{3},\\s*', ''))"
     gate = "WHERE size > 0 AND (allowed IS NULL OR (extension IS NOT NULL AND coalesce(list_contains(allowed, extension), false)))" if gated else ""
     return headers_ctes() + f""",
-p0 AS (
+p0 AS MATERIALIZED (
   SELECT grp, article_number, bytes, coalesce(bytes, 0) AS size,
     trim({clean("coalesce(message_id, '')")}) AS message_id,
     {clean("coalesce(subject, '')")} AS subject,
@@ -236,26 +240,35 @@ p0 AS (
     try_strptime({date_s}, '%d %b %Y %H:%M:%S +0000') AS posted_at
   FROM headers
 ),
-p1 AS (
-  SELECT *,
+pg AS MATERIALIZED (SELECT grp, {hint_key_sql("grp")} AS hint FROM (SELECT DISTINCT grp FROM p0)),
+px AS MATERIALIZED (
+  SELECT p0.*, pg.hint,
+    {extract_columns_sql("subject")}
+  FROM p0 LEFT JOIN pg ON pg.grp = p0.grp
+),
+pt AS MATERIALIZED (
+  SELECT *, {subject_tags_sql()} AS every_tag, {category_sql("low", "gt", "hint", q(C.CATEGORY_KEYS['other']))} AS category
+  FROM px
+),
+p1 AS MATERIALIZED (
+  SELECT grp, article_number, bytes, size, message_id, subject, source_group, posted_at, category,
     {clean(normalize_sql("subject"))} AS norm_title,
-    {subject_tags_sql("subject")} AS tags,
+    list_filter(every_tag, lambda x, i: list_position(every_tag, x) = i) AS tags,
     {language_sql("subject")} AS language,
-    {category_sql("subject", "grp")} AS category,
     nullif(lower(regexp_extract(subject, '\\.([A-Za-z0-9]{{2,4}})\\b', 1)), '') AS extension,
     coalesce(try_cast(nullif(regexp_extract(subject, '\\((\\d+)/\\d+\\)', 1), '') AS INTEGER), 1) AS seg_number,
     nullif(regexp_replace(message_id, '^[<>]+|[<>]+$', '', 'g'), '') AS seg_id
-  FROM p0
+  FROM pt
 ),
-p2 AS (
+p2 AS MATERIALIZED (
   SELECT *,
     CASE WHEN posted_at IS NULL THEN norm_title ELSE norm_title || ':' || strftime(posted_at, '%Y-%m-%d') END AS dedupe_key,
     {category_id_sql("category")} AS category_id
   FROM p1
 ),
 p3 AS (SELECT *, {allowed_sql("category_id")} AS allowed FROM p2),
-parsed_all AS (SELECT * EXCLUDE (allowed) FROM p3),
-parsed AS (SELECT * EXCLUDE (allowed) FROM p3 {gate})"""
+parsed_all AS MATERIALIZED (SELECT * EXCLUDE (allowed) FROM p3),
+parsed AS MATERIALIZED (SELECT * EXCLUDE (allowed) FROM p3 {gate})"""
 
 
 def releases_ctes(policy: C.SizePolicy | None = None) -> str:
@@ -272,14 +285,14 @@ cand_t AS (
   SELECT grp, dedupe_key, list_sort(list(DISTINCT tag)) AS tag_union
   FROM (SELECT grp, dedupe_key, unnest(tags) AS tag FROM parsed) GROUP BY grp, dedupe_key
 ),
-candidates AS (
+candidates AS MATERIALIZED (
   SELECT a.grp, a.dedupe_key, f.category AS category, f.category_id AS category_id, f.language AS language,
     f.extension AS extension, f.source_group AS source_group,
     CASE WHEN n_headers = 1 THEN f.tags ELSE coalesce(t.tag_union, CAST([] AS VARCHAR[])) END AS tags,
     size_sum, n_headers, posted_at
   FROM cand_a a LEFT JOIN cand_t t ON a.grp = t.grp AND a.dedupe_key = t.dedupe_key
 ),
-segments AS (
+segments AS MATERIALIZED (
   SELECT dedupe_key AS norm_title, seg_id AS message_id,
     arg_min(struct_pack(number := seg_number, "group" := source_group, size := size), (grp, {ordk})) AS s
   FROM parsed WHERE seg_id IS NOT NULL GROUP BY dedupe_key, seg_id
@@ -294,7 +307,7 @@ rel0 AS (
     max_by(posted_at, CASE WHEN posted_at IS NOT NULL THEN grp END) AS posted_at
   FROM candidates GROUP BY dedupe_key, category_id
 ),
-rel1 AS (
+rel1 AS MATERIALIZED (
   SELECT CAST(('0x' || substr(md5(coalesce(r.norm_title, '') || chr(31) || CAST(r.category_id AS VARCHAR)), 1, 15)) AS BIGINT) AS id,
     r.norm_title, f.category AS category, r.category_id, f.language AS language,
     array_to_string(f.tags, ',') AS tags, f.extension AS extension, f.source_group AS source_group,
@@ -302,7 +315,7 @@ rel1 AS (
     r.posted_at, coalesce(t.seg_count, 0) > 0 AS has_parts, CAST(coalesce(t.seg_count, 0) AS INTEGER) AS part_count
   FROM rel0 r LEFT JOIN seg_tot t ON r.norm_title = t.norm_title
 ),
-releases AS (
+releases AS MATERIALIZED (
   SELECT *, {bucket_sql("category_id")} AS bucket, year(posted_at) AS posted_year,
     {search_tokens_sql("concat_ws(' ', norm_title, tags)")} AS search_tokens
   FROM rel1 WHERE NOT has_parts OR size_bytes >= {min_size_sql("norm_title", "category_id", policy)}

@@ -98,29 +98,31 @@ def q_tag_prefix(spark, sf_dir):
     return _page(K.releases(spark, sf_dir), S.SearchQuery(tag="s", limit=50, offset=50))
 
 
+def _typed(spark, sf_dir, kind, **kw):
+    r = S.typed_search(K.releases(spark, sf_dir), kind, S.SearchQuery(limit=100, **kw))
+    return r.select("norm_title", "category", "category_id", "size_bytes", K.ts_text(F.col("posted_at")).alias("posted_at"),
+                    F.date_format(F.coalesce(F.col("posted_at"), F.to_timestamp(F.lit(K.AS_OF))),
+                                  "EEE, dd MMM yyyy HH:mm:ss Z").alias("pub_date"))
+
+
 def q_tvsearch(spark, sf_dir):
-    """TV ids by default (H4 expansion of 5000)."""
-    return _page(K.releases(spark, sf_dir), _typed("tv"))
+    """J2 + H4: the parent TV category stands for all its children."""
+    return _typed(spark, sf_dir, "tv", cat="5000")
 
 
 def q_movie(spark, sf_dir):
-    """Movie ids, no query -> placeholder only when empty (H5)."""
-    return _page(K.releases(spark, sf_dir), _typed("movie"))
+    """Movie ids by default."""
+    return _typed(spark, sf_dir, "movie")
 
 
 def q_music(spark, sf_dir):
     """Audio ids, unknown sort falls back to date."""
-    return _page(K.releases(spark, sf_dir), _typed("music", sort="bogus"))
+    return _typed(spark, sf_dir, "music", sort="bogus")
 
 
 def q_book(spark, sf_dir):
-    """EBook ids (7020 only)."""
-    return _page(K.releases(spark, sf_dir), _typed("book"))
-
-
-def _typed(kind, **kw):
-    defaults = {"tv": S.tv_ids, "movie": S.movie_ids, "music": S.audio_ids, "book": S.book_ids}[kind]()
-    return S.SearchQuery(cat=",".join(defaults), limit=100, **kw)
+    """EBook ids by default."""
+    return _typed(spark, sf_dir, "book")
 
 
 def q_movie_placeholder(spark, sf_dir):
@@ -253,8 +255,12 @@ def q_backfill_match(spark, sf_dir):
 
 
 def q_backfill_unresolved(spark, sf_dir):
-    """Releases with no matching header inside the default 10 000-article lookback."""
-    return _backfill(spark, sf_dir, 10_000)[2]
+    """Releases with no matching header at all. Every fifth stored title is made one that no
+    header has (as after a renaming), half of the others lose their group."""
+    rel = K.releases(spark, sf_dir)
+    stale = F.when(F.col("id") % 5 == 0, F.concat(F.lit("renamed "), "norm_title")).otherwise(F.col("norm_title"))
+    targets = rel.select("id", stale.alias("norm_title"), F.when(F.col("id") % 2 == 0, F.col("source_group")).alias("source_group"))
+    return BF.backfill(targets, K.parsed_all(spark, sf_dir), groups=_curated(spark))[2]
 
 
 def q_lookback(spark, sf_dir):
@@ -270,9 +276,9 @@ def q_upsert_increment(spark, sf_dir):
     new = F.col("article_number") % 10 == 0
     base_p, batch_p = p.where(~new), p.where(new)
     segs = ingest.collect_segments(base_p)
-    rel = ingest.with_storage_columns(ingest.build_releases(base_p, segments=segs))
-    out, _, _ = UP.upsert(rel, segs, batch_p)
-    return out.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
+    rel = ingest.with_storage_columns(ingest.build_releases(base_p, segments=segs, gated=False))
+    out = UP.upsert(rel, segs, ingest.fold_releases(base_p), batch_p)[0]
+    return ingest.size_gate(out).select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
                       K.ts_text(F.col("posted_at")).alias("posted_at"), "bucket")
 
 
@@ -301,19 +307,19 @@ def q_segment_status(spark, sf_dir):
 
 
 def q_manifest(spark, sf_dir):
-    """A10 + J6: NZB XML per release under the default 1000-segment cap."""
+    """A10 + J6: NZB XML of every valid release, in parts."""
     r, s = _rel_and_segs(spark, sf_dir)
     return OUT.manifests(r, s)
 
 
 def q_decode_segments(spark, sf_dir):
-    """B19 + B20: legacy JSON (dict and list forms) decoded to rows."""
+    """B19 + B20: legacy JSON (dict and list forms, old kinds of entries) decoded to rows."""
     _, s = _rel_and_segs(spark, sf_dir)
     return OUT.decode_segments(OUT.legacy_segment_json(s))
 
 
 def q_repair_segments(spark, sf_dir):
-    """List-form rows rewritten to the canonical dict form."""
+    """The entries of rewritten lists."""
     _, s = _rel_and_segs(spark, sf_dir)
     return OUT.repair_segments(OUT.legacy_segment_json(s))
 
@@ -429,37 +435,46 @@ from ..streaming import ingest as ST  # noqa: E402
 
 def q_stream_ingest(spark, sf_dir):
     """K1 + K2 + K3 + K4: headers staged as 4 files, streamed one file per
-    micro-batch through parse -> fold -> upsert; returns the final table."""
+    micro-batch through parse -> fold -> upsert; returns the visible table."""
     import uuid as _uuid
 
     from ..session import table_path
     src = table_path(spark, f"stream-src-{_uuid.uuid4().hex[:8]}")
-    ST.stage_header_files(K.headers(spark, sf_dir), src, n_batches=4)
+    ST.stage_header_files(K.headers(spark, sf_dir), src, n_files=4)
     root = table_path(spark, f"stream-store-{_uuid.uuid4().hex[:8]}")
     qry = ST.incremental_ingest(spark, src, root, files_per_trigger=1)
     qry.awaitTermination()
-    rel = ST.ReleaseStateStore(spark, root).read("releases")
+    rel = ingest.size_gate(ST.ReleaseStateStore(spark, root).read("releases"))
     return rel.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
                       K.ts_text(F.col("posted_at")).alias("posted_at"))
 
 
+def q_stream_progress(spark, sf_dir):
+    """K2: the last article of each group after the stream."""
+    import uuid as _uuid
+
+    from ..session import table_path
+    src, root = (table_path(spark, f"stream-{k}-{_uuid.uuid4().hex[:8]}") for k in ("src", "store"))
+    ST.stage_header_files(K.headers(spark, sf_dir), src, n_files=2)
+    ST.incremental_ingest(spark, src, root).awaitTermination()
+    return ST.ReleaseStateStore(spark, root).read("progress")
+
+
 def q_stream_rate_window(spark, sf_dir):
     """K6: hourly per-user counts from an event stream (equals E11)."""
     import uuid as _uuid
 
     from ..session import table_path
-    src = table_path(spark, f"events-src-{_uuid.uuid4().hex[:8]}")
-    load_table(spark, sf_dir, "events").write.parquet(src)
-    name = f"rate_{_uuid.uuid4().hex[:8]}"
-    qry = ST.rate_window_stream(spark, src, "1 hour", 1, name)
-    qry.processAllAvailable()
-    qry.stop()
-    out = spark.table(name)
-    return out.withColumn("window_start", K.ts_text(F.col("window_start")))
+    src, out = (table_path(spark, f"events-{k}-{_uuid.uuid4().hex[:8]}") for k in ("src", "rate"))
+    load_table(spark, sf_dir, "events").repartition(8).write.parquet(src)
+    ST.rate_window_stream(spark, src, out, "1 hour").awaitTermination()
+    w = ST.rate_windows(spark, out, 1)
+    return w.withColumn("window_start", K.ts_text(F.col("window_start")))
 
 
 REGISTRY.update({
     "K1_stream_ingest": q_stream_ingest,
+    "K2_group_progress": q_stream_progress,
     "K6_rate_window_stream": q_stream_rate_window,
 })
 
@@ -469,12 +484,12 @@ from ..operators import language as LG  # noqa: E402
 
 
 def q_language_profile(spark, sf_dir):
-    """Trigram profiles trained on documents.lang, every document classified."""
+    """Trigram profiles learnt from documents whose id leaves another remainder than 0 by 4; every
+    document classified from all its trigrams."""
     docs = load_table(spark, sf_dir, "documents")
     grams = ingest.materialize(LG.trigrams(docs), "doc_trigrams")
-    prof = LG.train_profiles(docs, grams)
-    pred = LG.classify(grams, prof)
-    return docs.select("doc_id", "lang").join(pred, "doc_id", "left")
+    prof = ingest.materialize(LG.train_profiles(docs.where("doc_id % 4 <> 0"), grams), "language_profiles")
+    return docs.select("doc_id", "lang").join(LG.classify(grams, prof), "doc_id", "left")
 
 
 REGISTRY["B9_language_profile"] = q_language_profile
@@ -486,13 +501,56 @@ def q_renormalize_merge(spark, sf_dir):
     p = K.parsed(spark, sf_dir)
     raw = F.lower(F.regexp_replace(F.col("subject"), r"\s*\(\d+/\d+\).*$", ""))
     stored = p.select(
-        F.col("article_number").alias("id"),
+        # unique and ordered: two headers of one group may share an article number in the fixture
+        F.struct("grp", "article_number", "message_id", "size", "subject").alias("id"),
         F.when(F.col("posted_at").isNull(), raw)
         .otherwise(F.concat(raw, F.lit(":"), F.date_format("posted_at", "yyyy-MM-dd"))).alias("norm_title"),
         "category", "language", F.array_join("tags", ",").alias("tags"), "source_group",
         F.col("size").alias("size_bytes"), "posted_at")
     out = M.renormalize_merge(stored)
-    return out.select("new_title", "size_bytes", "merged_rows", "tags", K.ts_text(F.col("posted_at")).alias("posted_at"))
+    return out.select("new_title", "category", "language", "source_group", "size_bytes", "merged_rows", "tags", K.ts_text(F.col("posted_at")).alias("posted_at"))
 
 
 REGISTRY["E3_renormalize_merge"] = q_renormalize_merge
+
+
+def q_size_lookup(spark, sf_dir):
+    """B2 + D6: headers without bytes take their size from a table that repeats ids with other sizes."""
+    li = load_table(spark, sf_dir, "lineitem")
+    mid = F.concat(F.lit("<"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit("@x>"))
+    sizes = li.where("l_partkey % 100 = 0").select(mid.alias("message_id"), (F.col("l_quantity").cast("long") * 1000).alias("size"))
+    sizes = sizes.unionByName(sizes.withColumn("size", F.col("size") - 500)).unionByName(sizes.withColumn("size", F.lit(0).cast("long")))
+    return ingest.header_size(K.headers(spark, sf_dir), sizes).groupBy("grp").agg(
+        F.count(F.lit(1)).alias("headers"), F.count(F.when(F.col("bytes") <= 0, 1)).alias("without_bytes"),
+        F.count(F.when(F.col("size") > 0, 1)).alias("with_size"), F.sum("size").alias("size"))
+
+
+def q_poll_seconds(spark, sf_dir):
+    """K5: suggested delay after each batch."""
+    return MT.adaptive_poll_seconds(MT.ingest_summary(_metrics(spark, sf_dir))).select("batch", "poll_seconds")
+
+
+def _written_back(spark, sf_dir, prune):
+    """A store, a prune of it, its write-back, and what the new version holds."""
+    from ..sources import store
+    path = store.write_releases(K.releases(spark, sf_dir))
+    kept, removed = prune(store.read_releases(spark, path))[:2]
+    return M.partition_counts(store.read_releases(spark, store.rewrite(kept, removed, path)))
+
+
+def q_prune_sizes_written(spark, sf_dir):
+    """I2 with write-back: rows per partition afterwards."""
+    return _written_back(spark, sf_dir, lambda r: M.prune_sizes(r, PRUNE_POLICY))
+
+
+def q_prune_category_written(spark, sf_dir):
+    """I4 with write-back: partitions that lose all rows are gone."""
+    return _written_back(spark, sf_dir, lambda r: M.prune_partitions(r, "1998-05-15"))
+
+
+REGISTRY.update({
+    "B2_size_lookup": q_size_lookup,
+    "K5_poll_seconds": q_poll_seconds,
+    "I2_prune_sizes_written": q_prune_sizes_written,
+    "I4_prune_partitions_written": q_prune_category_written,
+})

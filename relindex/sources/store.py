@@ -1,8 +1,7 @@
 """Release store: Parquet partitioned by ``bucket`` / ``posted_year`` (A3, A4).
 
-Writes never overwrite the path being read: each write goes to a new
-versioned directory (or, for partition rewrites, uses dynamic partition
-overwrite so only touched ``bucket=/posted_year=`` directories change).
+Writes never overwrite the path being read: each write, a prune's write-back
+included, goes to a new versioned directory.
 Within each task rows are sorted by ``posted_at`` so file min/max statistics
 let date predicates skip row groups.
 """
@@ -65,7 +64,16 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("posted_year", F.col("posted_year").cast("int"))
 
 
-def overwrite_partitions(df: DataFrame, path: str) -> None:
-    """Rewrite only the partitions present in ``df`` (dynamic overwrite)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    write_releases(df, path, mode="overwrite")
+def rewrite(kept: DataFrame, removed: DataFrame, path: str, target: str | None = None) -> str:
+    """Write-back of a prune: a new table version of the ``kept`` rows of ``path``.
+
+    Partitions that lose no row are copied as they are (they are only read
+    under a partition filter), those that lose rows are written without them,
+    and those that lose all rows are not in the new version at all.
+    """
+    touched = removed.select(*PARTITION_COLS).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PARTITION_COLS]
+    mark = touched.select(*[F.col(c).alias(f"_{c}") for c in PARTITION_COLS])
+    whole = read_releases(kept.sparkSession, path).join(F.broadcast(mark), same, "left_anti")  # categories x years: a bounded list
+    part = kept.join(F.broadcast(mark), same, "left_semi")
+    return write_releases(whole.unionByName(part, allowMissingColumns=True), target)

@@ -5,104 +5,97 @@ picks them up (``maxFilesPerTrigger`` bounds a micro-batch, the streaming
 offsets in the checkpoint replace the per-group cursor) and ``foreachBatch``
 parses, folds and upserts each micro-batch into a versioned release store.
 
-* Idempotent: the store records the last applied ``batchId``; a replayed
-  batch (after a driver/executor failure) is skipped.
-* Each version is written to a new directory and the pointer file is
-  replaced last, so readers never see a half-written table and a lost
-  executor only re-runs its tasks.
+* Idempotent: a commit names its ``batchId``; a replayed batch (after a
+  driver or executor failure) is skipped.
+* Each version is written to a new directory and its commit row is appended
+  last, by Spark, so any file system that Spark writes to will do, and readers
+  never see a half-written table.
+* The stored table is ungated, so it does not depend on how the input was cut
+  into batches; readers apply ``ingest.size_gate``.
 * K2 group progress (cursor per group) is a small table merged with ``max``.
 * K3 repeated message ids are deduplicated inside the batch (segment merge)
   and against the table (stored segment wins), so they never count twice.
-* K6 windowed counts use an event-time watermark to bound state.
+* K6 windowed counts: each micro-batch writes its partial counts to a folder
+  of its own, which a replay overwrites; no state is held between batches.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config as C
 from ..operators import ingest, upsert
 from ..session import checkpoint_dir
 from ..sources.headers import HEADER_SCHEMA
 
 
+_TABLES = ("releases", "segments", "candidates", "progress")
+_COMMITS = "batch_id long, " + ", ".join(f"{t} string" for t in _TABLES)
+
+
 class ReleaseStateStore:
-    """Versioned (releases, segments, progress) tables under one root."""
+    """Versioned tables (``_TABLES``) under one root; the largest committed batch is current."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root
-        os.makedirs(root, exist_ok=True)
-        self.pointer = os.path.join(root, "CURRENT.json")
+        self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> dict | None:
-        if not os.path.exists(self.pointer):
+        try:
+            last = self.spark.read.schema(_COMMITS).json(f"{self.root}/commits").orderBy(F.col("batch_id").desc()).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        with open(self.pointer) as fh:
-            return json.load(fh)
+        return last.asDict() if last else None
 
     def read(self, name: str) -> DataFrame | None:
         cur = self.current()
-        if not cur:
-            return None
-        return self.spark.read.parquet(cur[name])
-
-    def commit(self, batch_id: int, releases: DataFrame, segments: DataFrame, progress: DataFrame) -> None:
-        v = os.path.join(self.root, f"v{batch_id:08d}-{uuid.uuid4().hex[:8]}")
-        paths = {}
-        for name, df in (("releases", releases), ("segments", segments), ("progress", progress)):
-            p = os.path.join(v, name)
-            df.write.mode("overwrite").parquet(p)
-            paths[name] = p
-        paths["batch_id"] = batch_id
-        tmp = self.pointer + ".tmp"
-        with open(tmp, "w") as fh:
-            json.dump(paths, fh)
-        os.replace(tmp, self.pointer)  # swap last
-
-
-def apply_batch(store: ReleaseStateStore, batch: DataFrame, batch_id: int,
-                policy: C.SizePolicy | None = None) -> None:
+        return self.spark.read.parquet(cur[name]) if cur else None
+
+    def commit(self, batch_id: int, **tables: DataFrame) -> None:
+        v = f"{self.root}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
+        for name in _TABLES:
+            tables[name].write.parquet(f"{v}/{name}")
+        row = self.spark.createDataFrame([(batch_id, *(f"{v}/{name}" for name in _TABLES))], _COMMITS)
+        row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+
+
+def apply_batch(store: ReleaseStateStore, batch: DataFrame, batch_id: int) -> None:
     """K1 body: parse -> fold -> upsert; K2 cursor merge; skip replays."""
     cur = store.current()
-    if cur is not None and cur.get("batch_id", -1) >= batch_id:
+    if cur is not None and cur["batch_id"] >= batch_id:
         return  # already applied (replay after failure)
     parsed = ingest.gate(ingest.materialize(ingest.parse_headers(batch), "stream_parsed"))
     prog_new = batch.groupBy("grp").agg(F.max("article_number").alias("last_article"))
     if cur is None:
-        segs = ingest.collect_segments(parsed)
-        rel = ingest.with_storage_columns(ingest.build_releases(parsed, policy, segments=segs))
+        segs, cand = ingest.collect_segments(parsed), ingest.fold_releases(parsed)
+        rel = ingest.with_storage_columns(ingest.releases_from(cand, ingest.segment_totals(segs)))
         prog = prog_new
     else:
-        rel, segs, _ = upsert.upsert(store.read("releases"), store.read("segments"), parsed, policy)
+        rel, segs, cand, _ = upsert.upsert(*(store.read(t) for t in ("releases", "segments", "candidates")), parsed)
         prog = (store.read("progress").unionByName(prog_new)
                 .groupBy("grp").agg(F.max("last_article").alias("last_article")))
-    store.commit(batch_id, rel, segs, prog)
+    store.commit(batch_id, releases=rel, segments=segs, candidates=cand, progress=prog)
 
 
-def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str,
-                       files_per_trigger: int = 1, policy: C.SizePolicy | None = None):
+def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str, files_per_trigger: int = 1):
     """K1: start the stream; returns the ``StreamingQuery``."""
     store = ReleaseStateStore(spark, store_root)
     src = (spark.readStream.schema(HEADER_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
            .option("recursiveFileLookup", "true")
            .parquet(source_dir))
-    ck = os.path.join(checkpoint_dir(spark), f"stream-ingest-{uuid.uuid4().hex[:8]}")
-    return (src.writeStream.foreachBatch(lambda df, bid: apply_batch(store, df, bid, policy))
+    ck = f"{checkpoint_dir(spark).rstrip('/')}/stream-ingest-{uuid.uuid4().hex[:8]}"
+    return (src.writeStream.foreachBatch(lambda df, bid: apply_batch(store, df, bid))
             .option("checkpointLocation", ck).trigger(availableNow=True).start())
 
 
-def stage_header_files(headers: DataFrame, target_dir: str, n_batches: int = 4) -> None:
-    """Write headers as ``n_batches`` separate files (one micro-batch each),
-    split by article number residue so every batch spans all groups."""
-    b = (F.col("article_number") % n_batches).cast("int")
-    for i in range(n_batches):
-        headers.where(b == i).coalesce(1).write.mode("overwrite").parquet(os.path.join(target_dir, f"part-{i:04d}"))
+def stage_header_files(headers: DataFrame, target_dir: str, n_files: int = 4) -> None:
+    """Write headers as ``n_files`` files, split by article number so that every file spans all groups;
+    each is written by a task of its own."""
+    headers.repartition(n_files, F.col("article_number")).write.mode("overwrite").parquet(target_dir)
 
 
 def stream_dedupe(headers_stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -112,13 +105,21 @@ def stream_dedupe(headers_stream: DataFrame, delay: str = "1 day") -> DataFrame:
             .withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["grp", "message_id"]))
 
 
-def rate_window_stream(spark: SparkSession, events_dir: str, window: str, limit: int, query_name: str,
-                       watermark: str = "1 hour"):
-    """K6: windowed per-user counts over an event stream (complete mode into a
-    memory table for inspection; append mode with the watermark in production)."""
-    src = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
-        .parquet(events_dir)
-    agg = (src.withWatermark("ts", watermark)
-           .groupBy(F.window("ts", window).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-           .select(F.col("w.start").alias("window_start"), "user_id", "n", (F.col("n") > limit).alias("over_limit")))
-    return agg.writeStream.outputMode("complete").format("memory").queryName(query_name).start()
+def rate_window_stream(spark: SparkSession, events_dir: str, out_dir: str, window: str, files_per_trigger: int = 4):
+    """K6: windowed per-user counts over an event stream, as partial counts of each micro-batch under
+    ``out_dir/batch=<id>``; read them with ``rate_windows``."""
+    src = (spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+           .option("maxFilesPerTrigger", files_per_trigger).parquet(events_dir))
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        (df.groupBy(F.window("ts", window)["start"].alias("window_start"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
+
+    ck = f"{checkpoint_dir(spark).rstrip('/')}/stream-rate-{uuid.uuid4().hex[:8]}"
+    return src.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+
+
+def rate_windows(spark: SparkSession, out_dir: str, limit: int) -> DataFrame:
+    """K6: the counts over all micro-batches so far, with the over-limit flag."""
+    n = spark.read.parquet(out_dir).groupBy("window_start", "user_id").agg(F.sum("n").alias("n"))
+    return n.withColumn("over_limit", F.col("n") > limit)

@@ -62,11 +62,11 @@ def test_dated_key_and_min_posted(spark):
 def test_growth_over_batches(spark):
     b1 = ingest.parsed_table(headers_df(spark, [("alt.binaries.misc", 1, "<m1>", "Example (1/2)", 100, D)]))
     segs = ingest.collect_segments(b1)
-    rel = ingest.with_storage_columns(ingest.build_releases(b1, NOFLOOR, segments=segs))
+    rel = ingest.with_storage_columns(ingest.build_releases(b1, segments=segs, gated=False))
     b2 = ingest.parsed_table(headers_df(spark, [
         ("alt.binaries.misc", 2, "<m2>", "Example (2/2)", 150, D),
         ("alt.binaries.misc", 3, "<m1>", "Example (1/2)", 100, D)]))
-    out, new_segs, inserted = upsert.upsert(rel, segs, b2, NOFLOOR)
+    out, new_segs, _, inserted = upsert.upsert(rel, segs, ingest.fold_releases(b1), b2)
     row = out.where(F.col("norm_title") == "example:2024-01-01").first()
     assert (row["size_bytes"], row["part_count"]) == (250, 2)
     assert new_segs.count() == 2
