@@ -144,11 +144,14 @@ seg AS MATERIALIZED (SELECT host, path, pages, nb, nl, depth, kinds[depth + 1] A
         FROM (SELECT *, unnest(range(0, len(kinds))) AS depth FROM sg)),
 br AS (SELECT host, depth, above, kind, sum(pages) AS n, sum(nb) AS b, sum(nl) AS l FROM seg GROUP BY ALL),
 ar AS (SELECT host, depth, above, count(*) AS vals, sum(n) AS n_all, sum(b) AS b_all, sum(l) AS l_all FROM br GROUP BY ALL),
+fb AS (SELECT depth, above, kind, sum(b) AS gb, sum(l) AS gl FROM br GROUP BY ALL),
+fa AS (SELECT depth, above, sum(gb) AS gb_all, sum(gl) AS gl_all FROM fb GROUP BY ALL),
 nm AS (SELECT br.host, br.depth, br.above, br.kind, CASE
          WHEN vals > {op8.FAN_OUT} AND n_all < {op8.RARE} * vals THEN '*'
          WHEN vals = 1 THEN br.kind
-         WHEN l > 0 AND abs(b / l - b_all / l_all) > {op8.Z} * sqrt((b_all / l_all) * (1 - b_all / l_all) / l) THEN br.kind
-         ELSE '*' END AS name FROM br JOIN ar USING (host, depth, above)),
+         WHEN CASE WHEN l_all > 0 THEN l > 0 AND abs(b / l - b_all / l_all) > {op8.Z} * sqrt((b_all / l_all) * (1 - b_all / l_all) / l)
+              ELSE gl > 0 AND abs(gb / gl - gb_all / gl_all) > {op8.Z} * sqrt((gb_all / gl_all) * (1 - gb_all / gl_all) / gl) END THEN br.kind
+         ELSE '*' END AS name FROM br JOIN ar USING (host, depth, above) JOIN fb USING (depth, above, kind) JOIN fa USING (depth, above)),
 t AS MATERIALIZED (SELECT host, path, nb, nl, string_agg(name, '/' ORDER BY depth) AS template
       FROM seg JOIN nm USING (host, depth, above, kind) GROUP BY ALL),
 bh AS (SELECT host, template, sum(nb) AS b, sum(nl) AS l FROM t GROUP BY ALL),

@@ -3,7 +3,8 @@
 Each host has a tree of path segments. Segments that vary (numbers, hashes,
 positions with very many values) become wildcards. Sibling branches whose
 labels do not differ significantly from those of all siblings together are
-merged into one branch. A template is rejected by the share of blocked pages
+merged into one branch; where a host has no labels, the labels of the same
+position over all hosts tell. A template is rejected by the share of blocked pages
 among its labelled pages, smoothed by the share of the same template over all
 hosts, which is smoothed by that of all labelled pages.
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A position with more distinct values than this, most of them rare, is a wildcard.
 FAN_OUT, RARE = 50, 3.0
 #: Standard errors by which a branch must differ from its siblings to stay apart.
@@ -60,6 +63,13 @@ def apply_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     return places.join(best, ["host", "path"], "left").select(*places.columns, "best.rule", "best.rule_verdict")
 
 
+def _differs(b: str, n: str, b_all: str, n_all: str):
+    """Whether a branch's share of blocked pages is more than ``Z`` standard errors from that of all siblings."""
+    pool = F.col(b_all) / F.when(F.col(n_all) > 0, F.col(n_all))
+    own = F.when(F.col(n) > 0, F.col(n))
+    return F.abs(F.col(b) / own - pool) > Z * F.sqrt(pool * (1 - pool) / own)
+
+
 def templates(places: DataFrame) -> DataFrame:
     """(host, path, pages, rule_verdict) -> (host, path, template, pages, n_block, n_label).
 
@@ -76,14 +86,14 @@ def templates(places: DataFrame) -> DataFrame:
     branch = seg.groupBy(*spot, "kind").agg(F.sum("pages").alias("n"), F.sum("n_block").alias("b"), F.sum("n_label").alias("l"))
     around = branch.groupBy(*spot).agg(F.count("*").alias("values"), F.sum("n").alias("n_all"),
                                        F.sum("b").alias("b_all"), F.sum("l").alias("l_all"))
+    # the same position over all hosts, for hosts without labels there
+    far = branch.groupBy("depth", "above", "kind").agg(F.sum("b").alias("gb"), F.sum("l").alias("gl"))
+    far_around = far.groupBy("depth", "above").agg(F.sum("gb").alias("gb_all"), F.sum("gl").alias("gl_all"))
     many = (F.col("values") > FAN_OUT) & (F.col("n_all") < RARE * F.col("values"))
-    pool = F.col("b_all") / F.col("l_all")
-    gap = F.abs(F.col("b") / F.col("l") - pool)
-    noise = F.sqrt(pool * (1 - pool) / F.col("l"))
-    apart = (F.col("l") > 0) & (gap > Z * noise)
-    alone = F.col("values") == 1
-    named = branch.join(around, spot).select(
-        *spot, "kind", F.when(many, "*").when(alone | F.coalesce(apart, F.lit(False)), F.col("kind")).otherwise("*").alias("name"))
+    apart = (F.when(F.col("l_all") > 0, _differs("b", "l", "b_all", "l_all"))
+             .otherwise(_differs("gb", "gl", "gb_all", "gl_all")))
+    named = (branch.join(around, spot).join(far, ["depth", "above", "kind"]).join(far_around, ["depth", "above"]).select(
+        *spot, "kind", F.when(many, "*").when((F.col("values") == 1) | F.coalesce(apart, F.lit(False)), F.col("kind")).otherwise("*").alias("name")))
     whole = (seg.join(named, [*spot, "kind"]).groupBy("host", "path", "pages", "n_block", "n_label")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]), "/").alias("template")))
     return whole
@@ -98,8 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     by row; an empty table gives an empty result; other columns are not looked at.
     """
     page = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    places = apply_rules(page.groupBy("host", "path").agg(F.count("*").alias("pages")), rules)
-    t = templates(places)
+    places = stored(apply_rules(page.groupBy("host", "path").agg(F.count("*").alias("pages")), rules), "places")
+    t = stored(templates(places), "templates")
     by_host = t.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("l"))
     by_all = by_host.groupBy("template").agg(F.sum("b").alias("gb"), F.sum("l").alias("gl"))
     total = by_all.agg(F.sum("gb").alias("tb"), F.sum("gl").alias("tl"))
