@@ -456,3 +456,37 @@ WHERE NOT coalesce((({min_size_sql("norm_title", "category_id", PRUNE_POLICY)})
 SELECT bucket, CAST(posted_year AS INTEGER) AS posted_year, count(*) AS n FROM releases
 WHERE NOT coalesce(bucket <> {q(C.OTHER_BUCKET)} AND posted_at < TIMESTAMP '1998-05-15', false) GROUP BY ALL"""),
 })
+
+
+# ---------------------------------------------------------------- feeds, upgrade, logs
+def _html(c: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{raw}', '{safe}')"
+    return c
+
+
+def sql_feed_xml() -> str:
+    elements = " || ".join(f"'<{e}>' || {_html(f'\"{e}\"')} || '</{e}>'" for e in ("title", "guid", "pubDate", "category", "link"))
+    return with_ctes(_items_cte("true") + """,
+it AS (SELECT * REPLACE (CASE WHEN size LIKE '%1000' THEN 'n/a' ELSE size END AS size) FROM items)""", f"""
+SELECT 0 AS part, '<rss version="2.0"><channel><title>a &lt;feed&gt; &amp; more</title><link>/</link><description>feed</description><language>en</language><pubDate>Mon, 31 Dec 2001 00:00:00 +0000</pubDate>' AS xml
+UNION ALL
+SELECT row_number() OVER (ORDER BY title, guid), '<item>' || {elements}
+  || CASE WHEN regexp_matches(size, '^[0-9]+$') AND CAST(size AS BIGINT) > 0
+     THEN '<enclosure url="' || {_html('link')} || '" type="application/x-nzb" length="' || size || '"/>' ELSE '' END
+  || '<attr name="size" value="' || size || '"/>' || CASE WHEN category <> '' THEN '<attr name="category" value="' || category || '"/>' ELSE '' END || '</item>' FROM it
+UNION ALL SELECT 2147483647, '</channel></rss>'""")
+
+
+REGISTRY.update({
+    "A13_feed_xml": sql_feed_xml,
+    "A9_conform_releases": lambda: with_ctes(releases_ctes(), """
+SELECT norm_title, CASE WHEN id % 7 = 0 THEN category || 'x' ELSE category END AS category,
+  CASE WHEN id % 7 <> 0 THEN CAST(category AS INTEGER) END AS category_id, CASE WHEN id % 3 = 0 THEN language ELSE 'und' END AS language,
+  '' AS tags, false AS has_parts, CASE WHEN id % 2 = 0 THEN part_count ELSE 0 END AS part_count, CAST(NULL AS VARCHAR) AS extension,
+  CAST(NULL AS VARCHAR) AS posted_at FROM releases"""),
+    "B26_redact_log": lambda: """
+WITH l AS (SELECT event_id, event_type, repeat(coalesce(props, ''), CAST(event_id % 40 AS INTEGER)) AS q FROM events)
+SELECT event_id, '[redacted]' AS cookie, event_type AS kind, CAST(length(q) AS INTEGER) AS query_length,
+  md5(CASE WHEN length(q) > 256 THEN left(q, 256) || '…' ELSE q END) AS shown FROM l""",
+})

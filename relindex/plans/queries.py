@@ -554,3 +554,37 @@ REGISTRY.update({
     "I2_prune_sizes_written": q_prune_sizes_written,
     "I4_prune_partitions_written": q_prune_category_written,
 })
+
+
+# ---------------------------------------------------------------- feeds, upgrade, logs
+from ..operators import feeds as FD  # noqa: E402
+
+
+def q_feed_xml(spark, sf_dir):
+    """The feed document of the newest 100 releases, extended form, in parts."""
+    page = S.search(K.releases(spark, sf_dir), S.SearchQuery(limit=100))
+    items = S.items(page, K.AS_OF, api_key="k y")
+    items = items.withColumn("size", F.when(F.col("size").endswith("1000"), F.lit("n/a")).otherwise(F.col("size")))
+    return FD.feed_xml(items, [F.col("title"), F.col("guid")], "Mon, 31 Dec 2001 00:00:00 +0000", "a <feed> & more", language="en", extended=True)
+
+
+def q_conform_releases(spark, sf_dir):
+    """Releases as an older table had them (no ids, some texts, NULLs) in today's columns."""
+    rel = K.releases(spark, sf_dir)
+    old = rel.select("norm_title", F.when(F.col("id") % 7 == 0, F.concat("category", F.lit("x"))).otherwise(F.col("category")).alias("category"),
+                     F.when(F.col("id") % 3 == 0, F.col("language")).alias("language"), F.when(F.col("id") % 2 == 0, F.col("part_count")).alias("part_count"))
+    out = FD.conform_releases(old)
+    return out.select("norm_title", "category", "category_id", "language", "tags", "has_parts", "part_count", "extension", K.ts_text(F.col("posted_at")).alias("posted_at"))
+
+
+def q_redact_log(spark, sf_dir):
+    """A request log made of events."""
+    ev = load_table(spark, sf_dir, "events")
+    log = ev.select("event_id", F.create_map(F.lit("Cookie"), F.col("props"), F.lit("X-Kind"), F.col("event_type")).alias("headers"),
+                    F.repeat(F.coalesce("props", F.lit("")), (F.col("event_id") % 40).cast("int")).alias("query"))
+    r = FD.redact_log(log)
+    return r.select("event_id", F.col("headers")["Cookie"].alias("cookie"), F.col("headers")["X-Kind"].alias("kind"),
+                    F.length("query").alias("query_length"), F.md5("query_shown").alias("shown"))
+
+
+REGISTRY.update({"A13_feed_xml": q_feed_xml, "A9_conform_releases": q_conform_releases, "B26_redact_log": q_redact_log})
