@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from relindex import config as C  # noqa: E402
 from relindex.operators import backfill as BF  # noqa: E402
 from relindex.operators import ingest, maintenance as M, search as S, upsert as UP  # noqa: E402
-from relindex.session import build_session  # noqa: E402
+from relindex.session import build_session, drop_scratch  # noqa: E402
 from relindex.sources import store  # noqa: E402
 from relindex.sources.headers import fixture_headers  # noqa: E402
 
@@ -98,6 +98,7 @@ def main() -> None:
         "headers": n_headers, "releases": n_releases,
         "parse_rows_per_sec": round(n_headers / q["parse"], 1) if q["parse"] else None,
     }))
+    drop_scratch(spark)
     spark.stop()
 
 

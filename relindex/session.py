@@ -63,6 +63,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Scratch tables that this process has named, oldest first.
+_scratch: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    """A path under the shared checkpoint folder for an intermediate table."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; call it when the results that read them are stored.
+
+    Results are lazy, so a query cannot do this itself.
+    """
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n

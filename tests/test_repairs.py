@@ -139,3 +139,26 @@ def test_manifest_of_a_large_release(spark):
     assert len(parts) == 4 and "".join(parts).count("<segment ") == 2500 and "".join(parts).endswith("</segments></file></nzb>")
     assert "".join(parts).index("m&amp;999<") < "".join(parts).index("m&amp;1000<")
     assert outputs.manifests(rel, seg, max_segments=1000).count() == 0
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from relindex import session
+    monkeypatch.setattr(session, "_scratch", [])
+    df = ingest.materialize(spark.range(5), "to_drop")
+    path = session._scratch[0]
+    assert df.count() == 5 and "to_drop" in path
+    assert session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path).count()
+
+
+def test_no_scratch_folder_on_a_cluster():
+    from relindex import session
+
+    class Nothing:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Nothing)
