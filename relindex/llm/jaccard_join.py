@@ -8,7 +8,7 @@ frequent is counted first), so short lists are short.
 
 * Shingles of few sets: the lists are merged by a join of the index with itself
   and a count for each pair; pairs below ``c`` go.
-* Shingles of many sets: their sets form a family as a whole.
+* Shingles of many sets: sets with ``c`` of them or more form families.
 
 Pairs and families connect into blocks of candidates. Inside a block (large
 ones are dealt into parts, every two of which meet) DivideSkip finds all links:
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_filter, identified, key_of, passes, short_batches, stored, texts
 from .components import components
-from .wordhash import Runs, scramble, words
+from .wordhash import Runs, distinct, scramble, words
 
 #: Words of a shingle and percent of the union that two sets must share.
 SHINGLE, PERCENT = 4, 85
@@ -55,7 +55,7 @@ def shingle_sets(rows: list[str | None], size: int) -> list[np.ndarray]:
     run, out, at = Runs(h), [], 0
     for n in counts.tolist():
         m = min(size, n)
-        out.append(np.unique(run.of(np.arange(at, at + n - m + 1), m)) if n else np.zeros(0, np.uint64))
+        out.append(distinct(run.of(np.arange(at, at + n - m + 1), m)) if n else np.zeros(0, np.uint64))
         at += n
     return out
 
@@ -119,8 +119,9 @@ def _index(docs: DataFrame, size: int, percent: int, frequent, repeated) -> Data
     return _map(docs, [], [("token", "long"), ("cls", "long"), ("n", "long")], size, each).distinct()
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
-    """All pairs of sets with 100 * overlap >= percent * union (of two sides, if ``across``)."""
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """All pairs of sets with 100 * overlap >= percent * union (of two sides, if ``across``), each once:
+    (query, the smaller or equal sets that link with it) for every query with links."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size, side = size[order], side[order]
@@ -131,7 +132,6 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, across: bool, percent:
     posting = record[by]
     begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
     starts = np.concatenate([[0], np.cumsum(size)])
-    out = []
     for q in range(1, len(sets)):
         n = int(size[q])
         lo = int(np.searchsorted(size, required(n, percent)))
@@ -156,39 +156,64 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, across: bool, percent:
             p = posting[begin[t]:begin[t + 1]]
             at = np.searchsorted(p, found)
             overlap = overlap + (p[np.minimum(at, len(p) - 1)] == found)
-        for r in found[100 * overlap >= percent * (n + size[found] - overlap)].tolist():
-            out.append((int(order[r]), int(order[q])))
-    return out
+        found = found[100 * overlap >= percent * (n + size[found] - overlap)]
+        if len(found):
+            yield int(order[q]), order[found]
 
 
 def _links(group: pa.Table, percent: int) -> pa.Table:
-    part, cls = group.column("part").to_numpy(), group.column("cls").to_numpy()
+    """Of one block: a forest that spans its links (a, b, 0), and for each class (cls, cls, documents linked)."""
+    part, cls, copies = (group.column(c).to_numpy() for c in ("part", "cls", "copies"))
     sets = [x.values.to_numpy().view(np.uint64) for x in group.column("tokens")]
-    across = bool(group.column("across")[0].as_py())
-    pairs = divide_skip(sets, part, across, percent)
-    a, b = np.array([cls[i] for i, _ in pairs], np.int64), np.array([cls[j] for _, j in pairs], np.int64)
-    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    linked, root, forest = np.zeros(len(sets), np.int64), list(range(len(sets))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for q, found in divide_skip(sets, part, bool(group.column("across")[0].as_py()), percent):
+        linked[q] += copies[found].sum()
+        linked[found] += copies[q]
+        for r in found.tolist():
+            x, y = find(q), find(r)
+            if x != y:
+                root[x] = y
+                forest.append((cls[q], cls[r], 0))
+    forest += [(cls[i], cls[i], linked[i]) for i in np.flatnonzero(linked)]
+    return pa.Table.from_arrays([pa.array([f[k] for f in forest], pa.int64()) for k in range(3)], names=["a", "b", "linked"])
 
 
 def similar_classes(docs: DataFrame, members: DataFrame, *, size: int, percent: int, frequent: int) -> DataFrame:
-    """(a, b): all pairs of classes that link. ``members`` is ``classes_of`` the documents."""
+    """Links among the classes of equal sets, as ``_links`` gives them: edges that connect what links
+    connect (no pair of a group is written out), and the documents that each class links with in each
+    block. ``members`` is ``classes_of`` the documents."""
     sc = docs.sparkSession.sparkContext
     seen = _short_tokens(docs, size, percent, None)
     hot = sc.broadcast(hash_filter(stored(seen.where(F.col("n") >= frequent), "frequent")))
     repeated = sc.broadcast(hash_filter(stored(_short_tokens(docs, size, percent, hot), "repeated")))
     per_token = _index(docs, size, percent, hot, repeated)
-    counts = per_token.groupBy("token").agg(F.count("*").alias("sets"), F.min("cls").alias("head")).where("sets > 1")
+    counts = per_token.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     index = stored(per_token.join(counts, "token"), "index")
 
-    short = index.where(F.col("sets") < frequent).select("token", "cls", "n")
-    x, y = (short.select("token", F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    # A pair shares c short shingles at least. If a set has h frequent ones, either c - h of the shared ones
+    # are not frequent, or both sets have c frequent ones; only the latter are taken by their frequent shingles.
+    often = F.col("sets") >= frequent
+    h = index.where(often).groupBy("cls").agg(F.count("*").alias("h"))
+    short = index.where(~often).select("token", "cls", "n").join(h, "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    x, y = (short.select("token", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("h").alias(f"h_{c}")) for c in "ab")
     least = F.least("n_a", "n_b")
     pairs = (x.join(y, "token").where((F.col("a") < F.col("b")) & (100 * least >= percent * F.greatest("n_a", "n_b")))
-             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.floor(least / 10) + 1).alias("c")).where("shared >= c").select("a", "b"))
-    stars = index.where((F.col("sets") >= frequent) & (F.col("cls") != F.col("head"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.floor(least / 10) + 1 - F.least("h_a", "h_b")).alias("c"))
+             .where("shared >= c").select("a", "b"))
+    fewest = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1  # c of the smallest similar set
+    many = index.where(often).select("token", "cls", "n").join(h, "cls").where(F.col("h") >= fewest)
+    heads = many.groupBy("token").agg(F.min("cls").alias("head"))
+    stars = many.join(heads, "token").where(F.col("cls") != F.col("head")).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     family = components(pairs.unionByName(stars)).select(F.col("node").alias("cls"), F.col("root").alias("family"))
 
-    n = members.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
+    n = members.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
     candidates = stored(family.join(n, "cls").withColumn("at", F.xxhash64("doc")), "candidates")
     parts = candidates.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
     wanted = sc.broadcast(hash_filter(candidates.select(F.col("at").alias("h"))))
@@ -201,12 +226,12 @@ def similar_classes(docs: DataFrame, members: DataFrame, *, size: int, percent:
         return [pa.array(ids), batch.column(1).take(pa.array(keep)), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))]
 
     sets = _map(docs.withColumn("at", F.xxhash64("doc")), ["at"], [("cls", "long"), ("at", "long"), ("tokens", "array<long>")], size, each)
-    dealt = (candidates.join(sets, ["cls", "at"]).join(parts, "family")
+    dealt = (candidates.join(parts, "family").select("cls", "at", "family", "parts", "copies").join(sets, ["cls", "at"])
              .withColumn("part", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("cls", "tokens", "part", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+             .select("cls", "copies", "tokens", "part", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
                      (F.col("part") != F.col("other")).alias("across")))
-    return dealt.groupBy("family", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long").distinct()
+    return dealt.groupBy("family", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long, linked long")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
@@ -228,9 +253,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     some = members.where("n > 0")
     links = stored(similar_classes(d, some, size=size, percent=percent, frequent=frequent), "links")
     copies = some.groupBy("cls").agg(F.count("*").alias("copies"), F.min(key_of(some)).alias("least"))
-    degree = (links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-              .join(copies.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("linked")))
-    root = components(links).select(F.col("node").alias("cls"), "root")
+    degree = links.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked"))
+    root = components(links.where("a <> b").select("a", "b")).select(F.col("node").alias("cls"), "root")
     per_class = copies.join(root, "cls", "left").join(degree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = per_class.groupBy("root").agg(F.min("least").alias("component"))
     per_class = per_class.join(named, "root").select("cls", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))

@@ -32,6 +32,12 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (for large arrays much faster than ``np.unique`` without counts)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Runs:
     """Hashes of all runs of a sequence of 64-bit values, from one prefix sum."""
 
