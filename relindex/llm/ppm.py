@@ -118,7 +118,7 @@ class Grams:
         u, n = np.unique(keys, return_counts=True)
         self.parts.append((u, n * times))
         self.size += len(u)
-        if self.size > 8_000_000 and len(self.parts) > 1:
+        if self.size > 1_500_000 and len(self.parts) > 8:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,34 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return out
 
 
+class _Table:
+    """Values of 64-bit keys in an open-addressed table, looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            keys, values, at = keys[~done], values[~done], (at[~done] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all in the table."""
+        at = self._slot(keys)
+        open_ = np.flatnonzero(self.keys[at] != keys)
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            open_ = open_[self.keys[at[open_]] != keys[open_]]
+        return self.values[at]
+
+
 class _Counts(dict):
     """Counts of words; an unseen word is hashed and looked up once."""
 
@@ -215,12 +243,12 @@ def _scorer(key: str, tokens: int, vocabulary: int):
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         cut = int(np.searchsorted(keys, 0))
-        counts, grams, logs = _Counts(keys[:cut], values[:cut]), keys[cut:], values[cut:]
+        counts, logs = _Counts(keys[:cut], values[:cut]), _Table(keys[cut:], values[cut:])
         names, held, base, known, n, total = [], [], [], [], [], []
         whole = np.log10(tokens + vocabulary + 1)
         for own, out, raw in unpacked(docs):
             at, ends = packed(raw)
-            sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(grams, at)])])[np.concatenate([[0], ends])]
+            sums = np.concatenate([[0.0], np.cumsum(logs.of(at))])[np.concatenate([[0], ends])]
             total.append(np.diff(sums))
             names.append(own)
             held += out
