@@ -61,8 +61,8 @@ def anchors_of(docs: DataFrame, k: int, anchor: int) -> DataFrame:
 
 
 def edges_of(docs: DataFrame, k: int, anchor: int, repeated, hot, want_hot: bool) -> DataFrame:
-    """(l, r, doc, pos): edges whose anchor passes ``repeated``; hot anchors apart. An edge is named by its
-    left node and 16 bits of its right one."""
+    """(l, r, doc, pos): edges whose anchor passes ``repeated``; hot anchors apart. An edge is named by 64-bit
+    hashes of its left and its right node: any number of edges may leave one node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, much = repeated.value, hot.value
         for batch, rows in texts(batches):
@@ -70,10 +70,10 @@ def edges_of(docs: DataFrame, k: int, anchor: int, repeated, hot, want_hot: bool
             p = np.flatnonzero(passes(keep, a) & (passes(much, a) == want_hot))
             if len(p):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs.of(at[p], k - 1).view(np.int64)), pa.array((runs.of(at[p] + 1, k - 1) >> np.uint64(48)).astype(np.int32)),
+                    [pa.array(runs.of(at[p], k - 1).view(np.int64)), pa.array(runs.of(at[p] + 1, k - 1).view(np.int64)),
                      batch.column(0).take(pa.array(text[p])), pa.array(pos[p].astype(np.int32))], names=["l", "r", "doc", "pos"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"l long, r int, doc {docs.schema['doc'].dataType.simpleString()}, pos int")
+    return docs.select("doc", "text").mapInArrow(run, f"l long, r long, doc {docs.schema['doc'].dataType.simpleString()}, pos int")
 
 
 def _later(edges: DataFrame) -> F.Column:

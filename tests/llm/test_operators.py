@@ -374,6 +374,15 @@ def test_de_bruijn_paths_and_odd_rows(spark, odd, rows):
     assert debruijn.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [debruijn.HOT_DOCS, 1000])
+def test_de_bruijn_one_phrase_with_many_continuations(spark, hot):
+    phrase, n = " ".join(f"p{i}" for i in range(12)), 20_000
+    docs = [(i, f"{phrase} w{i}") for i in range(n)] + [(n, f"{phrase} w7 more")]
+    r = debruijn.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot_docs=hot)
+    cut = {x["doc_id"]: (x["n_removed"], x["kept"]) for x in r.where("n_removed > 0").collect()}
+    assert cut == {n: (13, "more")} and r.count() == n + 1
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 def test_url_templates(spark):
