@@ -2,6 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+Null and repeated ``doc_id`` are documents of their own in every stage: where an operator's answer
+is joined back, the rows are numbered first and the join is on that number.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, PERCENT = 5, 80
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``COLUMNS`` and ``row``, a number that no other row has; stored, so that it is the same wherever it is read."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Languages are learnt from all documents that have one. Documents without any letter are
     rejected (null and empty texts too); a null ``lang`` takes the prediction."""
@@ -28,19 +35,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least ``doc_id`` stays."""
-    d = docs.select(*COLUMNS)
-    groups = jaccard_join.jaccard_join(d, size=SHINGLE, percent=PERCENT)
-    kept = groups.where("component <=> doc_id").select(F.col("doc_id").alias("kept")).distinct()
-    return d.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    """Of each group of near copies the document with the least ``doc_id`` stays (null after all others;
+    of equal ``doc_id`` the one with the least hash of its columns, of equal rows any)."""
+    d = numbered(docs)
+    groups = jaccard_join.jaccard_join(d, key="row", size=SHINGLE, percent=PERCENT).select("row", "component")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*COLUMNS), F.col("row").alias("kept"))
+    places = d.select("row", order.alias("place"))
+    kept = groups.join(places, "row").groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.kept").alias("row"))
+    return d.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    d = docs.select(*COLUMNS)
-    r = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"))
-    bad = r.where(F.size("spans") > 0).select(F.col("doc_id").alias("bad")).distinct()
-    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    d = numbered(docs)
+    r = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), key="row")
+    return d.join(r.where(F.size("spans") > 0).select("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +64,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: documents that it takes, with their words taken and training positions, in order."""
-    d = docs.select(*COLUMNS)
-    m = curriculum.mix(d).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "target", "taken", "positions")
-    return (d.join(m, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    d = numbered(docs)
+    m = curriculum.mix(d, carry=("row",)).where("taken > 0").select("row", "size", "target", "taken", "positions")
+    return (d.join(m, "row").drop("row")
             .withColumn("position", F.get("positions", F.lit(0))).orderBy("position", "doc_id"))
 
 

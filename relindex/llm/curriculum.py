@@ -27,13 +27,15 @@ def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BLANK_WORD)).cast("long")
 
 
-def sizes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``key``, ``source``, ``no_source`` (0, or 1 for null, which sorts last), ``size``, ``h`` (place in the random order)."""
+def sizes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``source``, ``no_source`` (0, or 1 for null, which sorts last), ``size``, ``h`` (place in the random order), ``carried``
+    (a struct of the columns of ``carry``, if any)."""
     t = F.col(text)
     return docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.when(F.col(source).isNull(), 1).otherwise(0).alias("no_source"), word_count(t).alias("size"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"), F.xxhash64(t).alias("tie"))
+        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"), F.xxhash64(t).alias("tie"),
+        *[F.struct(*carry).alias("carried")] * bool(carry))
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -98,26 +100,26 @@ def knots_of(weight, schedules: dict = KNOTS):
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source",
-        cycle: tuple[int, ...] = (5, 2, 1), repeats: int = 3, schedules: dict = KNOTS) -> DataFrame:
-    """One row for each document: ``key``, ``size``, ``source_size``, ``target``, ``taken`` and
-    ``positions``, the training positions (0 to 1) of its copies, ascending.
+        cycle: tuple[int, ...] = (5, 2, 1), repeats: int = 3, schedules: dict = KNOTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: ``key``, the columns of ``carry``, ``size``, ``source_size``, ``target``,
+    ``taken`` and ``positions``, the training positions (0 to 1) of its copies, ascending.
 
     A source is taken in whole passes, and the last pass ends with the document whose middle the
     target passes, so its words come within half a document of the target. A null text has size 0 and
     is never taken; null sources are one source, last in order; null keys and repeated rows are
     documents of their own (rows that are equal share their places by turns, the result does not
-    depend on which); an empty table gives an empty result. Other columns are not looked at.
+    depend on which, but for ``carry``, by which they are ordered then); an empty table gives an empty result. Other columns are not looked at.
 
     Plan: sizes are counted once and stored; a source's running sum is the sum of the buckets before
     plus a window within one of 4096 buckets, so a source with a third of all rows spreads out.
     """
-    s = stored(sizes(docs, key=key, text=text, source=source), "sizes").withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
+    s = stored(sizes(docs, key=key, text=text, source=source, carry=carry), "sizes").withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
     per_bucket = s.groupBy("source", "no_source", "b").agg(F.sum("size").alias("n"))
     plan = targets(cyclic_weights(per_bucket.groupBy("source", "no_source").agg(F.sum("n").alias("source_size")), cycle), repeats=repeats)
     ahead = Window.partitionBy("source", "no_source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (per_bucket.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
                .join(plan, ["source", "no_source"]).select("source", "no_source", "b", "ahead", "source_size", "weight", "target"))
-    within = Window.partitionBy("source", "no_source", "b").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "no_source", "b").orderBy("h", "size", "tie", *["carried"] * bool(carry)).rowsBetween(Window.unboundedPreceding, -1)
     d = (s.join(offsets, ["source", "no_source", "b"])
          .withColumn("first", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
          .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
              F.col("passes") + F.when(F.col("first") + F.col("size") / 2 < F.col("rest"), 1).otherwise(0)).cast("int")))
     share = lambda j: (j * F.col("source_size") + F.col("first")) / F.greatest(F.col("target"), F.lit(1.0))
     at = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: due(knots_of(F.col("weight"), schedules), F.least(share(j), F.lit(1.0))))
-    return d.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+    return d.select(F.col("key").alias(key), *[F.col("carried")[c].alias(c) for c in carry], "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
                     F.when(F.col("copies") > 0, at).otherwise(F.array().cast("array<double>")).alias("positions"))
 
 

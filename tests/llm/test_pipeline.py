@@ -51,3 +51,24 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_keys(spark, tmp_path):
+    prose = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    leak, copied = prose("leak", 14), prose("copied", 40)
+    rows = [(None, f"{prose('bad', 30)} {leak}", "en", "s0", 1), (None, prose("clean", 50), "en", "s0", 2), (None, prose("more", 60), "en", "s1", 3),
+            (None, copied, "en", "s0", 4), (None, copied, "en", "s1", 5), (8, copied, "en", "s1", 6), (7, prose("seven", 30), "en", "s0", 7),
+            (7, prose("other", 45), "en", "s0", 8), (7, f"{prose('worse', 20)} {leak}", "en", "s0", 9), (9, prose("nine", 35), "en", "s1", 10), (9, prose("nine", 35), "en", "s1", 10),
+            (None, "", "en", "s0", 11), (10, prose("ten", 50), "en", "s0", 12), (3, prose("ten", 50), "en", "s0", 13)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    deduplicated = sorted(r[4] for r in P.drop_near_copies(spark, docs, str(tmp_path)).collect())
+    assert deduplicated == [1, 2, 3, 6, 7, 8, 9, 10, 11, 13]  # of three copies the one with a key, of two equal rows one
+    assert sorted(r[4] for r in P.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()) == [2, 3, 4, 5, 6, 7, 8, 10, 10, 11, 12, 13]
+    mixed = P.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert all(r["size"] == len(r["text"].split()) and r["taken"] == r["size"] * len(r["positions"]) > 0 for r in mixed)
+    assert len(mixed) <= 13 and all(sum(r["n_chars"] == n for r in mixed) <= 1 + (n == 10) for n in range(1, 14))
+    assert all(sum(p == q for m in mixed if m["source"] == r["source"] for q in m["positions"]) == 1 for r in mixed for p in r["positions"])
+    kept = P.run(spark, str(tmp_path)).collect()
+    assert {r["n_chars"] for r in kept} <= {2, 3, 6, 7, 8, 10, 13} and len({r["n_chars"] for r in kept}) == len(kept) > 0
