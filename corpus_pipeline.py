@@ -27,10 +27,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Languages are learnt from all documents that have one. Documents without any letter are
-    rejected (null and empty texts too); a null ``lang`` takes the prediction."""
+    rejected (null and empty texts too); a null ``lang`` takes the prediction, and stays null where no
+    document has a language to learn from."""
     d = docs.select(*COLUMNS)
-    r = langid.identify(d, langid.train(d), carry=("text", "lang", "source", "n_chars"))
-    return (r.where(F.col("lang_pred") != langid.UNDETERMINED)
+    r = langid.identify(d, langid.train(d), carry=("text", "lang", "source", "n_chars"), unlearnt=None)
+    return (r.where(~F.col("lang_pred").eqNullSafe(langid.UNDETERMINED))
             .select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"))
 
 

@@ -137,10 +137,11 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", dim: int =
 
 
 def identify(docs: DataFrame, prototypes: DataFrame, *, key: str = "doc_id", text: str = "text",
-             dim: int = DIM, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+             dim: int = DIM, gram: int = GRAM, carry: tuple[str, ...] = (), unlearnt: str | None = UNDETERMINED) -> DataFrame:
     """``key``, ``carry``, ``lang_pred``, ``score`` (cosine, 0 to 1) for each row.
 
-    ``und`` with score 0 where the text is null or empty, has no letter, or nothing was learnt. Equal
+    ``und`` with score 0 where the text is null or empty or has no letter; ``unlearnt`` (``und`` too if not
+    given) with score 0 for texts with letters where nothing was learnt. Equal
     cosines go to the first language in code point order. Repeated rows are answered row by row.
     The prototypes (languages x ``dim`` numbers; the set of languages is small) go with the tasks.
     """
@@ -150,14 +151,14 @@ def identify(docs: DataFrame, prototypes: DataFrame, *, key: str = "doc_id", tex
         table.setdefault(name, np.zeros(dim))[place] = value
     names = sorted(n for n, v in table.items() if v.any())
     matrix = np.stack([table[n] / np.linalg.norm(table[n]) for n in names]).astype(np.float32) if names else None
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    shared = docs.sparkSession.sparkContext.broadcast((names or [unlearnt], matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, (names, matrix) = Letters(dim, gram), shared.value
         for batch, rows in texts(batches, "__text"):
             v, some = _bundles(letters, rows)
             if matrix is None:
-                best, score, some = np.zeros(len(rows), int), np.zeros(len(rows)), some & False
+                best, score = np.zeros(len(rows), int), np.zeros(len(rows))
             else:
                 cos = (v @ matrix.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
                 best = cos.argmax(1)

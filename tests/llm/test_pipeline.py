@@ -72,3 +72,9 @@ def test_null_and_repeated_keys(spark, tmp_path):
     assert all(sum(p == q for m in mixed if m["source"] == r["source"] for q in m["positions"]) == 1 for r in mixed for p in r["positions"])
     kept = P.run(spark, str(tmp_path)).collect()
     assert {r["n_chars"] for r in kept} <= {2, 3, 6, 7, 8, 10, 13} and len({r["n_chars"] for r in kept}) == len(kept) > 0
+
+
+def test_no_language_to_learn_from(spark):
+    rows = [(1, "some words", None, "s0", 1), (2, "12 !?", None, "s0", 2), (None, "Ünï", None, None, 3), (4, None, None, "s1", 4), (5, "", None, "s1", 5), (6, "12", "en", "s1", 6)]
+    kept = P.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r["n_chars"], r["lang"]) for r in kept) == [(1, None), (3, None)]
