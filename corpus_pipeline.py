@@ -19,6 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The near-duplicate stage: words of a shingle, percent of the union.
 SHINGLE, PERCENT = 5, 80
 
+#: The decontamination stage: words of an item from which its occurrence is a leak (an answer such as 'yes' is in clean
+#: documents too). A word is what it is to decontaminate.
+LEAK_WORDS = 8
+_FOLDED_WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
+
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``COLUMNS`` and ``row``, a number that no other row has; stored, so that it is the same wherever it is read."""
@@ -47,9 +52,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item of ``LEAK_WORDS`` words or more go."""
     d = numbered(docs)
-    r = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), key="row")
+    items = table(spark, sf_dir, "benchmark").where(F.regexp_count("text", F.lit(_FOLDED_WORD)) >= LEAK_WORDS)
+    r = decontaminate.decontaminate(d, items, key="row")
     return d.join(r.where(F.size("spans") > 0).select("row"), "row", "left_anti").select(*COLUMNS)
 
 

@@ -78,3 +78,15 @@ def test_no_language_to_learn_from(spark):
     rows = [(1, "some words", None, "s0", 1), (2, "12 !?", None, "s0", 2), (None, "Ünï", None, None, 3), (4, None, None, "s1", 4), (5, "", None, "s1", 5), (6, "12", "en", "s1", 6)]
     kept = P.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r["n_chars"], r["lang"]) for r in kept) == [(1, None), (3, None)]
+
+
+def test_short_items_are_no_leaks(spark, tmp_path):
+    seven, eight = "one Two-three four five six seven", "Ünï, two (three) four_five six 7 éight"
+    assert [len(decontaminate.fold_words(x)) for x in (seven, eight)] == [7, 8]
+    texts = ["yes of course", "yes yes yes yes yes yes yes yes yes", f"and {seven} ends", f"and {eight} ends", "nothing", None]
+    docs = spark.createDataFrame([(i, t, "en", "s0", i) for i, t in enumerate(texts)], SCHEMA)
+    spark.createDataFrame([("q1", "Yes"), ("q2", "of course"), ("q3", seven), ("q4", eight), ("q5", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in P.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 4, 5]
+    codes = [chr(c) for c in [*range(256), 0x3000, 0x1F600]]
+    found = spark.createDataFrame([(c, f"a{c}b") for c in codes], "c string, t string").select("c", "t", F.regexp_count("t", F.lit(P._FOLDED_WORD)).alias("n")).collect()
+    assert all(r["n"] == len(decontaminate.fold_words(r["t"])) for r in found)
