@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
 Null and repeated ``doc_id`` are documents of their own in every stage: where an operator's answer
-is joined back, the rows are numbered first and the join is on that number.
+is joined back, the rows are numbered first and the join is on that number (decontamination carries whole rows instead).
 """
 
 from __future__ import annotations
@@ -53,10 +53,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item of ``LEAK_WORDS`` words or more go."""
-    d = numbered(docs)
+    d = docs.select(F.struct(*COLUMNS).alias("row"), "text")  # the answer depends on the text only: whole rows go along
     items = table(spark, sf_dir, "benchmark").where(F.regexp_count("text", F.lit(_FOLDED_WORD)) >= LEAK_WORDS)
     r = decontaminate.decontaminate(d, items, key="row")
-    return d.join(r.where(F.size("spans") > 0).select("row"), "row", "left_anti").select(*COLUMNS)
+    return r.where(F.size("spans") == 0).select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,8 @@ def test_null_and_repeated_keys(spark, tmp_path):
     deduplicated = sorted(r[4] for r in P.drop_near_copies(spark, docs, str(tmp_path)).collect())
     assert deduplicated == [1, 2, 3, 6, 7, 8, 9, 10, 11, 13]  # of three copies the one with a key, of two equal rows one
     assert sorted(r[4] for r in P.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()) == [2, 3, 4, 5, 6, 7, 8, 10, 10, 11, 12, 13]
+    sliced = decontaminate.decontaminate(docs.select(F.struct(*P.COLUMNS).alias("row"), "text"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), key="row", slice_bytes=40)
+    assert sorted(r[0] for r in sliced.where(F.size("spans") == 0).select("row.n_chars").collect()) == [2, 3, 4, 5, 6, 7, 8, 10, 10, 11, 12, 13]
     mixed = P.mix_sources(spark, docs, str(tmp_path)).collect()
     assert all(r["size"] == len(r["text"].split()) and r["taken"] == r["size"] * len(r["positions"]) > 0 for r in mixed)
     assert len(mixed) <= 13 and all(sum(r["n_chars"] == n for r in mixed) <= 1 + (n == 10) for n in range(1, 14))
