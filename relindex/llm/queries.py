@@ -10,11 +10,14 @@ from . import debruijn as op7
 from . import decontaminate as op6
 from . import jaccard_join as op5
 from . import langid as op9
+from . import line_quality as op11
 from . import order_minhash as op1
 from . import pii as op10
 from . import ppm as op2
 from . import suffix_ranks as op3
 from . import url_templates as op8
+from . import whitening as op13
+from . import zfast_trie as op12
 from .common import sha_of_list, table
 
 QUERIES: dict = {}
@@ -234,3 +237,53 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, coalesce(l.n_li
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id) k USING (doc_id)
 LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM p GROUP BY a) l USING (doc_id)
 """
+
+
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of ``documents`` from their lines, learnt from the labels of rows that are not held out."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt = _not_held_out(3, 1)
+    r = op11.assess(d, op11.train(d.where(learnt), labels.where(learnt)))
+    return r.select("doc_id", (~learnt).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "n_bad")
+
+
+QUERIES["op11_line_crf"] = op11_line_crf
+
+
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct prefixes of the rebuilt ``conversations``."""
+    return op12.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op12_zfast_trie"] = op12_zfast_trie
+ORACLE["op12_zfast_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, turn, len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS whole,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT c, sha256(whole) AS k, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(whole)) AS pos FROM t),
+cv AS MATERIALIZED (SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+          string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) % 4 AS h
+      FROM (SELECT DISTINCT c FROM o)),
+rb AS (SELECT cv.c, 0 AS own, pos, k, words FROM cv JOIN o ON o.c = cv.base AND pos <= h
+       UNION ALL SELECT c, 1, pos, k, words FROM o JOIN cv USING (c) WHERE pos > h),
+dd AS (SELECT c, k, words, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d FROM rb),
+px AS (SELECT c, d, words, sha256(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS id FROM dd UNION ALL SELECT c, 0, 0, '' FROM cv),
+pf AS MATERIALIZED (SELECT *, lag(id) OVER (PARTITION BY c ORDER BY d) AS parent, max(d) OVER (PARTITION BY c) AS whole FROM px),
+nd AS MATERIALIZED (SELECT id, d, min(c) AS conv_id, count(*) AS n, min(parent) AS parent, min(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = whole), '')) AS ends FROM pf GROUP BY id, d),
+kd AS MATERIALIZED (SELECT parent AS id, count(*) AS kids FROM nd WHERE parent IS NOT NULL GROUP BY parent),
+un AS (SELECT a.id, sum((v.n - 1) * v.words) AS saved, sum(CASE WHEN kd.kids IS NULL THEN 1 ELSE 0 END) AS leaves
+       FROM nd v LEFT JOIN kd ON kd.id = v.id JOIN pf a ON a.c = v.conv_id AND a.d <= v.d GROUP BY a.id)
+SELECT nd.conv_id, CAST(nd.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, nd.n AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nd.ends AS ends_sha256
+FROM nd LEFT JOIN nd up ON up.id = nd.parent LEFT JOIN kd ON kd.id = nd.id JOIN un ON un.id = nd.id
+"""
+
+
+def op13_rank_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` on their 32 leading whitened components."""
+    r = op13.whiten(table(spark, sf_dir, "embeddings"))
+    return r.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+QUERIES["op13_rank_one"] = op13_rank_one
