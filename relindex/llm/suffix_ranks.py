@@ -21,7 +21,6 @@ and single positions are ranked only at the passages' edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_filter, identified, key_of, passes, short_batches, stored, texts
-from .wordhash import distinct, sliding_min
+from .wordhash import BYTE_CODE, distinct, powers, sliding_min
 
 #: Bytes of a repeated string, and those of the first rank.
 LENGTH = 400
@@ -41,27 +40,18 @@ PICK, PIECE = 8, 1 << 20
 #: below is a window group of one task (some 20 MB of rows at most).
 HOT = 500_000
 
-_BASE = 6364136223846793005
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.uint64((1 << 21) - 1)
 
 
-@lru_cache(maxsize=1)
-def _constants(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def powers(x):
-        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, dtype=np.uint64))])
-    return np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64), powers(_BASE), powers(_BASE_INVERSE)
-
-
 class Ranks:
     """Names (64-bit hashes) of all substrings of a buffer, from one prefix sum."""
 
     def __init__(self, buf: bytes):
-        code, up, self.down = _constants(PIECE + 4096)
+        up, self.down = powers(PIECE + 4096)
         b = np.frombuffer(buf, dtype=np.uint8)
         self.n = len(b)
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(code[b] * up[:self.n], out=self.sums[1:])
+        np.cumsum(BYTE_CODE[b] * up[:self.n], out=self.sums[1:])
 
     def of(self, at: np.ndarray, length) -> np.ndarray:
         x = (self.sums[at + length] - self.sums[at]) * self.down[at]

@@ -10,7 +10,7 @@ import numpy as np
 SLICE = 1 << 20
 _BASE = 6364136223846793005
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_CODE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_CODE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -82,7 +82,7 @@ def words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         blank = _BLANK[b]
         begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
         end = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-        hashes.append(Runs(_CODE[b]).of(begin, end - begin))
+        hashes.append(Runs(BYTE_CODE[b]).of(begin, end - begin))
         edges = np.cumsum([len(p) + 1 for p in parts])
         np.add.at(counts, owner, np.diff(np.concatenate([[0], np.searchsorted(begin, edges)])))
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
