@@ -9,8 +9,7 @@ Scale notes
   before each exchange. A release that owns a third of all headers is
   combined map-side to one row per task before the shuffle, so no single
   reducer receives its raw headers.
-* The tag union is computed over exploded distinct ``(key, tag)`` pairs;
-  the collected list is the output column itself (bounded by the result).
+* The tag union is part of the same aggregate, over distinct tag lists.
 * Segments are kept as a child table ``(norm_title, message_id, ...)``
   rather than an unbounded array on the release row; arrays are only built
   downstream under the manifest segment cap.
@@ -131,18 +130,15 @@ def fold_releases(parsed: DataFrame) -> DataFrame:
     """One candidate per ``(grp, dedupe_key)``: first category/language/
     extension, summed size, min posted_at, tag union (sorted once merged;
     a single header keeps its own order)."""
-    agg = parsed.groupBy("grp", "dedupe_key").agg(
+    j = parsed.groupBy("grp", "dedupe_key").agg(
         F.min_by(F.struct("category", "category_id", "language", "extension", "source_group", "tags"), _ord()).alias("first"),
         F.sum("size").alias("size_sum"),
         F.count(F.lit(1)).alias("n_headers"),
         F.min("posted_at").alias("posted_at"),
         F.min(_ord()).alias("first_ord"),
+        # distinct tag lists, merged map-side: a title's headers carry the same few lists
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tag_union"),
     )
-    tag_union = (
-        parsed.select("grp", "dedupe_key", F.explode("tags").alias("tag"))
-        .groupBy("grp", "dedupe_key").agg(F.array_sort(F.collect_set("tag")).alias("tag_union"))
-    )
-    j = agg.join(tag_union, ["grp", "dedupe_key"], "left")
     return j.select(
         "grp", "dedupe_key",
         F.col("first.category").alias("category"),

@@ -17,7 +17,9 @@ headers were cut into batches:
 
 Scale: the batch is small relative to the tables. Each of them is joined once,
 semi and anti, with the batch's distinct titles, which AQE broadcasts after
-measuring them; only the rows of touched titles are aggregated again.
+measuring them; only the rows of touched titles are aggregated again. A table
+kept in hash buckets (``sources.buckets``) gives and takes the buckets of the
+batch's titles only.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ def merge_segments(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert(releases: DataFrame, segments: DataFrame, candidates: DataFrame,
-           parsed_batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Returns ``(new_releases, new_segments, new_candidates, inserted_keys)``; ``releases`` is the ungated table."""
-    new = ingest.fold_releases(parsed_batch)
+           parsed_batch: DataFrame, folded: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Returns ``(new_releases, new_segments, new_candidates, inserted_keys)``; ``releases`` is the ungated table,
+    ``folded`` the batch's candidates if they are stored already."""
+    new = ingest.fold_releases(parsed_batch) if folded is None else folded
     titles = new.select(F.col("dedupe_key").alias("norm_title")).distinct()
     keyed = titles.withColumnRenamed("norm_title", "dedupe_key")
 

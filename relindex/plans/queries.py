@@ -444,7 +444,7 @@ def q_stream_ingest(spark, sf_dir):
     root = table_path(spark, f"stream-store-{_uuid.uuid4().hex[:8]}")
     qry = ST.incremental_ingest(spark, src, root, files_per_trigger=1)
     qry.awaitTermination()
-    rel = ingest.size_gate(ST.ReleaseStateStore(spark, root).read("releases"))
+    rel = ingest.size_gate(ST.release_store(spark, root).read("releases"))
     return rel.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
                       K.ts_text(F.col("posted_at")).alias("posted_at"))
 
@@ -457,7 +457,7 @@ def q_stream_progress(spark, sf_dir):
     src, root = (table_path(spark, f"stream-{k}-{_uuid.uuid4().hex[:8]}") for k in ("src", "store"))
     ST.stage_header_files(K.headers(spark, sf_dir), src, n_files=2)
     ST.incremental_ingest(spark, src, root).awaitTermination()
-    return ST.ReleaseStateStore(spark, root).read("progress")
+    return ST.progress_log(spark, root).state().select("grp", "last_article")
 
 
 def q_stream_rate_window(spark, sf_dir):
@@ -467,8 +467,8 @@ def q_stream_rate_window(spark, sf_dir):
     from ..session import table_path
     src, out = (table_path(spark, f"events-{k}-{_uuid.uuid4().hex[:8]}") for k in ("src", "rate"))
     load_table(spark, sf_dir, "events").repartition(8).write.parquet(src)
-    ST.rate_window_stream(spark, src, out, "1 hour").awaitTermination()
-    w = ST.rate_windows(spark, out, 1)
+    ST.rate_window_stream(spark, src, out, "1 hour", delay_seconds=10 * 366 * 86400).awaitTermination()  # the files are in no order
+    w = ST.rate_windows(spark, out, 1).drop("open")
     return w.withColumn("window_start", K.ts_text(F.col("window_start")))
 
 
