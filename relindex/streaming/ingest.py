@@ -61,14 +61,16 @@ def apply_batch(store: BucketStore, log: ProgressLog, batch: DataFrame, batch_id
     else:
         rel, segs, merged, inserted = upsert.upsert(old["releases"], old["segments"], old["candidates"], parsed, cand)
     new_keys = ingest.materialize(inserted, "stream_inserted")
-    log.append(f"batch{batch_id:012d}", progress_events(batch, cand, new_keys, curated))
+    log.append(f"batch{batch_id:012d}", progress_events(batch, cand, new_keys, log.state(), curated))
     store.commit(batch_id, dict.fromkeys(STATE, touched), releases=rel, segments=segs,
                  candidates=cand if any(v is None for v in old.values()) else merged)
 
 
-def progress_events(batch: DataFrame, candidates: DataFrame, inserted: DataFrame, curated: bool) -> DataFrame:
-    """K2: every group of the batch advances; one that inserted no release is marked irrelevant, unless groups are curated."""
-    last = batch.groupBy("grp").agg(F.max("article_number").alias("article"))
+def progress_events(batch: DataFrame, candidates: DataFrame, inserted: DataFrame, state: DataFrame, curated: bool) -> DataFrame:
+    """K2: every group of the batch advances (files come in any order, so never back); one that inserted no
+    release is marked irrelevant, unless groups are curated."""
+    last = (batch.groupBy("grp").agg(F.max("article_number").alias("article")).join(state.select("grp", "last_article"), "grp", "left")
+            .select("grp", F.greatest("article", "last_article").alias("article")))
     events = last.select(F.lit("advance").alias("kind"), "grp", "article")
     if curated:
         return events
