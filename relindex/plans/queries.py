@@ -442,7 +442,7 @@ def q_stream_ingest(spark, sf_dir):
     src = table_path(spark, f"stream-src-{_uuid.uuid4().hex[:8]}")
     ST.stage_header_files(K.headers(spark, sf_dir), src, n_files=4)
     root = table_path(spark, f"stream-store-{_uuid.uuid4().hex[:8]}")
-    qry = ST.incremental_ingest(spark, src, root, files_per_trigger=1)
+    qry = ST.incremental_ingest(spark, src, root, files_per_trigger=1, buckets=8)
     qry.awaitTermination()
     rel = ingest.size_gate(ST.release_store(spark, root).read("releases"))
     return rel.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts",
@@ -456,7 +456,7 @@ def q_stream_progress(spark, sf_dir):
     from ..session import table_path
     src, root = (table_path(spark, f"stream-{k}-{_uuid.uuid4().hex[:8]}") for k in ("src", "store"))
     ST.stage_header_files(K.headers(spark, sf_dir), src, n_files=2)
-    ST.incremental_ingest(spark, src, root).awaitTermination()
+    ST.incremental_ingest(spark, src, root, buckets=8).awaitTermination()
     return ST.progress_log(spark, root).state().select("grp", "last_article")
 
 

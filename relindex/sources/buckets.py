@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COMMIT = "tbl string, bucket int, path string"
-_META = "_meta"
+_META, _BUCKETS = "_meta", "_buckets"
 
 
 class BucketStore:
-    """Tables (name -> column that its rows are bucketed by) under one root."""
+    """Tables (name -> column that its rows are bucketed by) under one root. A store keeps the number of buckets it was made with."""
 
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, str], buckets: int = 64, keep: int = 3):
-        self.spark, self.root, self.tables, self.buckets, self.keep = spark, root.rstrip("/"), tables, buckets, max(1, keep)
+        self.spark, self.root, self.tables, self.keep = spark, root.rstrip("/"), tables, max(1, keep)
+        self.buckets = next((b for t, b in self.manifest() if t == _BUCKETS), buckets)
 
     # -- the file system that Spark writes to
     def _path(self, path: str):
@@ -86,7 +87,7 @@ class BucketStore:
             for folder in self._names(f"{version}/{name}"):
                 if folder.startswith("_b="):
                     at[name, int(folder[3:])] = f"{version}/{name}/{folder}"
-        at.pop((_META, 0), None)
+        at = {k: p for k, p in at.items() if k[0] not in (_META, _BUCKETS)} | {(_BUCKETS, self.buckets): ""}
         rows = [(t, b, p) for (t, b), p in sorted(at.items())] + ([(_META, 0, meta)] if meta is not None else [])
         self.spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.root}/commits/{batch_id:012d}")
         self.vacuum()
@@ -98,7 +99,7 @@ class BucketStore:
             n += fs.delete(self._path(f"{self.root}/commits/{name}"), True)
         kept = done[-self.keep:]
         # paths as names below the root: the file system may spell the root differently
-        named = {p.split(f"{self.root}/data/", 1)[-1] for c in kept for (t, _), p in self.manifest(c).items() if t != _META}
+        named = {p.split(f"{self.root}/data/", 1)[-1] for c in kept for (t, _), p in self.manifest(c).items() if t not in (_META, _BUCKETS)}
         newest = int(done[-1]) if done else -1
         for version in self._names(f"{self.root}/data"):
             if int(version.split("-")[0]) > newest:

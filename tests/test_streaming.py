@@ -78,6 +78,7 @@ def test_a_batch_writes_the_buckets_of_its_titles_only(spark, tmp_path):
     part = store.read("t", touched)
     store.commit(1, {"t": touched}, t=part.join(new, "k", "left_anti").unionByName(new))
     now = store.manifest()
+    assert BucketStore(spark, root, {"t": "k"}, buckets=5).buckets == 32  # as it was made
     assert {x for x in now if now[x] != at[x]} == {("t", b) for b in touched} and len(touched) <= 2
     assert _bytes(f"{root}/data") - whole < whole * 3 * len(touched) / 32
     got = {r["k"]: r["v"] for r in store.read("t").collect()}
