@@ -93,3 +93,35 @@ def apply_backfill(releases: DataFrame, filled: DataFrame, unresolved: DataFrame
         "size_bytes": F.coalesce(F.col("_sz"), F.col("size_bytes")),
         "has_parts": F.when(F.col("_pc").isNotNull(), F.lit(True)).otherwise(F.col("has_parts")),
     }).drop("_pc", "_sz")
+
+
+def targets(releases: DataFrame, segments: DataFrame, ids: DataFrame | None = None, auto: bool = False) -> DataFrame:
+    """I8: the releases to backfill: those in ``ids`` if given, else with ``auto`` those marked as having parts, else
+    all; releases that have segments already are left alone."""
+    r = releases
+    if ids is not None:
+        r = r.join(ids.select("id").distinct(), "id", "left_semi")
+    elif auto:
+        r = r.where(F.col("has_parts"))
+    return r.join(segments.select("norm_title"), "norm_title", "left_anti").select("id", "norm_title", "source_group")
+
+
+def backfill_job(releases: DataFrame, segments: DataFrame, parsed_all: DataFrame, *, ids: DataFrame | None = None, auto: bool = False,
+                 n_lookback: int = 0, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I8: (releases, segments, unresolved) after the job: found segments are added, their releases take count and
+    size, targets without any are deleted."""
+    t = targets(releases, segments, ids, auto)
+    filled, found, unresolved = backfill(t, parsed_all, n_lookback, groups)
+    # categories of one title are several targets that find the same segments
+    new = found.groupBy("norm_title", "message_id").agg(F.min(F.struct("number", "group", "size")).alias("s"))
+    new = new.select("norm_title", "s.number", "message_id", "s.group", "s.size")
+    return apply_backfill(releases, filled, unresolved), segments.unionByName(new), unresolved
+
+
+def getnzb(releases: DataFrame, segments: DataFrame, parsed_all: DataFrame, ids: DataFrame, n_lookback: int = 0,
+           max_segments: int | None = None) -> DataFrame:
+    """Manifests of the requested releases; one without segments gets one try at a backfill first. Nothing is written back."""
+    from . import outputs
+    asked = releases.join(ids.select("id").distinct(), "id", "left_semi")
+    rel, segs, _ = backfill_job(asked, segments.join(asked.select("norm_title"), "norm_title", "left_semi"), parsed_all, n_lookback=n_lookback)
+    return outputs.manifests(rel, segs, max_segments)

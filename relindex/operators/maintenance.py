@@ -19,6 +19,7 @@ from .. import config as C
 from ..functions import category as cat
 from ..functions import dates as d
 from ..functions import text as tx
+from ..sources import store
 
 
 def _split(df: DataFrame, remove: Column) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +53,30 @@ def prune_old(releases: DataFrame, days: int, as_of: str) -> tuple[DataFrame, Da
     return _split(releases, F.col("posted_at") < cutoff)
 
 
+def prune_old_by_inventory(spark: SparkSession, path: str, days: int, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I3 over the partition inventory of the table at ``path``: (kept, removed, report).
+
+    Partitions whose dates are all before the cutoff go, those with none before it stay, by their inventory
+    row alone; only the ones the cutoff divides are read. ``report`` has a row for each partition that
+    loses rows: its action and how many (null: known only when it is read).
+    """
+    table, inv = store.read_releases(spark, path), store.read_inventory(spark, path)
+    if days <= 0:
+        return table, table.where(F.lit(False)), inv.where(F.lit(False)).select("bucket", "posted_year", F.lit("").alias("action"), "n")
+    cutoff = F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(days))
+    old = F.coalesce(F.col("first_posted") < cutoff, F.lit(False))
+    whole = F.coalesce((F.col("last_posted") < cutoff) & (F.col("n_undated") == 0), F.lit(False))
+    rows = inv.select("bucket", "posted_year", "n", F.when(whole, "drop").when(old, "trim").otherwise("keep").alias("action")).collect()  # categories x years
+    part = {a: store.partition_filter([r for r in rows if r["action"] == a]) for a in ("drop", "trim", "keep")}
+    gone = F.coalesce(F.col("posted_at") < cutoff, F.lit(False))
+    trimmed = table.where(part["trim"])
+    kept = table.where(part["keep"]).unionByName(trimmed.where(~gone))
+    removed = table.where(part["drop"]).unionByName(trimmed.where(gone))
+    report = spark.createDataFrame([(r["bucket"], r["posted_year"], r["action"], r["n"] if r["action"] == "drop" else None)
+                                    for r in rows if r["action"] != "keep"], "bucket string, posted_year int, action string, n long")
+    return kept, removed, report
+
+
 def prune_partitions(releases: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I4: date cutoff. Year partitions wholly before the cutoff are dropped
     (a partition-column predicate: no data read), the straddling year and the
@@ -97,9 +122,10 @@ def prune_non_curated_join(releases: DataFrame, groups: DataFrame) -> tuple[Data
     return kept, removed
 
 
-def remove_by_id(releases: DataFrame, release_id: int) -> tuple[DataFrame, DataFrame]:
-    """Takedown of one release."""
-    return _split(releases, F.col("id") == F.lit(release_id))
+def remove_by_id(releases: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takedown of the releases listed in ``ids`` (column ``id``)."""
+    gone = ids.select("id").distinct()
+    return releases.join(gone, "id", "left_anti"), releases.join(gone, "id", "left_semi")
 
 
 # ---------------------------------------------------------------- partitions
@@ -109,6 +135,11 @@ def partition_counts(releases: DataFrame) -> DataFrame:
     return releases.groupBy("bucket", "posted_year").agg(F.count(F.lit(1)).alias("n"))
 
 
+def inventory_counts(spark: SparkSession, path: str) -> DataFrame:
+    """A6/A7 report from the inventory: no release file is read."""
+    return store.read_inventory(spark, path).select("bucket", "posted_year", "n")
+
+
 def partition_years(releases: DataFrame) -> DataFrame:
     """Distinct years found per category bucket."""
     return releases.where(F.col("posted_year").isNotNull()).select("bucket", "posted_year").distinct()

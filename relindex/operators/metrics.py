@@ -5,7 +5,7 @@ Spark's ``window`` bucketing (no per-row Python)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,11 +46,41 @@ def adaptive_poll_seconds(summary: DataFrame, lo: int = 5, hi: int = 60) -> Data
     return summary.withColumn("poll_seconds", delay)
 
 
-def labelled_counters(events: DataFrame, label_path: str = "$.k") -> DataFrame:
-    """``name{k=v}`` counter keys (labels sorted) with their counts."""
-    k = F.get_json_object(F.col("props"), label_path)
-    key = F.when(k.isNull(), F.col("event_type")).otherwise(F.concat(F.col("event_type"), F.lit("{k="), k, F.lit("}")))
-    return events.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("value"))
+def with_rates(metrics: DataFrame) -> DataFrame:
+    """E5 with ``duration_ms`` and ``database_ms`` columns: averages for each header and the group's ETA in seconds
+    (null where nothing was processed, no time passed or nothing remains)."""
+    known = F.when(F.col("processed") > 0, F.col("processed"))
+    rate = known / (F.col("duration_ms") / 1000)
+    return metrics.select(
+        "*", F.coalesce(F.round(F.col("duration_ms") / known, 3), F.lit(0.0)).alias("average_batch_ms"),
+        F.coalesce(F.round(F.col("database_ms") / known, 3), F.lit(0.0)).alias("average_database_latency_ms"),
+        F.when((F.col("duration_ms") > 0) & (F.col("remaining") > 0), F.floor(F.col("remaining") / rate)).cast("long").alias("eta_seconds"))
+
+
+def global_eta(metrics: DataFrame) -> DataFrame:
+    """E6 with the ETA over all groups of a batch index (0 where it cannot be told)."""
+    s = metrics.groupBy("batch").agg(F.sum("processed").alias("processed"), F.sum("remaining").alias("remaining"), F.sum("duration_ms").alias("duration_ms"))
+    told = (F.col("duration_ms") > 0) & (F.col("processed") > 0) & (F.col("remaining") > 0)
+    eta = F.floor(F.col("remaining") / (F.col("processed") / (F.col("duration_ms") / 1000)))
+    return s.select("batch", "processed", "remaining", F.when(told, eta).otherwise(0).cast("long").alias("eta_seconds"))
+
+
+def counter_key(name: Column, labels: Column) -> Column:
+    """``name{a=1,b=2}``: any number of labels (a map), sorted by name; without labels just the name. Null values are no labels."""
+    own = F.filter(F.map_entries(F.coalesce(labels, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull())
+    told = F.array_join(F.transform(F.array_sort(own), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.when(F.size(own) == 0, name).otherwise(F.concat(name, F.lit("{"), told, F.lit("}")))
+
+
+def counters(events: DataFrame, name: str, labels: Column) -> DataFrame:
+    """(key, value) of every name and set of labels."""
+    return events.groupBy(counter_key(F.col(name), labels).alias("key")).agg(F.count(F.lit(1)).alias("value"))
+
+
+def labelled_counters(events: DataFrame, label: str = "k") -> DataFrame:
+    """E7 over events with one label in their properties."""
+    value = F.get_json_object("props", f"$.{label}")
+    return counters(events, "event_type", F.create_map(F.lit(label), value))
 
 
 def changed_counters(prev: DataFrame, cur: DataFrame) -> DataFrame:

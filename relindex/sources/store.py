@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,11 @@ def new_path(spark: SparkSession, name: str = "releases") -> str:
 
 
 def write_releases(df: DataFrame, path: str | None = None, mode: str = "overwrite",
-                   max_records_per_file: int = 5_000_000) -> str:
+                   max_records_per_file: int = 5_000_000, inventory: bool = False) -> str:
     """A4: partitioned write. No shuffle is added: each task writes its rows
     into the partition directories it holds (a hot category/year is spread
-    over many tasks and files instead of landing in one)."""
+    over many tasks and files instead of landing in one). With ``inventory``
+    the partitions' figures are written beside them."""
     spark = df.sparkSession
     path = path or new_path(spark)
     cols = [f.name for f in RELEASE_SCHEMA.fields if f.name in df.columns]
@@ -55,6 +56,8 @@ def write_releases(df: DataFrame, path: str | None = None, mode: str = "overwrit
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy(*PARTITION_COLS)
        .parquet(path))
+    if inventory:
+        write_inventory(spark, path)
     return path
 
 
@@ -77,3 +80,80 @@ def rewrite(kept: DataFrame, removed: DataFrame, path: str, target: str | None =
     whole = read_releases(kept.sparkSession, path).join(F.broadcast(mark), same, "left_anti")  # categories x years: a bounded list
     part = kept.join(F.broadcast(mark), same, "left_semi")
     return write_releases(whole.unionByName(part, allowMissingColumns=True), target)
+
+
+# ---------------------------------------------------------------- inventory
+
+def write_inventory(spark: SparkSession, path: str) -> None:
+    """One row for each partition of the table at ``path``: rows, rows without a date, least and greatest ``posted_at`` and size.
+
+    It lies in ``<path>/_inventory``, which table scans do not see.
+    """
+    r = read_releases(spark, path)
+    (r.groupBy(*PARTITION_COLS).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("posted_at").isNull(), 1)).alias("n_undated"),
+        F.min("posted_at").alias("first_posted"), F.max("posted_at").alias("last_posted"),
+        F.min("size_bytes").alias("least_size"), F.max("size_bytes").alias("most_size"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/_inventory"))
+
+
+INVENTORY = ("bucket string, posted_year int, n long, n_undated long, first_posted timestamp, last_posted timestamp, "
+             "least_size long, most_size long")
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INVENTORY).parquet(f"{path}/_inventory")
+
+
+def partition_filter(rows) -> Column:
+    """A predicate on the partition columns alone (directories are chosen by it, no file is read for it)."""
+    out = F.lit(False)
+    for r in rows:
+        out = out | (F.col("bucket").eqNullSafe(F.lit(r["bucket"])) & F.col("posted_year").eqNullSafe(F.lit(r["posted_year"]).cast("int")))
+    return out
+
+
+# ---------------------------------------------------------------- seek paging
+
+def page_key() -> Column:
+    """The page order (date descending, undated first, then title and category) as a value that rises."""
+    return F.struct(F.col("posted_at").isNotNull().alias("dated"), F.coalesce(-F.unix_micros("posted_at"), F.lit(0).cast("long")).alias("age"),
+                    F.col("norm_title").alias("title"), F.col("category_id").alias("category_id"))
+
+
+_KEY = "struct<dated:boolean,age:bigint,title:string,category_id:int>"
+
+
+def write_pages(releases: DataFrame, path: str, rows_per_file: int = 100_000) -> str:
+    """A copy in page order: range-partitioned files, and a small index with each file's rows and first key."""
+    spark = releases.sparkSession
+    n = max(1, -(-releases.count() // rows_per_file))
+    k = releases.withColumn("_key", page_key()).repartitionByRange(n, "_key").sortWithinPartitions("_key")
+    k.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    (spark.read.schema(f"_key {_KEY}, part int").parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"))
+     .write.mode("overwrite").parquet(f"{path}/index"))
+    return path
+
+
+def seek_page(spark: SparkSession, path: str, limit: int, after=None) -> DataFrame:
+    """The next ``limit`` rows after the key ``after`` (a row's ``_key``; None: from the start), in page order.
+
+    Only the files that hold them are read: the file of ``after`` and as many following ones as it takes,
+    so page 1000 costs what page 1 costs.
+    """
+    index = spark.read.schema(f"part int, n long, first {_KEY}").parquet(f"{path}/index")
+    key = None if after is None else F.struct(*[F.lit(after[f]).cast(t).alias(f) for f, t in (("dated", "boolean"), ("age", "bigint"), ("title", "string"), ("category_id", "int"))])
+    start = 0 if key is None else index.where(F.col("first") <= key).agg(F.max("part")).first()[0] or 0
+    parts, room = [], limit
+    while room > 0:
+        more = index.where(F.col("part") > (parts[-1] if parts else start - 1)).orderBy("part").limit(1).first()
+        if more is None:
+            break
+        parts.append(more["part"])
+        if len(parts) > 1 or key is None:  # of the first file any number of rows may lie before ``after``
+            room -= more["n"]
+    rows = spark.read.parquet(f"{path}/rows")
+    if not parts:
+        return rows.limit(0).drop("part")
+    page = rows.where(F.col("part").isin(parts)).drop("part")
+    return (page if key is None else page.where(F.col("_key") > key)).orderBy("_key").limit(limit)
