@@ -130,6 +130,7 @@ def write_pages(releases: DataFrame, path: str, rows_per_file: int = 100_000) ->
     n = max(1, -(-releases.count() // rows_per_file))
     k = releases.withColumn("_key", page_key()).repartitionByRange(n, "_key").sortWithinPartitions("_key")
     k.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    k.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")  # an empty file, for tables without rows
     (spark.read.schema(f"_key {_KEY}, part int").parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"))
      .write.mode("overwrite").parquet(f"{path}/index"))
     return path
@@ -152,8 +153,8 @@ def seek_page(spark: SparkSession, path: str, limit: int, after=None) -> DataFra
         parts.append(more["part"])
         if len(parts) > 1 or key is None:  # of the first file any number of rows may lie before ``after``
             room -= more["n"]
-    rows = spark.read.parquet(f"{path}/rows")
     if not parts:
-        return rows.limit(0).drop("part")
+        return spark.read.parquet(f"{path}/schema")
+    rows = spark.read.parquet(f"{path}/rows")
     page = rows.where(F.col("part").isin(parts)).drop("part")
     return (page if key is None else page.where(F.col("_key") > key)).orderBy("_key").limit(limit)
