@@ -9,8 +9,8 @@ where it was seen; each context before it that was seen costs an escape
 (method D: half a count for each distinct symbol), and the symbols of that
 context are excluded below.
 
-Texts are dealt into chunks and travel compressed. A chunk's dictionary (its
-distinct n-grams and words) is what meets the corpus-wide tables in joins; the
+Texts are packed into compressed rows, which are stored once and dealt into
+chunks. A chunk's dictionary (its distinct n-grams and words) is what meets the corpus-wide tables in joins; the
 answers go back to the chunk, whose texts are then scored with its own small
 dictionary. So no table is broadcast, and no row is shuffled for each position
 of a text.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import short_batches, stored
+from .common import stored
 
 #: Bytes of context; an n-gram (context and symbol) is packed into a long.
 ORDER = 5
@@ -37,9 +37,15 @@ START, END = 0xFE, 0xFF
 #: Symbols of the lowest order: all byte values and the end.
 ALPHABET = 257
 #: Bytes of text in a chunk, about; its dictionary must fit in a Python worker.
-CHUNK_BYTES = 48 << 20
-#: Bytes of text that travel in one compressed row at most (or one text), and that a task holds back.
-PACK_BYTES, HELD_BYTES = 1 << 20, 32 << 20
+CHUNK_BYTES = 16 << 20
+#: Bytes of text of one compressed row (or one text, if that is longer); a task holds back no more.
+PACK_BYTES = 256 << 10
+#: Arrow batches are bounded by bytes here: rows of dictionaries are short, texts may be long.
+BATCH = {"maxRecordsPerBatch": "20000", "maxBytesPerBatch": str(2 << 20)}
+#: Positions of a text whose n-grams are looked at together.
+PIECE = 1 << 20
+#: Positions that pile up before their n-grams are merged.
+MERGE = 1_000_000
 
 
 def word_key(word: bytes) -> int:
@@ -48,40 +54,34 @@ def word_key(word: bytes) -> int:
     return (xxh64_intdigest(word) >> 1) - (1 << 63)
 
 
-def packs(docs: DataFrame, key: str) -> DataFrame:
-    """(chunk, keys, held_out, sizes, body): texts of one chunk, compressed together."""
+def packs(docs: DataFrame, key: str, pack_bytes: int) -> DataFrame:
+    """(keys, held_out, sizes, body): texts of neighbouring rows, compressed together."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        sizes: dict[int, int] = {}
-        schema = None
+        held: list[tuple] = []
+        size, schema = 0, None
 
-        def row(c):
-            own = held.pop(c)
-            sizes.pop(c)
+        def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int32()), pa.array([[k for k, _, _ in own]], pa.list_(schema)), pa.array([[h for _, h, _ in own]], pa.list_(pa.bool_())),
-                 pa.array([[len(t) for _, _, t in own]], pa.list_(pa.int32())),
-                 pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, _, t in own))], pa.binary())],
-                names=["chunk", "keys", "held_out", "sizes", "body"])
+                [pa.array([[k for k, _, _ in held]], pa.list_(schema)), pa.array([[h for _, h, _ in held]], pa.list_(pa.bool_())),
+                 pa.array([[len(t) for _, _, t in held]], pa.list_(pa.int32())),
+                 pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, _, t in held))], pa.binary())],
+                names=["keys", "held_out", "sizes", "body"])
 
         for b in batches:
             schema = b.schema.field(0).type
-            raw = b.column(1).cast(pa.binary()).to_pylist()
-            for k, t, h, c in zip(b.column(0).to_pylist(), raw, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                held.setdefault(c, []).append((k, h, t or b""))
-                sizes[c] = sizes.get(c, 0) + len(t or b"")
-                if sizes[c] >= PACK_BYTES:
-                    yield row(c)
-            if sum(sizes.values()) >= HELD_BYTES:
-                for c in list(held):
-                    yield row(c)
-        for c in list(held):
-            yield row(c)
-
-    return docs.select(key, "text", "held_out", "chunk").mapInArrow(
-        run, f"chunk int, keys array<{kind}>, held_out array<boolean>, sizes array<int>, body binary")
+            for k, t, h in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                t = (t.as_py() or "").encode()
+                held.append((k.as_py(), h.as_py(), t))
+                size += len(t)
+                if size >= pack_bytes:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    return docs.select(key, "text", "held_out").mapInArrow(run, f"keys array<{kind}>, held_out array<boolean>, sizes array<int>, body binary")
 
 
 def unpacked(group: pa.Table):
@@ -93,41 +93,60 @@ def unpacked(group: pa.Table):
         yield group.column("keys")[i].values, group.column("held_out")[i].as_py(), [raw[e - n:e] for e, n in zip(ends, sizes, strict=True)]
 
 
-def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of all positions, text after text, and the end of each text's positions."""
-    pad, end = bytes([START]) * ORDER, bytes([END])
-    a = np.frombuffer(b"".join(x for t in texts for x in (pad, t, end)), dtype=np.uint8)
+def _windows(a: np.ndarray) -> np.ndarray:
     key = np.zeros(len(a) - ORDER, dtype=np.int64)
     for k in range(ORDER + 1):
         key = (key << 8) | a[k:k + len(key)]
-    keep = np.ones(len(key), dtype=bool)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    for j in range(ORDER):  # windows whose last byte is a start mark of the next text
-        keep[(ends + np.arange(len(texts)) * ORDER + j)[:-1]] = False
-    return key[keep], ends
+    return key
+
+
+def packed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Packed n-grams of all positions: (n-grams, texts they belong to, where each text's end). A long text comes in pieces."""
+    pad, end = bytes([START]) * ORDER, bytes([END])
+    short = [i for i, t in enumerate(texts) if len(t) < PIECE]
+    if short:
+        key = _windows(np.frombuffer(b"".join(x for i in short for x in (pad, texts[i], end)), dtype=np.uint8))
+        keep = np.ones(len(key), dtype=bool)
+        ends = np.cumsum([len(texts[i]) + 1 for i in short])
+        for j in range(ORDER):  # windows whose last byte is a start mark of the next text
+            keep[(ends + np.arange(len(short)) * ORDER + j)[:-1]] = False
+        yield key[keep], np.array(short), ends
+    for i, t in enumerate(texts):
+        if len(t) >= PIECE:
+            whole = b"".join((pad, t, end))
+            for at in range(0, len(t) + 1, PIECE):
+                key = _windows(np.frombuffer(whole[at:at + PIECE + ORDER], dtype=np.uint8))
+                yield key, np.array([i]), np.array([len(key)])
 
 
 class Grams:
-    """Distinct n-grams with counts, merged piece by piece."""
+    """Distinct n-grams (sorted) with counts; new ones pile up unsorted until there are ``MERGE`` positions."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.open: dict[int, list[np.ndarray]] = {0: [], 1: []}
         self.size = 0
 
     def add(self, keys: np.ndarray, times: int) -> None:
-        u, n = np.unique(keys, return_counts=True)
-        self.parts.append((u, n * times))
-        self.size += len(u)
-        if self.size > 1_500_000 and len(self.parts) > 8:
+        self.open[times].append(keys)
+        self.size += len(keys)
+        if self.size > MERGE:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.parts:
-            u, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-            self.parts = [(u, n)]
-            self.size = len(u)
-        return self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 2
+        for times, parts in self.open.items():
+            if parts:
+                u, n = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                at = np.searchsorted(self.keys, u)
+                old = np.zeros(len(u), dtype=bool)
+                inside = at < len(self.keys)
+                old[inside] = self.keys[at[inside]] == u[inside]
+                self.counts[at[old]] += n[old] * times
+                self.counts = np.insert(self.counts, at[~old], n[~old] * times)
+                self.keys = np.insert(self.keys, at[~old], u[~old])
+        self.size = 0
+        return self.keys, self.counts
 
 
 def _dictionary(group: pa.Table) -> pa.Table:
@@ -138,15 +157,15 @@ def _dictionary(group: pa.Table) -> pa.Table:
         for times in (1, 0):
             own = [t for t, h in zip(raw, held, strict=True) if h != bool(times)]
             if own:
-                grams.add(packed(own)[0], times)
+                for keys, _, _ in packed(own):
+                    grams.add(keys, times)
                 if times:
                     ends += len(own)
                     for t in own:
                         words.update(t.lower().split())
                 else:
                     for t in own:
-                        for w in t.lower().split():
-                            words.setdefault(w, 0)
+                        words.update({w: 0 for w in t.lower().split() if w not in words})
     words[b" "] = ends
     g, n = grams.merge()
     w = np.fromiter(map(word_key, words), np.int64, len(words))
@@ -201,7 +220,7 @@ class _Table:
     """Values of 64-bit keys in an open-addressed table, looked up for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (2 * len(keys)).bit_length())
+        bits = max(4, (3 * len(keys) // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
         at = self._slot(keys)
@@ -226,42 +245,49 @@ class _Table:
 
 
 class _Counts(dict):
-    """Counts of words; an unseen word is hashed and looked up once."""
+    """Counts of words; the new words of a piece are hashed and looked up together."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         super().__init__()
-        self.keys, self.counts = keys, counts
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
-    def __missing__(self, word):
-        c = self[word] = float(self.counts[np.searchsorted(self.keys, word_key(word))])
-        return c
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self]
+        at = np.searchsorted(self.keys, np.fromiter(map(word_key, new), np.int64, len(new)))
+        self.update(zip(new, self.counts[at].tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def _scorer(key: str, tokens: int, vocabulary: int):
     def score(docs: pa.Table, entries: pa.Table) -> pa.Table:
         keys, values = entries.column("key").to_numpy(), entries.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        cut = int(np.searchsorted(keys, 0))
-        counts, logs = _Counts(keys[:cut], values[:cut]), _Table(keys[cut:], values[cut:])
+        word = keys < 0
+        counts, logs = _Counts(keys[word], values[word]), _Table(keys[~word], values[~word])
+        del entries, keys, values, word
         names, held, base, known, n, total = [], [], [], [], [], []
         whole = np.log10(tokens + vocabulary + 1)
         for own, out, raw in unpacked(docs):
-            at, ends = packed(raw)
-            sums = np.concatenate([[0.0], np.cumsum(logs.of(at))])[np.concatenate([[0], ends])]
-            total.append(np.diff(sums))
+            own_total = np.zeros(len(raw))
+            for at, which, ends in packed(raw):
+                own_total[which] += np.add.reduceat(logs.of(at), np.concatenate([[0], ends[:-1]]))
+            total.append(own_total)
             names.append(own)
             held += out
+            words, sizes = [], []
             for t in raw:
-                words = t.lower().split()
+                before = len(words)
+                words += t.lower().split()
                 words.append(b" ")
-                c = np.array([counts[w] for w in words])
-                n.append(len(c))
-                known.append(int((c > 0).sum()))
-                base.append(float(np.log10(c + 1).sum() - len(c) * whole))
+                sizes.append(len(words) - before)
+            sizes, c = np.array(sizes), counts.of(words)
+            begin = np.cumsum(sizes) - sizes
+            n.append(sizes)
+            known.append(np.add.reduceat((c > 0).astype(np.int64), begin))
+            base.append(np.add.reduceat(np.log10(c + 1), begin) - sizes * whole)
         return pa.Table.from_arrays(
-            [pa.chunked_array(names), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-             pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(total), pa.float64())],
+            [pa.chunked_array(names), pa.array(held, pa.bool_()), pa.array(np.concatenate(n)), pa.array(np.concatenate(known)),
+             pa.array(np.full(len(held), tokens, dtype=np.int64)), pa.array(np.concatenate(base)), pa.array(np.concatenate(total))],
             names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
@@ -276,16 +302,20 @@ def score(docs: DataFrame, *, held_out, key: str = "doc_id", text: str = "text",
     trained on and scored row by row; without training rows the score is that of the uniform symbols;
     an empty table gives an empty result. Other columns are not looked at.
 
-    Plan: two shuffles of compressed texts (dictionary, scoring), one of the dictionaries by key (whose
-    window gives the corpus counts), one of the answers by chunk. A key has one row in each chunk at
-    most, so no key is hot; chunks are dealt by hash and are alike in size.
+    Texts of any length are read in pieces of ``PIECE`` positions.
+
+    Plan: the texts are packed and stored once; two shuffles of the packs (dictionary, scoring), one of the
+    dictionaries by key (whose window gives the corpus counts), one of the answers by chunk. A key has one
+    row in each chunk at most, so no key is hot; packs are dealt by their place, whatever rows they hold
+    (null keys and repeated rows too), so chunks are alike in size; a longer text is a chunk by itself at worst.
     """
-    short_batches(docs.sparkSession)
+    for name, value in BATCH.items():
+        docs.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", value)
     d = docs.select(F.col(key), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // chunk_bytes) or 1
-    d = d.withColumn("chunk", F.pmod(F.xxhash64(key, F.octet_length("text")), F.lit(chunks)).cast("int"))
-    rows = packs(d, key)
+    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    rows = stored(packs(d, key, min(PACK_BYTES, -(-chunk_bytes // 8))).withColumn("chunk", F.pmod(place, F.lit(chunks)).cast("int")), "packs")
     own = Window.partitionBy("key").orderBy("chunk")
     entries = stored(
         rows.groupBy("chunk").applyInArrow(_dictionary, "chunk int, key long, n long")

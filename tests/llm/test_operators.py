@@ -134,9 +134,10 @@ def ppm_brute(train, texts):
         yield sum(bits(a[p - o:p], a[p]) for p in range(o, len(a)))
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 20, 3000])
-def test_ppm(spark, rows, chunk_bytes):
-    own = [r for r in rows if len(r[1] or "") < 1500]
+@pytest.mark.parametrize(("chunk_bytes", "piece"), [(1 << 20, 1 << 20), (3000, 1 << 20), (3000, 500)])
+def test_ppm(spark, rows, chunk_bytes, piece, monkeypatch):
+    monkeypatch.setattr(ppm, "PIECE", piece)
+    own = rows
     r = by_id(ppm.score(frame(spark, own), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2, chunk_bytes=chunk_bytes))
     words = lambda t: (t or "").encode().lower().split() + [b" "]
     count = Counter(w for i, t, *_ in own if not held(i) for w in words(t))
