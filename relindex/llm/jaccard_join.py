@@ -8,7 +8,10 @@ frequent is counted first), so short lists are short.
 
 * Shingles of few sets: the lists are merged by a join of the index with itself
   and a count for each pair; pairs below ``c`` go.
-* Shingles of many sets: sets with ``c`` of them or more form families.
+* Shingles of many sets: a pair that shares no other short list must share one
+  of the first ``n - T + 1`` shingles (the prefix filter). So a set joins the
+  family of a frequent shingle only if that is among its own first ones; a text
+  on a common template whose own words fill that prefix joins none.
 
 Pairs and families connect into blocks of candidates. Inside a block (large
 ones are dealt into parts, every two of which meet) DivideSkip finds all links:
@@ -33,6 +36,9 @@ from .wordhash import Runs, distinct, scramble, words
 SHINGLE, PERCENT = 4, 85
 #: Sets from which a shingle is frequent, and sets and shingles in one part of a block.
 FREQUENT, PART_SETS, PART_SHINGLES = 20, 2048, 1 << 21
+#: Which shingles are frequent is settled when those found last have at most this share of the postings; it decides
+#: how much is compared, not what is found.
+SETTLED = 0.2
 #: Binary probes cost about as much as merging so many postings.
 PROBE = 20
 
@@ -101,22 +107,23 @@ def _short_tokens(docs: DataFrame, size: int, percent: int, frequent) -> DataFra
 
 
 def _index(docs: DataFrame, size: int, percent: int, frequent, repeated) -> DataFrame:
-    """(token, cls, n): the postings of repeated shingles in the short lists."""
+    """(token, cls, n, first): the postings of repeated shingles in the short lists, and whether they are in the prefix of n - T + 1."""
     def each(_, sets):
         ids = _class_ids(sets)
-        tokens, owner = [], []
+        tokens, owner, first = [], [], []
         for i, s in enumerate(sets):
             if len(s):
                 t = short_lists(s, percent, frequent.value)
-                t = t[passes(repeated.value, t & _LOW)]
-                tokens.append(t)
-                owner.append(np.full(len(t), i))
+                at = np.flatnonzero(passes(repeated.value, t & _LOW))
+                tokens.append(t[at])
+                owner.append(np.full(len(at), i))
+                first.append(at <= len(s) - required(len(s), percent))
         if not tokens:
             return None
         owner = np.concatenate(owner)
         n = np.array([len(s) for s in sets])
-        return [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids[owner]), pa.array(n[owner])]
-    return _map(docs, [], [("token", "long"), ("cls", "long"), ("n", "long")], size, each).distinct()
+        return [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids[owner]), pa.array(n[owner]), pa.array(np.concatenate(first))]
+    return _map(docs, [], [("token", "long"), ("cls", "long"), ("n", "long"), ("first", "boolean")], size, each).distinct()
 
 
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -185,20 +192,29 @@ def _links(group: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([f[k] for f in forest], pa.int64()) for k in range(3)], names=["a", "b", "linked"])
 
 
-def similar_classes(docs: DataFrame, members: DataFrame, *, size: int, percent: int, frequent: int) -> DataFrame:
-    """Links among the classes of equal sets, as ``_links`` gives them: edges that connect what links
-    connect (no pair of a group is written out), and the documents that each class links with in each
-    block. ``members`` is ``classes_of`` the documents."""
+def postings(docs: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
+    """(token, cls, n, first, sets): the inverted index of the short lists, without shingles of a single class."""
     sc = docs.sparkSession.sparkContext
-    seen = _short_tokens(docs, size, percent, None)
-    hot = sc.broadcast(hash_filter(stored(seen.where(F.col("n") >= frequent), "frequent")))
-    repeated = sc.broadcast(hash_filter(stored(_short_tokens(docs, size, percent, hot), "repeated")))
+    often = F.col("n") >= frequent
+    known = stored(_short_tokens(docs, size, percent, None).where(often).select("h"), "frequent")
+    while True:
+        hot = sc.broadcast(hash_filter(known))
+        seen = stored(_short_tokens(docs, size, percent, hot), "repeated")
+        # with these last, others may have come into the short lists that are frequent too
+        new = stored(seen.where(often).join(known, "h", "left_anti"), "frequent")
+        if (new.agg(F.sum("n")).first()[0] or 0) <= SETTLED * (seen.agg(F.sum("n")).first()[0] or 0):
+            break
+        known = stored(known.unionByName(new.select("h")), "frequent")
+    repeated = sc.broadcast(hash_filter(seen))
     per_token = _index(docs, size, percent, hot, repeated)
     counts = per_token.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
-    index = stored(per_token.join(counts, "token"), "index")
+    return stored(per_token.join(counts, "token"), "index")
+
 
-    # A pair shares c short shingles at least. If a set has h frequent ones, either c - h of the shared ones
-    # are not frequent, or both sets have c frequent ones; only the latter are taken by their frequent shingles.
+def families(index: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """(cls, family): classes that may link are in one family."""
+    # A pair shares c short shingles at least. If a set has h frequent ones, c - h of the shared ones are not
+    # frequent. Pairs that share none of these have c frequent ones each, one of them in both prefixes.
     often = F.col("sets") >= frequent
     h = index.where(often).groupBy("cls").agg(F.count("*").alias("h"))
     short = index.where(~often).select("token", "cls", "n").join(h, "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
@@ -208,10 +224,18 @@ def similar_classes(docs: DataFrame, members: DataFrame, *, size: int, percent:
              .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.floor(least / 10) + 1 - F.least("h_a", "h_b")).alias("c"))
              .where("shared >= c").select("a", "b"))
     fewest = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1  # c of the smallest similar set
-    many = index.where(often).select("token", "cls", "n").join(h, "cls").where(F.col("h") >= fewest)
+    many = index.where(often & F.col("first")).select("token", "cls", "n").join(h, "cls").where(F.col("h") >= fewest)
     heads = many.groupBy("token").agg(F.min("cls").alias("head"))
     stars = many.join(heads, "token").where(F.col("cls") != F.col("head")).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    family = components(pairs.unionByName(stars)).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+    return components(pairs.unionByName(stars)).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+
+
+def similar_classes(docs: DataFrame, members: DataFrame, *, size: int, percent: int, frequent: int) -> DataFrame:
+    """Links among the classes of equal sets, as ``_links`` gives them: edges that connect what links
+    connect (no pair of a group is written out), and the documents that each class links with in each
+    block. ``members`` is ``classes_of`` the documents."""
+    sc = docs.sparkSession.sparkContext
+    family = families(postings(docs, size, percent, frequent), percent, frequent)
 
     n = members.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
     candidates = stored(family.join(n, "cls").withColumn("at", F.xxhash64("doc")), "candidates")

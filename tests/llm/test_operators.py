@@ -297,6 +297,22 @@ def test_divide_skip_probes_long_lists(monkeypatch):
             assert {tuple(sorted((q, r))) for q, found in jaccard_join.divide_skip(sets, side, across, 70) for r in found.tolist()} == want
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_texts_on_a_template_are_no_family(spark, n):
+    """240 common and 48 own words: no two link, and none are compared; near copies among them still are."""
+    rng = random.Random(n)
+    common = " ".join(f"c{k}" for k in range(240))
+    texts = [f"{common} {' '.join(f'o{i}x{rng.random()}' for _ in range(48))}" for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d = docs.select(F.col("doc_id").alias("doc"), "text")
+    assert jaccard_join.families(jaccard_join.postings(d, 4, 85, 20), 85, 20).count() == 0
+    assert {(r["n_links"], r["component"] == r["doc_id"]) for r in jaccard_join.jaccard_join(docs).collect()} == {(0, True)}
+    copies = [(1000 + i, texts[i].rsplit(" ", 1)[0] + " end") for i in range(5)]
+    r = by_id(jaccard_join.jaccard_join(docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))))
+    assert all(r[i]["component"] == i and r[1000 + i]["component"] == i and r[i]["n_links"] == 1 for i in range(5))
+    assert sum(x["n_links"] for x in r.values()) == 10
+
+
 def test_jaccard_join_odd_rows(spark, odd):
     r = jaccard_join.jaccard_join(frame(spark, odd)).collect()
     assert len(r) == len(odd) - 2
