@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import backfill as BF
+from ..operators import backfill_buckets as BB
 from ..operators import groups as G
 from ..operators import ingest
 from ..operators import maintenance as M
@@ -354,6 +355,27 @@ SELECT cut.id, cut.norm_title, coalesce(f.part_count, 0) AS part_count, coalesce
 FROM cut LEFT JOIN fill2 f ON f.id = cut.id WHERE cut.id NOT IN (SELECT id FROM tgt2) OR f.id IS NOT NULL"""))
 
 
+def q_backfill_bucketed(spark, sf_dir):
+    """D3 + E4 over co-bucketed parts and releases; titles of more than 50 parts are dealt over salts."""
+    layout = BB.write_parts(K.parsed_all(spark, sf_dir), K.deal(spark), hot=50)
+    return BB.backfill(spark, BB.write_targets(K.releases(spark, sf_dir), layout), layout)[0]
+
+
+_add("D3_backfill_bucketed", q_backfill_bucketed, lambda: O.REGISTRY["D3_backfill_match"]())
+
+
+def q_unresolved_bucketed(spark, sf_dir):
+    """D4 over co-bucketed tables: every fifth title is one that no header has, half of the others lose their group."""
+    rel = K.releases(spark, sf_dir)
+    stale = F.when(F.col("id") % 5 == 0, F.concat(F.lit("renamed "), "norm_title")).otherwise(F.col("norm_title"))
+    t = rel.select("id", stale.alias("norm_title"), F.when(F.col("id") % 2 == 0, F.col("source_group")).alias("source_group"))
+    layout = BB.write_parts(K.parsed_all(spark, sf_dir), K.deal(spark))
+    return BB.backfill(spark, BB.write_targets(t, layout), layout, Q._curated(spark))[2]
+
+
+_add("D4_unresolved_bucketed", q_unresolved_bucketed, lambda: O.REGISTRY["D4_backfill_unresolved"]())
+
+
 def q_getnzb(spark, sf_dir):
     """Manifests of requested releases, half of which have no segments yet: segments told for each release."""
     p, pa = K.parsed(spark, sf_dir), K.parsed_all(spark, sf_dir)
