@@ -21,6 +21,8 @@ from ..functions import category as CAT
 from ..session import table_path
 from ..sources import store
 from ..sources.headers import load_table
+from ..streaming import ingest as ST
+from ..streaming import release_state as RS
 from . import common as K
 from . import oracle as O
 from . import queries as Q
@@ -234,6 +236,21 @@ st AS (SELECT 'g' || u AS grp, CAST(coalesce(max(i * 3) FILTER (WHERE kind = 'ad
 _add("K2_progress_log", q_progress_log, lambda: f"WITH {_LOG_SQL} SELECT * FROM st")
 
 
+def q_keyed_release(spark, sf_dir):
+    """K4 + K3: headers streamed as two files through keyed state; a tenth of the first file's headers come again with the second."""
+    src, root = (table_path(spark, f"keyed-{k}-{uuid.uuid4().hex[:8]}") for k in ("src", "state"))
+    h = K.headers(spark, sf_dir)
+    half = F.col("article_number") % 2 == 0
+    for part in (h.where(half), h.where(~half | (F.col("article_number") % 10 == 0))):
+        ST.stage_header_files(part, f"{src}/{uuid.uuid4().hex[:8]}", 1)
+        RS.keyed_ingest(spark, src, root, buckets=8, shards=2).awaitTermination()
+    rel = ingest.size_gate(RS.releases(spark, root))
+    return rel.select("norm_title", "category_id", "size_bytes", "part_count", "has_parts", K.ts_text(F.col("posted_at")).alias("posted_at"))
+
+
+_add("K4_keyed_release", q_keyed_release, lambda: O.REGISTRY["K1_stream_ingest"]())
+
+
 def q_group_filters(spark, sf_dir):
     """Groups of the log that may be polled: not ignored, not irrelevant, not held back by a probe in the future."""
     state = PG.group_state(_log(spark, sf_dir))
