@@ -490,6 +490,42 @@ def test_field_finds_variants_and_leaves_numbers_alone(field):
     assert found >= 0.97 * total and wrong <= 3
 
 
+
+def _field_spans(field, text):
+    runs = pii.chains(text)
+    return pii.all_spans(text, pii.base_spans(text), runs, field.decode([pii.features(c) for c in runs]))
+
+
+def test_card_shaped_numbers_follow_luhn(field):
+    rng = random.Random(5)
+    caught = left = 0
+    for _ in range(200):
+        digits = [str(rng.randrange(10)) for _ in range(15)]
+        good = next(c for c in "0123456789" if pii.luhn("".join(digits) + c))
+        bad = str((int(good) + rng.randint(1, 9)) % 10)
+        # fifteen digits: the base leaves them to the field
+        short = digits[:14] + [next(c for c in "0123456789" if pii.luhn("".join(digits[:14]) + c))]
+        for last, cut, want in ((good, (4, 8, 12), True), (bad, (4, 8, 12), False), (short[-1], (4, 10), True)):
+            d = (short if cut == (4, 10) else digits + [last])
+            parts, at = [], 0
+            for c in (*cut, len(d)):
+                parts.append("".join(d[at:c]))
+                at = c
+            text = "paid with " + " ".join(parts) + " in the shop"
+            got = [(k, a, b) for k, a, b in _field_spans(field, text) if pii.KINDS[k] == "card"]
+            if want:
+                caught += got == [(pii.KINDS.index("card"), 10, len(text) - 12)]
+            else:
+                left += not got
+    assert left >= 196 and caught >= 392, (left, caught)
+
+
+def test_luhn_marks():
+    assert pii.luhn_marks(["4111", "1111", "1111", "1111,", "x1"]) == ["luhn=True"] * 4 + [""]
+    assert pii.luhn_marks(["4111-1111-1111-1112"]) == ["luhn=False"]
+    assert pii.luhn_marks([]) == [] and pii.luhn_marks(["12", "@", "9" * 40]) == ["", "", ""]
+
+
 def test_viterbi_is_the_best_path(field):
     import itertools
 
