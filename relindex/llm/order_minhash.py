@@ -1,10 +1,14 @@
 """Order MinHash fingerprints of documents, in Spark's own functions only.
 
-The symbols of a text are its words. Its k-mers are numbered by occurrence, so
-a k-mer that comes twice is two elements. Every element has a pseudo-random
-priority, whose first bits deal it into one of ``2^bits`` bins; a bin selects
-its ``picked`` elements of least priority, puts them back into text order and
-hashes the tuple. Two texts agree in a bin when both the chosen k-mers and
+The symbols of a text are its words; a word of more than ``LONG`` code points
+(a text without blanks, base64) counts as its runs of ``GRAM`` code points, one
+at each place. K-mers of symbols are numbered by occurrence, so a k-mer that
+comes twice is two elements. Every element has a pseudo-random priority, whose
+first bits deal it into one of ``2^bits`` bins; a bin selects the ``picked``
+elements of least priority from its own start on, puts them back into text
+order and hashes the tuple. A bin that holds fewer borrows from the following
+bins (the last one is followed by the first), so short texts have full tuples
+in all bins as well. Two texts agree in a bin when both the chosen k-mers and
 their order agree, which makes the likeness sensitive to edits and moves.
 """
 
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Words of a k-mer, elements of a tuple, and bits of the number of bins.
 K, PICKED, BITS = 3, 2, 6
+#: A word of more code points than ``LONG`` is taken apart into runs of ``GRAM`` code points.
+LONG, GRAM = 40, 4
 #: Bits of a place in the text inside a packed number; the others hold a hash.
 _PLACE = 28
 _MASK = (1 << _PLACE) - 1
@@ -53,26 +59,42 @@ def _elements(kmers: Column) -> Column:
     return let(F.sort_array(F.transform(kmers, lambda h, i: _packed(h, i.cast("long")))), lambda s: F.sort_array(numbered(s)))
 
 
-def signature(text: Column, *, k: int = K, picked: int = PICKED, bits: int = BITS) -> Column:
-    """Sorted array of one number for each bin that is not empty: the bin in the first ``bits`` bits, then the tuple's hash."""
-    words = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def _symbols(text: Column) -> Column:
+    """Hashes of the words of a text; a long word gives the hash of a run of code points for each of its places."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def grams(w):
+        return let(F.split(w, ""), lambda c: F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, GRAM)])))
+
+    return let(words, lambda every: F.when(~F.exists(every, lambda w: F.length(w) > LONG), F.transform(every, lambda w: F.xxhash64(w))).otherwise(
+        F.flatten(F.transform(every, lambda w: F.when(F.length(w) > LONG, grams(w)).otherwise(F.array(F.xxhash64(w)))))))
 
+
+def signature(text: Column, *, k: int = K, picked: int = PICKED, bits: int = BITS) -> Column:
+    """Sorted array of one number for each bin: the bin in the first ``bits`` bits, then the tuple's hash. Empty without words."""
     def bin_of(x):
-        return F.shiftrightunsigned(x, 64 - bits)
+        return F.shiftright(x, 64 - bits)
+
+    def tuple_at(kmers, around, size, i):
+        return F.shiftrightunsigned(F.xxhash64(F.transform(F.array_sort(F.transform(
+            F.slice(around, i + 1, F.least(size, F.lit(picked))), lambda x: x.bitwiseAND(_MASK))), lambda p: F.get(kmers, p.cast("int")))), bits)
 
     def tuples(kmers, chosen):
-        heads = F.transform(chosen, lambda x, i: F.when((i == 0) | (bin_of(F.get(chosen, i - 1)) != bin_of(x)), i).otherwise(-1))
-        return F.transform(F.filter(heads, lambda i: i >= 0), lambda i: let(F.get(chosen, i), lambda head: F.shiftleft(bin_of(head), 64 - bits).bitwiseOR(
-            F.shiftrightunsigned(F.xxhash64(F.transform(F.array_sort(F.transform(
-                F.filter(F.slice(chosen, i + 1, picked), lambda x: bin_of(x) == bin_of(head)), lambda x: x.bitwiseAND(_MASK))),
-                lambda p: F.get(kmers, p.cast("int")))), bits))))
+        """The first element of each bin that has one serves its bin and the empty ones before it."""
+        heads = F.filter(F.transform(chosen, lambda x, i: F.when((i == 0) | (bin_of(F.get(chosen, i - 1)) != bin_of(x)), i).otherwise(-1)), lambda i: i >= 0)
+        last = bin_of(F.element_at(chosen, -1)) - (1 << bits)
+        return let(F.concat(chosen, F.slice(chosen, 1, picked - 1)), lambda around: F.flatten(F.transform(heads, lambda i: let(
+            tuple_at(kmers, around, F.size(chosen), i), lambda hashed: F.transform(
+                F.sequence(F.when(i == 0, last).otherwise(bin_of(F.get(chosen, i - 1))) + 1, bin_of(F.get(chosen, i))),
+                lambda b: F.shiftleft(b, 64 - bits).bitwiseOR(hashed))))))
 
-    return let(words, lambda w: let(_kmers(w, k), lambda km: let(_elements(km), lambda t: let(
-        F.filter(t, lambda x, i: (i < picked) | (bin_of(F.get(t, i - picked)) != bin_of(x))), lambda chosen: tuples(km, chosen)))))
+    return F.sort_array(let(_symbols(text), lambda w: let(_kmers(w, k), lambda km: let(_elements(km), lambda t: let(
+        F.filter(t, lambda x, i: (i < picked) | (bin_of(F.get(t, i - picked)) != bin_of(x))),
+        lambda chosen: F.when(F.size(chosen) == 0, F.array().cast("array<bigint>")).otherwise(tuples(km, chosen)))))))
 
 
 def likeness(a: Column, b: Column, *, bits: int = BITS) -> Column:
-    """Share of the bins in which two signatures agree, among the bins not empty in both; 1 for two empty texts."""
+    """Share of the bins in which two signatures agree; 1 for two texts without words, 0 if one alone has none."""
     def bins(s):
         return F.transform(s, lambda x: F.shiftrightunsigned(x, 64 - bits))
     every = F.size(F.array_union(bins(a), bins(b)))
@@ -114,7 +136,7 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     Returns ``key``, ``n_chars``, ``edited``, ``signature``, ``edited_signature``, ``near_edited``,
     ``near_next``. Null texts count as empty; keys are integers, null comes first, equal keys stand in
     the order of their texts; of one row the next is itself; an empty table gives an empty result.
-    Other columns are not looked at.
+    Texts of any length are read whole, with or without blanks. Other columns are not looked at.
 
     Plan: one shuffle of the texts, by bucket of neighbouring keys. The first row of each bucket also
     goes to the bucket before, so every row finds the next one in its own bucket. The table of first

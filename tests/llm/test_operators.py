@@ -85,7 +85,50 @@ def test_order_minhash_sees_order_and_counts(spark):
     near = lambda a, b: len(set(s[a]) & set(s[b])) / 64
     assert 0.3 < near(0, 1) < 0.75  # the same words, halves swapped: tuples across the halves turn around
     assert near(2, 3) < 0.4  # the repeated k-mers are elements of their own
-    assert len(s[0]) > 60 and s[4] == []
+    assert len(s[0]) == 64 and s[4] == []
+
+
+def order_minhash_brute(kmers, priority, picked=2, bits=6):
+    """For each bin the places of its tuple: the next ``picked`` elements from the bin's start on, around the end."""
+    t = sorted(priority)
+    at = [next((j for j, x in enumerate(t) if x >> (64 - bits) >= b), 0) for b in range(-(1 << bits - 1), 1 << bits - 1)]
+    return [sorted(t[(j + q) % len(t)] & order_minhash._MASK for q in range(min(picked, len(t)))) for j in at]
+
+
+def test_order_minhash_bins_borrow(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 4, 5, 9, 30, 90, 400, 3000)]
+    words = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    hashed = lambda kmers, places: F.xxhash64(F.transform(places, lambda p: F.get(kmers, p)))
+    for r in d.select("text", order_minhash._kmers(words, 3).alias("kmers"), order_minhash._elements(order_minhash._kmers(words, 3)).alias("t"),
+                      order_minhash.signature(F.col("text")).alias("s")).collect():
+        assert len(r["t"]) == len(set(r["t"])) == max(1, len(r["text"].split()) - 2)
+        chosen = order_minhash_brute(r["kmers"], r["t"])
+        one = spark.createDataFrame([(b, r["kmers"], c) for b, c in enumerate(chosen, -32)], "b long, k array<long>, c array<int>")
+        want = one.select(F.shiftleft("b", 58).bitwiseOR(F.shiftrightunsigned(hashed(F.col("k"), F.col("c")), 6))).collect()
+        assert r["s"] == sorted(x[0] for x in want)
+
+
+def test_order_minhash_short_texts_and_texts_without_blanks(spark):
+    rng = random.Random(8)
+    pairs = []
+    for n in (40, 100, 1000):
+        for _ in range(30):
+            w = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+            pairs.append((f"swap {n}", " ".join(w), " ".join(w[n // 2:] + w[:n // 2])))
+    for n in (100, 2000):
+        for _ in range(20):
+            c, other = ["".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(n)) for _ in range(2)]
+            pairs += [(f"edit {n}", c, c[:n // 2] + "x" + c[n // 2 + 1:]), (f"other {n}", c, other), (f"half {n}", c, c[:n // 2] + other[n // 2:])]
+    long = "x" * 200_000
+    pairs += [("far", long + "\U0001F600" * 50, long + "\U0001F600" * 50), ("edge", "y" * 40, "y" * 39 + "z")]
+    sig = lambda c: order_minhash.signature(F.col(c))
+    d = spark.createDataFrame(pairs, "k string, a string, b string").repartition(4).select("k", sig("a").alias("a"), sig("b").alias("b"))
+    r = {x[0]: x[1] for x in d.groupBy("k").agg(F.avg(order_minhash.likeness(F.col("a"), F.col("b")))).collect()}
+    assert all(0.35 <= r[f"swap {n}"] <= 0.55 for n in (40, 100, 1000))
+    assert r["edit 100"] > 0.7 and r["edit 2000"] > 0.95 and r["other 100"] < 0.05 and r["other 2000"] < 0.05
+    assert 0.15 < r["half 2000"] < 0.45 and r["far"] == 1.0 and r["edge"] == 0.0
 
 
 def test_order_minhash_odd_rows(spark, odd):
