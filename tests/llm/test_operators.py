@@ -128,7 +128,8 @@ def test_order_minhash_short_texts_and_texts_without_blanks(spark):
     r = {x[0]: x[1] for x in d.groupBy("k").agg(F.avg(order_minhash.likeness(F.col("a"), F.col("b")))).collect()}
     assert all(0.35 <= r[f"swap {n}"] <= 0.55 for n in (40, 100, 1000))
     assert r["edit 100"] > 0.7 and r["edit 2000"] > 0.95 and r["other 100"] < 0.05 and r["other 2000"] < 0.05
-    assert 0.15 < r["half 2000"] < 0.45 and r["far"] == 1.0 and r["edge"] == 0.0
+    # half of the text kept: a third of all elements is common, so both elements of a tuple are in a ninth of the bins
+    assert 0.06 < r["half 2000"] < 0.16 and r["far"] == 1.0 and r["edge"] == 0.0
 
 
 def test_order_minhash_odd_rows(spark, odd):
