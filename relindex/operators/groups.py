@@ -73,12 +73,3 @@ def group_filters(groups: DataFrame, progress: DataFrame, ignored: DataFrame, as
     if not curated_mode:
         cond = cond & ~F.coalesce(F.col("irrelevant"), F.lit(False))
     return g.where(cond).drop("irrelevant", "next_probe")
-
-
-def merge_hints(pairs_default: list[tuple[str, str]], extra: DataFrame) -> DataFrame:
-    """Default hints plus extra ``(token, key, pos)`` rows; order kept for
-    the regex, later value wins in the map."""
-    spark = extra.sparkSession
-    base = spark.createDataFrame([(t, k, i) for i, (t, k) in enumerate(pairs_default)], "token string, key string, pos int")
-    allh = base.unionByName(extra.select("token", "key", (F.col("pos") + len(pairs_default)).alias("pos")))
-    return allh.groupBy("token").agg(F.max_by("key", "pos").alias("key"), F.min("pos").alias("regex_pos"))

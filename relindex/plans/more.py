@@ -17,16 +17,17 @@ from ..operators import ranges as R
 from ..operators import search as S
 from ..operators import textindex as TI
 from ..operators import upsert as UP
+from .. import config as C
 from ..functions import category as CAT
 from ..session import table_path
-from ..sources import store
+from ..sources import policies, store
 from ..sources.headers import load_table
 from ..streaming import ingest as ST
 from ..streaming import release_state as RS
 from . import common as K
 from . import oracle as O
 from . import queries as Q
-from .oracle_sql import headers_ctes, releases_ctes, ts_text, with_ctes
+from .oracle_sql import headers_ctes, parsed_ctes, releases_ctes, ts_text, with_ctes
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -434,3 +435,44 @@ fs AS (SELECT req_id, id, min((p, q)) AS o FROM kd GROUP BY ALL)""", "SELECT req
 
 
 _add("H4_expand_categories", q_expand_categories, _expand_sql)
+
+
+# ---------------------------------------------------------------- configured hints
+
+#: Entries of a hint file: new tokens, a default token with another key, two bad entries.
+_HINT_FILE = [("repost", "movies_hd", 1), ("misc", "pc_0day", 2), ("hdtv", "tv_hd", 3), ("games", "console_psp", 4), ("", "tv", 5), ("misc", "no_such_key", 6)]
+
+
+def _hinted(spark, sf_dir):
+    """The hint file's rejects, and the parse of all headers under its hints."""
+    path = table_path(spark, f"hints-{uuid.uuid4().hex[:12]}")
+    entries = spark.createDataFrame(_HINT_FILE, "token string, key string, pos int")
+    entries.agg(F.to_json(F.sort_array(F.collect_list(F.struct("pos", "token", "key"))))).coalesce(1).write.text(path)
+    good, bad = policies.read_hints(spark, path)
+    return bad, ingest.parsed_table(K.headers(spark, sf_dir), partitions=K.deal(spark), hints=policies.hints_from(spark, good))
+
+
+def q_hinted_parse(spark, sf_dir):
+    """A16 into B14, C2: headers parsed under configured group hints."""
+    return _hinted(spark, sf_dir)[1].select("grp", "article_number", "message_id", "size", "norm_title", "category", "category_id", "extension")
+
+
+def q_hinted_releases(spark, sf_dir):
+    """A16 through E1 and A5: releases and sizes by category and group under configured hints, with the number of rejected entries."""
+    bad, parsed = _hinted(spark, sf_dir)
+    return ingest.fold_releases(parsed).groupBy("grp", "category_id").agg(
+        F.count(F.lit(1)).alias("titles"), F.sum("size_sum").alias("size"), F.lit(bad.count()).cast("long").alias("rejects"))
+
+
+def _hinted_ctes():
+    return parsed_ctes(hints=C.Hints([*C.DEFAULT_GROUP_HINTS, *((t, k) for t, k, _ in _HINT_FILE[:4])]))
+
+
+_add("A16_hinted_parse", q_hinted_parse, lambda: with_ctes(_hinted_ctes(), """
+SELECT grp, article_number, message_id, size, norm_title, category, category_id, extension FROM parsed"""))
+_add("A16_hinted_releases", q_hinted_releases, lambda: with_ctes(_hinted_ctes() + """,
+folded AS (
+  SELECT grp, (arg_min(struct_pack(c := category_id), (article_number, message_id, bytes))).c AS category_id, sum(size) AS size
+  FROM parsed GROUP BY grp, dedupe_key)""", """
+SELECT grp, category_id, count(*) AS titles, CAST(sum(size) AS BIGINT) AS size, CAST(2 AS BIGINT) AS rejects
+FROM folded GROUP BY grp, category_id"""))

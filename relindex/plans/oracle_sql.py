@@ -148,9 +148,9 @@ def _lookup(col: str, table: dict[str, str]) -> str:
     return f"({values})[list_position({keys}, {col})]"
 
 
-def hint_key_sql(group: str) -> str:
+def hint_key_sql(group: str, hints: C.Hints | None = None) -> str:
     """Category key that the group's name hints at; no group gives none."""
-    hints = C.Hints()
+    hints = hints or C.Hints()
     return _lookup(f"regexp_extract(lower({group}), {q(_alts([t for t, _ in hints.pairs]))}, 0)", hints.token_map())
 
 
@@ -228,7 +228,7 @@ def ts_text(col: str) -> str:
 
 # ---------------------------------------------------------------- pipeline CTEs
 
-def parsed_ctes(gated: bool = True) -> str:
+def parsed_ctes(gated: bool = True, hints: C.Hints | None = None) -> str:
     date_s = "trim(regexp_replace(date, '^\\s*[A-Za-z]{3},\\s*', ''))"
     gate = "WHERE size > 0 AND (allowed IS NULL OR (extension IS NOT NULL AND coalesce(list_contains(allowed, extension), false)))" if gated else ""
     return headers_ctes() + f""",
@@ -240,7 +240,7 @@ p0 AS MATERIALIZED (
     try_strptime({date_s}, '%d %b %Y %H:%M:%S +0000') AS posted_at
   FROM headers
 ),
-pg AS MATERIALIZED (SELECT grp, {hint_key_sql("grp")} AS hint FROM (SELECT DISTINCT grp FROM p0)),
+pg AS MATERIALIZED (SELECT grp, {hint_key_sql("grp", hints)} AS hint FROM (SELECT DISTINCT grp FROM p0)),
 px AS MATERIALIZED (
   SELECT p0.*, pg.hint,
     {extract_columns_sql("subject")}
