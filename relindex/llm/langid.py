@@ -60,8 +60,8 @@ class Letters:
         far = c > 0xFFFF
         out = self.fold[np.where(far, 32, c)]
         if far.any():
-            letters = [x for x in np.unique(c[far]) if chr(x).isalpha()]
-            out = np.where(far & np.isin(c, letters), c, out)
+            own, at = np.unique(c[far], return_inverse=True)
+            out[far] = np.array([ord(chr(x).lower()) if chr(x).isalpha() else 32 for x in own], dtype=np.uint32)[at]
         blank = out == 32
         if blank.all():
             return out[:0]
