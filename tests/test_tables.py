@@ -132,3 +132,11 @@ def test_counter_keys_and_rates(spark):
     assert (r["g"]["average_batch_ms"], r["g"]["average_database_latency_ms"], r["g"]["eta_seconds"]) == (5.0, 0.5, 4)
     assert (r["h"]["average_batch_ms"], r["h"]["eta_seconds"]) == (0.0, None) and r["i"]["eta_seconds"] is None
     assert MT.global_eta(m).first()["eta_seconds"] == int(1800 / (110 / 1.007))
+
+
+def test_prune_that_takes_every_row_leaves_a_table(spark):
+    path = store.write_releases(releases(spark))
+    table = store.read_releases(spark, path)
+    none = store.read_releases(spark, store.rewrite(table.where("false"), table, path))
+    assert none.columns == store.RELEASE_SCHEMA.names and none.count() == 0
+    assert M.partition_counts(none).collect() == []
