@@ -59,3 +59,21 @@ def test_stream_batch_is_dealt_for_the_parse(spark, tmp_path):
         ST.ingest.materialize = materialize
     assert made["stream_parsed"] > 1
     assert ST.release_store(spark, root).read("releases").count() == 7
+
+
+def test_titles_by_steps_equal_the_chain(spark):
+    parts = ["[", "]", "(1/2)", "( 3 / 4 )", "part", "part 1", "rar", "Par2", "yEnc", "ye[x]nc", "[FRENCH]", "[[a]ITA]", "repost", "part repost 12",
+             "re(1/2)post", ".", "_", " ", "\t", "-", "é", "İ", "\x85", "a", "7"]
+    rows = [("".join(parts[(i * 7 + k * (1 + i % 11) + i // 25) % len(parts)] for k in range(i % 9)),) for i in range(2000)]
+    df = spark.createDataFrame(rows, "s string").withColumn("low", F.lower("s"))
+    want = tx.clean_text(tx.normalize_subject(F.col("s")))
+    assert tx.with_title(df, "s", "low", "t").where(~F.col("t").eqNullSafe(want)).count() == 0
+    seen = {r["s"]: r["t"] for r in tx.with_title(df.union(spark.createDataFrame([("part repost 12.x [[a]ITA]", "part repost 12.x [[a]ita]")], "s string, low string")),
+                                                  "s", "low", "t").collect()}
+    assert seen["part repost 12.x [[a]ITA]"] == "x"
+
+
+def test_parse_has_tasks_enough_for_every_core(spark):
+    from relindex.plans import common as K
+    h = K.headers(spark, "/root/testdata/sf0.001")
+    assert h.select(F.spark_partition_id().alias("p")).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
