@@ -1,5 +1,8 @@
 """Keyed release state against the batch table: repeats, restarts, expiry."""
 
+import random
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from relindex.operators import ingest
@@ -62,3 +65,105 @@ def test_fold_of_folds():
     b = ("d", 2, "de", None, "h", None, None, 1, None, None, "n", 3)
     assert RS.folded(None, a) == a
     assert RS.folded(a, b) == ("d", 2, "de", None, "h", ["a", "b"], 5, 2, None, None, "n", 3)
+
+
+class _Value:
+    def __init__(self, calls):
+        self.at, self.calls = None, calls
+
+    def get(self):
+        self.calls.append("get")
+        return self.at
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.at is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.at = value
+
+
+class _Map:
+    def __init__(self, calls):
+        self.at, self.calls, self.largest = {}, calls, 0
+
+    def containsKey(self, key):
+        self.calls.append("contains")
+        return key in self.at
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.at[key]
+
+    def updateValue(self, key, value):
+        self.calls.append("update")
+        self.at[key] = value
+        self.largest = max(self.largest, len(value[0]) if isinstance(value[0], list) else 1)
+
+    def iterator(self):
+        self.calls.append("iterator")
+        return iter(self.at.items())
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.states = [], {}
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.states.setdefault(name, _Value(self.calls))
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self.states.setdefault(name, _Map(self.calls))
+
+
+def _header(i, grp="g", size=10):
+    return Row(keep=True, grp=grp, message_id=f"<{i}@x>", seg_id=f"{i}@x", size=size, bytes=size, article_number=i, posted_micros=i, tags=["b", f"t{i % 3}"],
+               category="c", category_id=1, language="en", extension=None, source_group=grp)
+
+
+def _fed(batches, grp_of=lambda i: "g"):
+    handle, state = _Handle(), RS.ReleaseState()
+    state.init(handle)
+    last = None
+    for ids in batches:
+        for row in state.handleInputRows(("t", 0), iter([_header(i, grp_of(i)) for i in ids]), None):
+            last = row
+    return last, handle
+
+
+def test_state_calls_do_not_follow_the_headers():
+    _, handle = _fed([range(200), range(100, 250)])
+    assert len(handle.calls) <= 8  # two batches of one state; four calls for each header were 1000
+    _, handle = _fed([range(k, 20_000, 4) for k in range(4)])
+    assert len(handle.calls) < 20_000 / 10
+
+
+def test_pages_split_and_keep_every_id():
+    rnd = random.Random(3)
+    batches = [[rnd.randrange(9000) for _ in range(n)] for n in (10, 100, 240, 30, 3000, 1, 700, 2500, 4000)]
+    last, handle = _fed(batches, lambda i: f"g{i % 2}")
+    every = {i for b in batches for i in b}
+    pages = handle.states["pages"]
+    assert last["seg_count"] == len(every) and last["seg_total"] == 10 * len(every)
+    assert sorted((c["grp"], c["n_headers"], c["posted_micros"]) for c in last["candidates"]) == [
+        (f"g{k}", sum(i % 2 == k for i in every), min(i for i in every if i % 2 == k)) for k in (0, 1)]
+    assert {m for seen, _ in pages.at.values() for m, _ in seen} == {f"<{i}@x>" for i in every}
+    assert sum(len(seen) for seen, _ in pages.at.values()) == len(every) and len(pages.at) > 16
+    # a batch may overfill a page before it is split, but no value holds a fixed share of the title
+    assert max(len(seen) for seen, _ in pages.at.values()) < 4 * RS.PAGE
+    assert next(iter(RS.ReleaseState.handleInputRows(_again(handle), ("t", 0), iter([_header(i, f"g{i % 2}") for i in every]), None)), None) is None
+
+
+def _again(handle):
+    state = RS.ReleaseState()
+    state.init(handle)
+    return state
+
+
+def test_one_segment_of_two_groups_counts_once():
+    handle, state = _Handle(), RS.ReleaseState()
+    state.init(handle)
+    out = list(state.handleInputRows(("t", 0), iter([_header(1, "h", 7), _header(1, "g", 5), _header(1, "g", 9)]), None))
+    assert [(r["seg_count"], r["seg_total"]) for r in out] == [(1, 5)]
+    assert sorted((c["grp"], c["size_sum"]) for c in out[0]["candidates"]) == [("g", 5), ("h", 7)]
