@@ -77,3 +77,14 @@ def test_parse_has_tasks_enough_for_every_core(spark):
     from relindex.plans import common as K
     h = K.headers(spark, "/root/testdata/sf0.001")
     assert h.select(F.spark_partition_id().alias("p")).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_parse_keeps_its_tasks_when_no_table_is_broadcast(spark):
+    from relindex.plans import common as K
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        h = K.headers(spark, "/root/testdata/sf0.001")
+        assert h.select(F.spark_partition_id().alias("p")).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
