@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,53 @@ def test_no_scratch_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Nothing)
+
+
+def test_manifest_texts_and_their_segments_are_not_dealt_out_once_a_release(spark):
+    """The releases of one title share its segments; two releases more must not shuffle them again, nor whole documents."""
+    seg = spark.createDataFrame([("t", n, f"m{n}", "g", 10 * n) for n in (1, 2, 1001)] + [("u", 1, "a&b", None, 5)],
+                                "norm_title string, number int, message_id string, `group` string, size long")
+    rel = spark.createDataFrame([(i, "t", 2000 + i, True) for i in (1, 2, 3)] + [(4, "u", 2000, True), (4, "u", 2000, True)],
+                                "id long, norm_title string, category_id int, has_parts boolean")
+    df = outputs.manifests(rel, seg)
+    doc = {}
+    for r in df.orderBy("id", "part").collect():
+        doc[r["id"]] = doc.get(r["id"], "") + r["nzb"]
+    assert sorted(doc) == [1, 2, 3, 4]
+    for i in (1, 2, 3):
+        assert doc[i].endswith(f'subject="{i}"><groups><group>g</group></groups><segments><segment bytes="10" number="1">m1</segment>'
+                               '<segment bytes="20" number="2">m2</segment><segment bytes="10010" number="1001">m1001</segment></segments></file></nzb>')
+    assert doc[4].endswith('<groups></groups><segments>' + '<segment bytes="5" number="1">a&amp;b</segment>' * 2 + '</segments></file></nzb>')
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [x for x in plan.split("\n\n") if ") Exchange" in x]
+    assert dealt and not [x for x in dealt if "nzb#" in x]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key, None)
+    a = ingest.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "no_shuffle")
+    b = ingest.materialize(spark.range(3), "no_shuffle")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key, None) == kept
+    assert a.count() == 7
+    gone = a.inputFiles()[0]
+    ingest.drop_table(a)
+    assert not os.path.exists(gone.removeprefix("file://")) and b.count() == 3
+
+
+def test_the_table_of_the_fold_gives_the_same_segments_and_candidates(spark):
+    sf = "/root/testdata/sf0.001"
+    whole, p = K.parsed(spark, sf), K.folded(spark, sf)
+    assert not {"subject", "norm_title"} & set(p.columns)
+    for make in (ingest.collect_segments, ingest.fold_releases):
+        x, y = make(whole), make(ingest.gate(p))
+        assert x.columns == y.columns and x.count() == y.count() and not x.exceptAll(y).count()
