@@ -44,3 +44,9 @@ def test_upsert_drops_the_headers_and_takes_stored_folds(spark):
     stored = upsert.upsert(*state, None, ingest.fold_releases(batch), ingest.collect_segments(batch))
     for x, y in zip(read, stored, strict=True):
         assert x.count() == y.count() and not x.exceptAll(y).count()
+
+
+def test_backfill_parses_the_headers_once(spark, monkeypatch):
+    calls, parse = [], ingest.parse_headers
+    monkeypatch.setattr(ingest, "parse_headers", lambda *a, **kw: calls.append(1) or parse(*a, **kw))
+    assert Q.q_backfill_match(spark, SF).count() and len(calls) == 1
