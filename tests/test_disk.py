@@ -50,3 +50,11 @@ def test_backfill_parses_the_headers_once(spark, monkeypatch):
     calls, parse = [], ingest.parse_headers
     monkeypatch.setattr(ingest, "parse_headers", lambda *a, **kw: calls.append(1) or parse(*a, **kw))
     assert Q.q_backfill_match(spark, SF).count() and len(calls) == 1
+
+
+def test_a_stream_leaves_no_tables_of_its_batches(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    before = folders(spark, "stream_")
+    ST.stage_header_files(made(spark), src, 2)
+    ST.incremental_ingest(spark, src, root, buckets=4).awaitTermination()
+    assert ST.release_store(spark, root).read("segments").count() == 60 and folders(spark, "stream_") == before
