@@ -58,3 +58,10 @@ def test_a_stream_leaves_no_tables_of_its_batches(spark, tmp_path):
     ST.stage_header_files(made(spark), src, 2)
     ST.incremental_ingest(spark, src, root, buckets=4).awaitTermination()
     assert ST.release_store(spark, root).read("segments").count() == 60 and folders(spark, "stream_") == before
+
+
+def test_staged_headers_are_dealt_once(spark, monkeypatch):
+    plans, stage = [], ST.stage_header_files
+    monkeypatch.setattr(ST, "stage_header_files", lambda h, *a, **kw: (plans.append(h._jdf.queryExecution().toString()), stage(h, *a, **kw)))
+    assert Q.q_stream_progress(spark, SF).count() == 9
+    assert len(plans) == 1 and "REPARTITION_BY_NUM" not in plans[0]
