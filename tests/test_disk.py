@@ -65,3 +65,18 @@ def test_staged_headers_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(ST, "stage_header_files", lambda h, *a, **kw: (plans.append(h._jdf.queryExecution().toString()), stage(h, *a, **kw)))
     assert Q.q_stream_progress(spark, SF).count() == 9
     assert len(plans) == 1 and "REPARTITION_BY_NUM" not in plans[0]
+
+
+def test_keyed_stream_leaves_no_shuffle_files(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    tables, before = folders(spark, "stream_"), shuffle_files(spark)
+    ST.stage_header_files(made(spark), src, 1)
+    RS.keyed_ingest(spark, src, root, buckets=2, shards=2).awaitTermination()
+    store = RS.partial_store(spark, root)
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    left = {x.split("_")[1] for x in shuffle_files(spark) - before}
+    assert folders(spark, "stream_") == tables and len(left) <= 1  # that of ``touched``, some numbers
+    assert store.read("partials").agg(F.sum("seg_count")).first()[0] == 60
